@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, langid
+from orelode.llm import bpe, langid, urlfilter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op3_urlfilter": urlfilter.op3_urlfilter,
     "op5_bpe": bpe.op5_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_urlfilter": urlfilter.ORACLE,
+}
