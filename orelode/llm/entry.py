@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, langid, urlfilter
+from orelode.llm import bpe, langid, toxicity, urlfilter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_urlfilter": urlfilter.op3_urlfilter,
     "op5_bpe": bpe.op5_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {

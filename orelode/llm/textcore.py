@@ -87,13 +87,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans of one buffer; they depend on the spans' bytes alone."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = _power_tables(len(buf))
+        self.sums = np.empty(len(buf) + 1, _U)
+        self.sums[0] = 0
+        np.cumsum((buf.astype(_U) + _U(1)) * up[: len(buf)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; they depend on the bytes alone."""
-    up, down = _power_tables(len(buf))
-    sums = np.empty(len(buf) + 1, _U)
-    sums[0] = 0
-    np.cumsum((buf.astype(_U) + _U(1)) * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    return SpanHasher(buf).of(starts, ends)
 
 
 def text_hash(data: bytes) -> int:
