@@ -10,9 +10,9 @@ such correlated group so that it counts about once. The posteriors it gives are
 the labels of a logistic classifier over the votes, kept near the label model's
 own log ratios where there are few examples. The classifier scores every text.
 
-Training reads a documented bounded sample: about ``max_each`` toxic and as many
-clean labelled rows, picked by a hash of the id, handled in one task of an
-executor. Scoring reads whole texts.
+Training reads a documented bounded sample: at most about ``max_toxic`` toxic and
+``max_clean`` clean labelled rows, picked by a hash of the id, handled in one task
+of an executor. Scoring reads whole texts.
 
 Cases: a null or empty text has no votes and gets the score of such texts.
 Without labelled rows of both classes only the seed lexicon and the patterns
@@ -45,6 +45,9 @@ SEED_LEXICON = (
 )
 STEMS = (4, 5, 6, 7, 8)
 PATTERNS = 4
+#: How often the label model takes a training label to be right, and the log odds by which silence of the whole lexicon speaks for clean.
+GOLD_ACCURACY = 0.9
+SILENT_ODDS = 4.0
 _STEM_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -112,28 +115,57 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
 
-def find_voters(texts: pa.Array, toxic: np.ndarray, least: int = 5, precision: float = 0.9, most: int = 400) -> np.ndarray:
+def copy_groups(buf: np.ndarray, offs: np.ndarray, salts: int = 3) -> np.ndarray:
+    """For each text and salt, the smallest salted hash of its word pairs: copies mostly share them."""
+    starts, ends, at = word_spans(buf, offs)
+    h = SpanHasher(buf).of(starts, ends)
+    pair = h.copy()
+    pair[:-1] ^= mix(h[1:] + np.uint64(1))
+    out = np.zeros((len(offs) - 1, salts), np.uint64)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    for s in range(salts if len(full) else 0):
+        out[full, s] = np.minimum.reduceat(mix(pair + np.uint64(s)), at[:-1][full])
+    return out
+
+
+def find_voters(texts: pa.Array, toxic: np.ndarray, least: int = 3, precision: float = 0.9, most: int = 400) -> np.ndarray:
     """Keys of words and stems that occur nearly only in toxic texts.
 
-    Of nested stems the longest that keeps 95 % of the support stays. The
-    commonest ``most`` are taken, a documented bound of the model's size.
+    Copies of a text count once. A word needs support of ``least`` toxic texts that
+    differ, or of as many more as keep the expected number of words that are found
+    by chance under one half. The commonest ``most`` are taken, a documented bound
+    of the model's size.
     """
-    keys, docs = [], []
+    keys, docs, groups = [], [], []
     for i, j in runs(utf8_column(texts)[1]):
-        k, d = word_keys(*_fold(texts.slice(i, j - i)))
-        pair = _unique_pairs(k, d)
+        folded = _fold(texts.slice(i, j - i))
+        pair = _unique_pairs(*word_keys(*folded))
         keys.append(pair[0])
         docs.append(pair[1] + i)
-    key, doc = np.concatenate(keys), np.concatenate(docs)
+        groups.append(copy_groups(*folded))
+    key, doc, group = np.concatenate(keys), np.concatenate(docs), np.concatenate(groups)
+
+    def support(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k, g = key[on], group[doc[on]]
+        found = np.unique(k)
+        counts = [np.bincount(np.searchsorted(found, _unique_pairs(k, g[:, s])[0]), minlength=len(found)) for s in range(g.shape[1])]
+        return found, np.median(counts, axis=0)
+
     on = toxic[doc]
-    found, count = np.unique(key[on], return_counts=True)
+    found, count = support(on)
+    base = toxic.mean()
+    total = np.unique(key, return_counts=True)[1]
+    while (total >= least).sum() * base**least > 0.5:
+        least += 1
     good = count >= least
     found, count = found[good], count[good]
-    at = np.searchsorted(found, key[~on])
-    at[at == len(found)] = 0
-    clean = np.bincount(at[found[at] == key[~on]], minlength=len(found)) if len(found) else np.zeros(0)
-    ratio = max(1.0, on.sum() / max(1, (~on).sum()))
-    good = count / (count + clean * ratio + 0.5) >= precision
+    if not len(found):
+        return found
+    others, often = support(~on & np.isin(key, found))
+    clean = np.zeros(len(found))
+    clean[np.searchsorted(found, others)] = often
+    ratio = max(1.0, toxic.sum() / max(1, (~toxic).sum()))
+    good = count / (count + clean * ratio + 0.25) >= precision
     found, count = found[good], count[good]
     return found[np.argsort(-count, kind="stable")][:most]
 
@@ -154,12 +186,16 @@ def drop_nested(fires: np.ndarray) -> np.ndarray:
     return (np.tril(same, -1).sum(axis=1) < 3).nonzero()[0]
 
 
-def label_model(fires: np.ndarray, start: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+def label_model(fires: np.ndarray, start: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """Posteriors, the voters' log ratios after discounts, and the correlated groups.
 
-    fires: texts x voters; start: first guess of the posteriors. A voter that is
-    silent abstains; a text on which none fires has the prior of such texts.
+    fires: texts x voters, the patterns last; start: first guess of the
+    posteriors; gold: the training labels, one more voter of fixed accuracy. A
+    voter that is silent abstains; a text on which no lexicon voter fires is
+    taken for clean more often than not.
     """
+    said = np.where(gold, 1, -1) * np.log(GOLD_ACCURACY / (1 - GOLD_ACCURACY))
+    silent = ~fires[:, : fires.shape[1] - PATTERNS].any(axis=1)
     x, post = fires.astype(np.float64), start.astype(np.float64)
     weight, groups, ratio = np.ones(x.shape[1]), [], np.zeros(x.shape[1])
     for step in range(rounds):
@@ -172,10 +208,8 @@ def label_model(fires: np.ndarray, start: np.ndarray, prior: float, rounds: int
             corr = (left.T @ left) / np.outer(scale, scale)
             weight = 1 / np.maximum(1, np.where(corr > 0.5, corr, 0).sum(axis=1))
             groups = [g.tolist() for row in corr > 0.5 if len(g := np.flatnonzero(row)) > 1]
-        silent = ~x.any(axis=1)
-        logit = x @ (ratio * weight) + np.log(prior / (1 - prior))
+        logit = x @ (ratio * weight) + said + np.log(prior / (1 - prior)) - SILENT_ODDS * silent
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        post[silent] = min(prior, 0.5) * 0.1
     return post, ratio * weight, groups
 
 
@@ -209,18 +243,18 @@ def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     kept = np.union1d(drop_nested(fires[:, : len(keys)]), np.searchsorted(keys, seeds))
     keys, fires = keys[kept], np.hstack([fires[:, kept], fires[:, -PATTERNS:]])
     start = np.where(fires[:, :-PATTERNS].any(axis=1), 0.95, 0.05)
-    post, ratio, groups = label_model(fires, start, prior=float(np.clip(toxic.mean(), 0.05, 0.5)))
+    post, ratio, groups = label_model(fires, start, toxic, prior=float(np.clip(toxic.mean(), 0.05, 0.5)))
     silent = ~fires.any(axis=0)
     around = np.where(silent, np.append(np.full(len(keys), 3.0), np.zeros(PATTERNS)), np.clip(ratio, -6, 6))
     w, b = logistic(fires.astype(np.float64), post, around)
     return ToxicityModel(keys, w, b, accuracy=ratio, correlated=groups)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_each: int = 3000) -> ToxicityModel:
-    """A model from labelled rows; ``max_each`` bounds the expected number read of each class."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 4500) -> ToxicityModel:
+    """A model from labelled rows; the two numbers bound the expected size of the sample."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = {k: min(1.0, max_each / v) for k, v in count.items()}
+    share = {k: min(1.0, (max_toxic if k else max_clean) / v) for k, v in count.items()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20))
     picked = known.where(draw < F.when(F.col("toxic"), share.get(True, 0.0)).otherwise(share.get(False, 0.0)) * (1 << 20))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
@@ -248,9 +282,9 @@ def score(text: Column, model: ToxicityModel) -> Column:
     return rate(text)
 
 
-def learn_from(docs: DataFrame, labels: DataFrame, max_each: int = 3000) -> ToxicityModel:
+def learn_from(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """The model of the registered query: labels of fold 0 of 5 are held out."""
-    return fit(docs, labels.where(crc_mod("doc_id", 5) != 0), max_each)
+    return fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
