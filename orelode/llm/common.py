@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orelode.operators.components import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,24 +19,36 @@ def crc_mod(col: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this session's where that is unset."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        found = sc._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else None
-    if not at:
-        at = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """The folder that driver and executors share."""
+    return ensure_checkpoint_dir(spark)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; it survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    return df.checkpoint()
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Forest:
+    """Union of numbered items by batches of links; keeps only a label for each item."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.label[a], self.label[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """A link from every item that isn't its group's first to the first."""
+        rest = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return rest, self.label[rest]

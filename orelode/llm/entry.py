@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, langid, toxicity, urlfilter
+from orelode.llm import bpe, langid, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_urlfilter": urlfilter.op3_urlfilter,
     "op5_bpe": bpe.op5_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
