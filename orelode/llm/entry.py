@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, langid, simhash, toxicity, urlfilter
+from orelode.llm import bpe, embeddings, langid, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
+    "op10_embeddings": embeddings.op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {
