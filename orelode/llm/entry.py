@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, embeddings, langid, simhash, toxicity, urlfilter
+from orelode.llm import bpe, embeddings, langid, mixing, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_urlfilter": urlfilter.op3_urlfilter,
+    "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
