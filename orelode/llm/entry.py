@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, embeddings, langid, mixing, simhash, toxicity, urlfilter
+from orelode.llm import bpe, embeddings, langid, mixing, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_urlfilter": urlfilter.op3_urlfilter,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_embeddings": embeddings.op10_embeddings,
@@ -16,4 +17,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_urlfilter": urlfilter.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
