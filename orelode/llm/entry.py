@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, embeddings, langid, mixing, simhash, toxicity, urlfilter, warc
+from orelode.llm import bpe, digest, embeddings, langid, mixing, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_fingerprint": digest.op2_fingerprint,
     "op3_urlfilter": urlfilter.op3_urlfilter,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
