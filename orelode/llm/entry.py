@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, digest, embeddings, langid, mixing, simhash, toxicity, urlfilter, warc
+from orelode.llm import bpe, digest, embeddings, langid, mixing, ngramlm, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_urlfilter": urlfilter.op3_urlfilter,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op6_ngramlm": ngramlm.op6_ngramlm,
     "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
