@@ -33,6 +33,8 @@ SHARE = 1.5
 CAP = 2.0
 SEED = 17
 BINS = 1024
+#: Tables of one line per source are broadcast up to so many sources; beyond, the joins shuffle.
+BROADCAST_SOURCES = 10_000
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -68,8 +70,13 @@ def _rank(u: Column, chance: Column) -> Column:
     return x / (1 + x)
 
 
-def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One line per source: size, target, expected copies, the rank to stop at and the rank of the closing document.
+def per_source(df: DataFrame, n: int) -> DataFrame:
+    """A table of at most n lines, marked for broadcast if n is small."""
+    return F.broadcast(df) if n <= BROADCAST_SOURCES else df
+
+
+def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, int]:
+    """One line per source, and how many there are: size, target, expected copies, the rank to stop at and the rank of the closing document.
 
     sized: source, size, u.
     """
@@ -84,7 +91,7 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     sources = sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
     need = sources.where("chance > 0 and rest > 0").select(F.col("source").alias("of"), "sid", "chance", "rest")
-    ranked = sized.join(need, sized["source"].eqNullSafe(need["of"])).select("sid", "size", "rest", _rank(F.col("u"), F.col("chance")).alias("v"))
+    ranked = sized.join(per_source(need, len(rows)), sized["source"].eqNullSafe(need["of"])).select("sid", "size", "rest", _rank(F.col("u"), F.col("chance")).alias("v"))
 
     def crossing(rows: DataFrame, bin_of: Column, before: str) -> DataFrame:
         """The bin of each source in which the running sum passes ``rest``, and the sum before it."""
@@ -94,20 +101,21 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         return run.where("start <= rest and upto > rest").groupBy("sid").agg(F.min_by("bin", "bin").alias("at"), F.min_by("start", "bin").alias("base"))
 
     first = crossing(ranked, F.floor(F.col("v") * BINS), "")
-    inner = ranked.join(first, "sid").where(F.floor(F.col("v") * BINS) == F.col("at")).drop("at")
+    inner = ranked.join(per_source(first, len(rows)), "sid").where(F.floor(F.col("v") * BINS) == F.col("at")).drop("at")
     second = crossing(inner, F.floor(F.col("v") * BINS * BINS), "base").withColumnRenamed("base", "base2")
-    last = inner.drop("base").join(second, "sid").where(F.floor(F.col("v") * BINS * BINS) == F.col("at"))
+    last = inner.drop("base").join(per_source(second, len(rows)), "sid").where(F.floor(F.col("v") * BINS * BINS) == F.col("at"))
     run = last.withColumn("upto", F.col("base2") + F.sum("size").over(Window.partitionBy("sid").orderBy("v")))
     # a source whose first document passes its words stops before the last bin
     stop = last.groupBy("sid").agg(F.first("base2").alias("base2"), F.min("v").alias("low")).join(
         run.where("upto <= rest").groupBy("sid").agg(F.max("v").alias("high"), F.max("upto").alias("got")), "sid", "left"
     ).select("sid", F.coalesce("high", F.floor(F.col("low") * BINS * BINS) / float(BINS * BINS)).alias("stop"), F.coalesce("got", "base2").alias("got"), F.col("high").isNotNull().alias("closed"))
     stop = cut_lineage(stop)
-    open_ = ranked.join(stop, "sid").where(F.when(F.col("closed"), F.col("v") > F.col("stop")).otherwise(F.col("v") >= F.col("stop")))
+    open_ = ranked.join(per_source(stop, len(rows)), "sid").where(F.when(F.col("closed"), F.col("v") > F.col("stop")).otherwise(F.col("v") >= F.col("stop")))
     gap = F.col("rest") - F.col("got")
     closing = open_.where(F.abs(gap - F.col("size")) < gap).groupBy("sid").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("d"), "v")).alias("best"))
     out = sources.join(stop, "sid", "left").join(closing.select("sid", F.col("best.v").alias("extra")), "sid", "left")
-    return out.select("source", "source_size", "target", "whole", "chance", "stop", "closed", "extra", (F.col("chance") * F.col("source_size") > 0).alias("drawn"))
+    lines = out.select("source", "source_size", "target", "whole", "chance", "stop", "closed", "extra", (F.col("chance") * F.col("source_size") > 0).alias("drawn"))
+    return lines, len(rows)
 
 
 def copies_of(u: Column, prefix: str = "") -> Column:
@@ -127,17 +135,19 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """What the mix takes of every document."""
     sized = cut_lineage(sized_documents(docs))
-    lines = plan_mix(sized.select("source", "size", "u")).withColumnRenamed("source", "of")
-    joined = sized.join(lines, sized["source"].eqNullSafe(lines["of"]))
+    lines, n = plan_mix(sized.select("source", "size", "u"))
+    lines = lines.withColumnRenamed("source", "of")
+    joined = sized.join(per_source(lines, n), sized["source"].eqNullSafe(lines["of"]))
     return joined.select("doc_id", "size", "source_size", "target", (copies_of(F.col("u")) * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, each as many times as the mix takes it."""
     sized = cut_lineage(sized_documents(docs).select("source", "size", "u"))
-    lines = cut_lineage(plan_mix(sized))
+    lines, n = plan_mix(sized)
+    lines = cut_lineage(lines)
     lines = lines.select([F.col(c).alias(f"__mix_{c}") for c in lines.columns])
-    joined = docs.join(lines, docs["source"].cast("string").eqNullSafe(lines["__mix_source"]))
+    joined = docs.join(per_source(lines, n), docs["source"].cast("string").eqNullSafe(lines["__mix_source"]))
     many = copies_of(uniform(F.col("doc_id"), F.col("text").cast("string")), "__mix_")
     return joined.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), many.cast("int")))).select(docs.columns)
 
