@@ -2,5 +2,428 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orelode.functions.numeric import amplify, truncate
+from orelode.functions.text import naive_fields
+from orelode.operators import aggregates, evaluate, graph, itemsets, lsh, recommend, similarity
+from orelode.operators.components import ensure_checkpoint_dir
+from orelode.plans import oracles as o
+from orelode.sources import io, views
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def _six(df: DataFrame, *cols: str) -> DataFrame:
+    """Columns rounded to six places by way of nine, so halves round alike, without a negative zero."""
+    return df.withColumns({c: F.round(F.round(c, 9), 6) + F.lit(0.0) for c in cols})
+
+
+def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return recommend.split(views.ratings(spark, d), views.test_keys(spark, d))
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+# keyed aggregation
+
+
+@query(
+    "word_count",
+    rf"""with {o.LINES}, low as (select lower(value) as v, regexp_replace(lower(value), '\W+$', '') as s from lines),
+    w as (select unnest(case when v = '' then [''] when s = '' then [] else string_split_regex(s, '\W+') end) as word from low)
+    select word, count(*) as n from w group by word""",
+)
+def word_count(spark, d):
+    return aggregates.word_count(views.lines(spark, d))
+
+
+@query("avg_rating_by_item", f"with {o.RATINGS} select item_id, round(avg(rating), 6) as rating_avg from ratings group by item_id")
+def avg_rating_by_item(spark, d):
+    return _six(aggregates.mean_by(views.ratings(spark, d), "item_id", "rating", "rating_avg"), "rating_avg").orderBy("item_id")
+
+
+@query(
+    "avg_rating_by_tag",
+    f"with {o.RATINGS}, tags as (select p_partkey as item_id, unnest(string_split(p_name, ' ')) as tag from part) select tag, round(avg(rating), 6) as rating_avg from tags join ratings using (item_id) group by tag",
+)
+def avg_rating_by_tag(spark, d):
+    return _six(aggregates.mean_by_tag(views.ratings(spark, d), views.tags(spark, d)), "rating_avg")
+
+
+@query("user_item_sets", f"with {o.RATINGS} select user_id, array_to_string(list_sort(list(distinct item_id)), ',') as items from ratings group by user_id")
+def user_item_sets(spark, d):
+    sets = aggregates.item_sets(views.ratings(spark, d), "user_id", "item_id")
+    return sets.select("user_id", F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"))
+
+
+@query("user_mean", f"with {o.RATINGS} select user_id, round(round(mean, 9), 6) as mean from umean")
+def user_mean(spark, d):
+    return _six(recommend.user_mean(_split(spark, d)[0]), "mean")
+
+
+@query("train_split", f"with {o.RATINGS} select user_id, item_id, rating from train")
+def train_split(spark, d):
+    return _split(spark, d)[0].select("user_id", "item_id", "rating")
+
+
+@query("test_split", f"with {o.RATINGS} select user_id, item_id, rating from test")
+def test_split(spark, d):
+    return _split(spark, d)[1].select("user_id", "item_id", "rating")
+
+
+@query("split_counts", f"with {o.RATINGS} select 'all' as part, count(*) as n from ratings union all select 'train', count(*) from train union all select 'test', count(*) from test")
+def split_counts(spark, d):
+    r = views.ratings(spark, d)
+    test = F.count_if(views.is_test())
+    one = r.agg(F.count("*").alias("n"), test.alias("t"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("n")) for k, v in (("all", F.col("n")), ("train", F.col("n") - F.col("t")), ("test", F.col("t")))])).alias("x")).select("x.*")
+
+
+@query("bag_subtract", "select l_orderkey, l_returnflag from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")
+def bag_subtract(spark, d):
+    done = views.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return aggregates.subtract_bag(views.table(spark, d, "lineitem").select("l_orderkey", "l_returnflag"), done, ["l_orderkey"])
+
+
+@query("member_filter", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')")
+def member_filter(spark, d):
+    urgent = views.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return aggregates.keep_members(views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), urgent, ["l_orderkey"])
+
+
+@query("unordered_pairs", "select distinct least(l_partkey, l_suppkey) as low, greatest(l_partkey, l_suppkey) as high from lineitem where l_partkey <> l_suppkey")
+def unordered_pairs(spark, d):
+    return aggregates.unordered(views.table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("distinct_rows", "select distinct l_returnflag, l_linestatus from lineitem")
+def distinct_rows(spark, d):
+    return views.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
+# sources and sinks
+
+
+@query("naive_fields", "select c_custkey as id, c_name as name, c_acctbal as balance from customer")
+def naive_csv(spark, d):
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"))
+    cols = naive_fields(line, "bigint", "string", "double")
+    return views.table(spark, d, "customer").select(*[c.alias(n) for c, n in zip(cols, ("id", "name", "balance"))])
+
+
+@query("csv_roundtrip", f"with {o.RATINGS} select user_id, item_id, rating from ratings")
+def csv_roundtrip(spark, d):
+    path = _scratch(spark)
+    io.write_csv(views.ratings(spark, d).select("user_id", "item_id", "rating"), path)
+    return io.read_csv(spark, path, "user_id bigint, item_id bigint, rating double")
+
+
+@query("text_roundtrip", "select p_partkey as item_id, p_type as genre from part")
+def text_roundtrip(spark, d):
+    path = _scratch(spark)
+    io.write_text(views.table(spark, d, "part"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_type"), path)
+    rows = io.read_lines(spark, path)
+    return rows.select(F.split("value", ",")[0].cast("bigint").alias("item_id"), F.element_at(F.split("value", ","), -1).alias("genre"))
+
+
+# similarity
+
+
+@query("pearson_user", f"with {o.RATINGS}, ps as ({o.pearson('user_id', 'item_id')}) select id1, id2, n, round(round(sim, 9), 6) + 0.0 as sim from ps")
+def pearson_user(spark, d):
+    return _six(similarity.pearson(_split(spark, d)[0], "user_id", "item_id"), "sim")
+
+
+@query("pearson_item", f"with {o.RATINGS}, ps as ({o.pearson('item_id', 'user_id')}) select id1, id2, n, round(round(sim, 9), 6) + 0.0 as sim from ps")
+def pearson_item(spark, d):
+    return _six(similarity.pearson(_split(spark, d)[0], "item_id", "user_id"), "sim")
+
+
+@query("knn_users", f"with {o.RATINGS}, ps as ({o.pearson('user_id', 'item_id')}), {o.nearest(250, 'user_id')} select id, other, round(round(sim, 9), 6) + 0.0 as sim from near")
+def knn_users(spark, d):
+    train = _split(spark, d)[0]
+    near = similarity.nearest(similarity.pearson(train, "user_id", "item_id"), 250, train.select("user_id").distinct().count())
+    return _six(near, "sim")
+
+
+@query("amplified_similarity", f"with {o.RATINGS}, ps as ({o.pearson('item_id', 'user_id')}) select id1, id2, round(sign(sim) * power(abs(sim), 2.5), 5) + 0.0 as weight from ps")
+def amplified_similarity(spark, d):
+    ps = similarity.pearson(_split(spark, d)[0], "item_id", "user_id")
+    return ps.select("id1", "id2", (F.round(amplify(F.col("sim")), 5) + F.lit(0.0)).alias("weight"))
+
+
+@query(
+    "genre_cosine",
+    f"with {o.GENRES}, n as (select item_id, count(*) as n from genres group by item_id) select a.item_id as id1, b.item_id as id2, round(count(*) / sqrt(x.n * y.n), 6) as cosine from genres a join genres b on a.genre = b.genre and a.item_id < b.item_id join n x on x.item_id = a.item_id join n y on y.item_id = b.item_id group by a.item_id, b.item_id, x.n, y.n",
+)
+def genre_cosine(spark, d):
+    return _six(similarity.binary_cosine(views.genres(spark, d)), "cosine")
+
+
+@query("inverse_user_frequency", f"with {o.RATINGS} select item_id, round(log10((select count(distinct user_id) from train)::double / count(distinct user_id)), 6) + 0.0 as iuf from train group by item_id")
+def inverse_user_frequency(spark, d):
+    return _six(similarity.inverse_user_frequency(_split(spark, d)[0]), "iuf")
+
+
+@query("jaccard_exact", f"with {o.TOKENS}, {o.EXACT} select id1, id2, round(round(jaccard, 9), 6) as jaccard from exact")
+def jaccard_exact(spark, d):
+    return _six(similarity.jaccard_pairs_exact(views.tokens(spark, d), 0.5), "jaccard")
+
+
+def _signatures(spark, d):
+    tokens = views.tokens(spark, d)
+    modulus = tokens.select("token").distinct().count() + 1
+    return lsh.signatures(tokens.select("id", lsh.token_number(F.col("token")).alias("x")), modulus)
+
+
+@query("minhash_signature", f"with {o.TOKENS}, {o.signature_sql()} select * from sig")
+def minhash_signature(spark, d):
+    return _signatures(spark, d)
+
+
+@query("lsh_candidates", f"with {o.TOKENS}, {o.signature_sql()}, {o.band_sql()}, {o.CANDIDATES} select id1, id2 from cand")
+def lsh_candidates(spark, d):
+    return lsh.candidates(lsh.bands(_signatures(spark, d)))
+
+
+def _lsh_pairs(spark, d):
+    rows = views.tokens(spark, d).select("id", F.col("token").alias("t"))
+    return similarity.verify_jaccard(lsh_candidates(spark, d), rows, 0.5)
+
+
+@query("jaccard_pairs", f"with {o.TOKENS}, {o.signature_sql()}, {o.band_sql()}, {o.CANDIDATES}, {o.EXACT} select id1, id2, round(round(jaccard, 9), 6) as jaccard from exact join cand using (id1, id2)")
+def jaccard_pairs(spark, d):
+    return _six(_lsh_pairs(spark, d), "jaccard")
+
+
+@query(
+    "lsh_quality",
+    f"""with {o.TOKENS}, {o.signature_sql()}, {o.band_sql()}, {o.CANDIDATES}, {o.EXACT}, found as (select id1, id2 from exact join cand using (id1, id2)),
+    c as (select (select count(*) from found) as tp, 0::bigint as fp, (select count(*) from exact) - (select count(*) from found) as fn)
+    select tp, fp, fn, round(tp::double / (tp + fp), 6) as precision, round(tp::double / (tp + fn), 6) as recall from c""",
+)
+def lsh_quality(spark, d):
+    return _six(lsh.quality(_lsh_pairs(spark, d), similarity.jaccard_pairs_exact(views.tokens(spark, d), 0.5)), "precision", "recall")
+
+
+# recommendation and evaluation
+
+
+def _user_cf(spark, d):
+    train, test = _split(spark, d)
+    return test, recommend.predict_user_cf(train, test)
+
+
+def _item_cf(spark, d):
+    train, test = _split(spark, d)
+    return test, recommend.predict_item_cf(train, test)
+
+
+def _mean(spark, d):
+    train, test = _split(spark, d)
+    return test, recommend.predict_user_mean(train, test)
+
+
+def _content(spark, d):
+    train, test = _split(spark, d)
+    return test, recommend.predict_content(train, test, views.genres(spark, d))
+
+
+MEAN_SQL = f"{o.RATINGS}, pred as (select t.user_id, t.item_id, mean as prediction from test t join umean using (user_id))"
+USER_SQL, ITEM_SQL, CONTENT_SQL = f"{o.RATINGS}, {o.USER_CF}", f"{o.RATINGS}, {o.ITEM_CF}", f"{o.RATINGS}, {o.GENRES}, {o.CONTENT}"
+
+for _name, _fn, _sql in (("user_cf", _user_cf, USER_SQL), ("item_cf", _item_cf, ITEM_SQL), ("user_mean", _mean, MEAN_SQL), ("content", _content, CONTENT_SQL)):
+    query(f"predict_{_name}", o.predictions(_sql))(lambda spark, d, f=_fn: _six(f(spark, d)[1], "prediction"))
+    query(f"rmse_{_name}", o.rmse(_sql))(lambda spark, d, f=_fn: _six(evaluate.rmse(*f(spark, d)), "rmse"))
+
+
+@query(
+    "predict_item_cf_jaccard",
+    o.predictions(
+        f"""{o.RATINGS}, {o.ITEM_SETS}, near as (select id1 as id, id2 as other, jaccard as w from jac where jaccard >= 0.1 union all select id2, id1, jaccard from jac where jaccard >= 0.1),
+    votes as (select t.user_id, t.item_id, sum(r.rating * w) / sum(w) as p from test t join near on near.id = t.item_id join train r on r.user_id = t.user_id and r.item_id = near.other group by t.user_id, t.item_id),
+    pred as (select t.user_id, t.item_id, coalesce(p, mean) as prediction from test t join umean using (user_id) left join votes using (user_id, item_id))"""
+    ),
+)
+def predict_item_cf_jaccard(spark, d):
+    train, test = _split(spark, d)
+    pairs = similarity.jaccard_pairs_exact(train, 0.1, "item_id", "user_id")
+    return _six(recommend.predict_item_jaccard(train, test, pairs), "prediction")
+
+
+@query(
+    "predict_hybrid",
+    f"""with {o.RATINGS}, {o.GENRES}, {o.USER_CF.replace("votes as", "uvotes as").replace("left join votes", "left join uvotes").replace("pred as", "upred as")}, {o.CONTENT}
+    select u.user_id, u.item_id, round(round(case when u.w is null then c.prediction else u.prediction end, 9), 6) + 0.0 as prediction from upred u join pred c using (user_id, item_id)""",
+)
+def predict_hybrid(spark, d):
+    train, test = _split(spark, d)
+    return _six(recommend.predict_user_cf(train, test, genres=views.genres(spark, d)), "prediction")
+
+
+@query("predict_als")
+def predict_als(spark, d):
+    return recommend.predict_als(*_split(spark, d))
+
+
+@query("rmse_als")
+def rmse_als(spark, d):
+    train, test = _split(spark, d)
+    return evaluate.rmse(test, recommend.predict_als(train, test))
+
+
+@query(
+    "error_histogram",
+    f"""with {USER_SQL}, e as (select least(floor(round(abs(t.rating - p.prediction), 9)), 4)::int as bucket from test t join pred p using (user_id, item_id))
+    select b.bucket::int as bucket, count(e.bucket) as n from (select unnest(range(5)) as bucket) b left join e on e.bucket = b.bucket group by b.bucket""",
+)
+def error_histogram(spark, d):
+    return evaluate.error_histogram(*_user_cf(spark, d))
+
+
+@query(
+    "evaluation_report",
+    f"""with {USER_SQL}, e as (select round(abs(t.rating - p.prediction), 9) as e from test t join pred p using (user_id, item_id))
+    select count(*) as n, round(sqrt(avg(e * e)), 6) as rmse, count(*) filter (e < 1) as from_0, count(*) filter (e >= 1 and e < 2) as from_1,
+    count(*) filter (e >= 2 and e < 3) as from_2, count(*) filter (e >= 3 and e < 4) as from_3, count(*) filter (e >= 4) as from_4 from e""",
+)
+def evaluation_report(spark, d):
+    return _six(evaluate.report(*_user_cf(spark, d)), "rmse")
+
+
+# graph
+
+
+def _edges(spark, d):
+    ensure_checkpoint_dir(spark)
+    return graph.cooccurrence_edges(views.baskets(spark, d)).checkpoint()
+
+
+@query("cooccurrence_edges", f"with {o.BASKETS} select src, dst, shared from edges")
+def cooccurrence_edges(spark, d):
+    return graph.cooccurrence_edges(views.baskets(spark, d))
+
+
+@query("graph_stats", f"with {o.BASKETS} select (select count(*) from edges) as edges, (select count(distinct a) from g) as nodes")
+def graph_stats(spark, d):
+    return graph.graph_stats(_edges(spark, d))
+
+
+@query("neighbours", f"with {o.BASKETS} select a as node, array_to_string(list_sort(list(b)), ',') as others from g group by a")
+def neighbours(spark, d):
+    lists = aggregates.item_sets(graph.neighbours(_edges(spark, d)), "node", "other", "others")
+    return lists.select("node", F.concat_ws(",", F.transform("others", lambda x: x.cast("string"))).alias("others"))
+
+
+@query("node_degree", f"with {o.BASKETS} select a as node, count(*) as degree from g group by a")
+def node_degree(spark, d):
+    return graph.node_degree(_edges(spark, d))
+
+
+@query("ranked_nodes", f"with {o.BASKETS}, r as (select a, row_number() over (order by a) as at from (select distinct a from g)) select x.at as src, y.at as dst from edges join r x on x.a = src join r y on y.a = dst")
+def ranked_nodes(spark, d):
+    return graph.rank_nodes(_edges(spark, d).select("src", "dst"))
+
+
+@query("bfs_levels", f"with recursive {o.BASKETS}, {o.BFS} select r as root, n as node, d as level from lv")
+def bfs_levels(spark, d):
+    return graph.bfs_levels(_edges(spark, d))
+
+
+@query("edge_betweenness", f"with recursive {o.BASKETS}, {o.BFS}, {o.BETWEEN} select src, dst, round(round(betweenness, 9), 6) as betweenness from bw")
+def edge_betweenness(spark, d):
+    return _six(graph.edge_betweenness(_edges(spark, d)), "betweenness")
+
+
+@query(
+    "edge_rank",
+    f"""with recursive {o.BASKETS}, {o.BFS}, {o.BETWEEN}, t as (select src, dst, floor(round(betweenness, 9) * 1000) / 1000.0 as betweenness from bw)
+    select src, dst, betweenness, row_number() over (order by betweenness desc, src, dst) as rank from t""",
+)
+def edge_rank(spark, d):
+    return graph.edge_rank(graph.edge_betweenness(_edges(spark, d)))
+
+
+@query("connected_components", f"with recursive {o.BASKETS}, cc(n, c) as (select distinct a, a from g union select g.b, cc.c from cc join g on g.a = cc.n) select n as node, min(c) as component from cc group by n")
+def connected_components(spark, d):
+    return graph.components(_edges(spark, d))
+
+
+@query(
+    "modularity",
+    f"""with recursive {o.BASKETS}, lab as (select distinct a as node, a % 7 as label from g), m as (select count(*)::double as m from edges),
+    l as (select x.label, count(*) as l from edges join lab x on x.node = src join lab y on y.node = dst where x.label = y.label group by x.label),
+    k as (select label, count(*) as k from g join lab on node = a group by label)
+    select round(sum(coalesce(l, 0) / m - power(k / (2 * m), 2)), 6) as modularity from k left join l using (label), m""",
+)
+def modularity(spark, d):
+    e = _edges(spark, d)
+    labels = graph.neighbours(e).select("node", F.pmod("node", F.lit(7)).alias("label")).distinct()
+    return _six(graph.modularity(e, labels), "modularity")
+
+
+@query("girvan_newman")
+def girvan_newman(spark, d):
+    return graph.girvan_newman(_edges(spark, d))[0]
+
+
+@query("girvan_newman_modularity")
+def girvan_newman_modularity(spark, d):
+    return graph.girvan_newman(_edges(spark, d))[1]
+
+
+@query("community_members")
+def community_members(spark, d):
+    return graph.community_members(graph.girvan_newman(_edges(spark, d))[0])
+
+
+@query("louvain")
+def louvain(spark, d):
+    return graph.louvain(_edges(spark, d))
+
+
+@query("truncated", "select l_orderkey, l_linenumber, floor(round(l_extendedprice, 9) * 1000) / 1000.0 as price from lineitem")
+def truncated(spark, d):
+    return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", truncate(F.col("l_extendedprice")).alias("price"))
+
+
+# itemsets
+
+
+@query(
+    "freq_itemsets",
+    f"""with {o.ITEMSETS}, least_ as (select 0.005 * n as k from n)
+    select a as items, freq from s1, least_ where freq >= k union all select a || ',' || b, freq from s2, least_ where freq >= k union all select a || ',' || b || ',' || c, freq from s3, least_ where freq >= k""",
+)
+def freq_itemsets(spark, d):
+    sets = itemsets.frequent_itemsets(views.order_brands(spark, d), 0.005, 3)
+    return sets.select(F.concat_ws(",", "items").alias("items"), "freq")
+
+
+@query(
+    "assoc_rules",
+    f"""with {o.ITEMSETS}, r as (select a, b, freq from s2 union all select b, a, freq from s2)
+    select r.a as antecedent, r.b as consequent, round(r.freq::double / x.freq, 6) as confidence, round(r.freq::double / x.freq / (y.freq::double / n), 6) as lift, round(r.freq::double / n, 6) as support
+    from r join s1 x on x.a = r.a join s1 y on y.a = r.b, n where r.freq >= 0.015 * n and r.freq::double / x.freq >= 0.1""",
+)
+def assoc_rules(spark, d):
+    rules = itemsets.association_rules(views.order_brands(spark, d), 0.015, 0.1)
+    single = rules.where((F.size("antecedent") == 1) & (F.size("consequent") == 1))
+    return _six(single.select(F.concat_ws(",", "antecedent").alias("antecedent"), F.concat_ws(",", "consequent").alias("consequent"), "confidence", "lift", "support"), "confidence", "lift", "support")
