@@ -65,7 +65,7 @@ class EliasFano:
             np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (_U(64) - shift[spill]))
         places = (v >> _U(bits)).astype(np.int64) + np.arange(n)
         size = (top >> bits) + 1 + n
-        unary = np.zeros(-(-(size + 1) // 64) * 64, np.uint8)
+        unary = np.zeros((-(-(size + 1) // 64) + 1) * 64, np.uint8)  # a word of zeros to end with
         unary[places] = 1
         high = np.packbits(unary, bitorder="little").view("<u8")
         before = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))])[:-1]
@@ -105,10 +105,19 @@ class EliasFano:
             return out
         x = values[ok] - _U(self.base)
         bucket, part = (x >> _U(self.bits)).astype(np.int64), x & _U((1 << self.bits) - 1)
-        end = self._select0(bucket) - bucket
-        start = np.zeros(len(ok), np.int64)
+        at = np.zeros(len(ok), np.int64)  # the bucket's ones begin behind the zero that ends the bucket before
         later = bucket > 0
-        start[later] = self._select0(bucket[later] - 1) - (bucket[later] - 1)
+        at[later] = self._select0(bucket[later] - 1) + 1
+        word, shift = at >> 6, (at & 63).astype(_U)
+        run = self.high[word] >> shift
+        cut = shift > 0
+        run[cut] |= self.high[word[cut] + 1] << (_U(64) - shift[cut])
+        gap = ~run
+        ones = np.bitwise_count((gap & (~gap + _U(1))) - _U(1)).astype(np.int64)
+        start = at - bucket
+        end = start + ones
+        long = np.flatnonzero(gap == 0)
+        end[long] = self._select0(bucket[long]) - bucket[long]
         stop, live = end.copy(), np.flatnonzero(start < end)
         while len(live):  # least place in the bucket whose low bits aren't smaller
             mid = (start[live] + stop[live]) >> 1

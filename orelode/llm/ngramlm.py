@@ -42,7 +42,7 @@ from orelode.llm.eliasfano import DEQUANTISE, NgramTrie
 from orelode.llm.textcore import LOWER, mix, runs, span_hashes, text_hash, utf8_column, word_spans
 from orelode.llm.warc import file_system
 
-PART_TOKENS = 1_500_000
+PART_TOKENS = 2_400_000
 HOT_SHARE = 0.002
 SPLIT = 64
 _U = np.uint64
@@ -50,7 +50,7 @@ _U = np.uint64
 END, BEGIN = _U(text_hash(b" end")), _U(text_hash(b" begin"))
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
+def pack(arrays: list[np.ndarray], level: int = 1) -> bytes:
     """Unsigned integer or float arrays, each in its least width, compressed."""
     slim = []
     for a in arrays:
@@ -58,13 +58,44 @@ def pack(arrays: list[np.ndarray]) -> bytes:
             top = int(a.max())
             a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
         slim.append(np.ascontiguousarray(a))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(slim, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(slim, protocol=5))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def word_bits(n: int) -> int:
+    """Bits by which a context's successors are told apart: eight more than the successors of the largest whole context need."""
+    return int(np.clip(np.ceil(np.log2(max(2.0, HOT_SHARE * n))) + 8, 8, 32))
+
+
+def squeeze(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Values of so many bits as whole bytes and a rest of 1, 2, 4 or 8 bits."""
+    whole, rest = divmod(bits, 8)
+    low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :whole]).ravel()
+    if not rest:
+        return [low, np.zeros(0, np.uint8)]
+    width = next(w for w in (1, 2, 4, 8) if w >= rest)
+    high = np.zeros(-(-len(values) * width // 8) * 8 // width, np.uint8)
+    high[: len(values)] = values >> _U(8 * whole)
+    shifts = np.arange(0, 8, width, dtype=np.uint8)
+    return [low, np.bitwise_or.reduce(high.reshape(-1, 8 // width) << shifts, axis=1)]
+
+
+def unsqueeze(low: np.ndarray, high: np.ndarray, bits: int, n: int) -> np.ndarray:
+    whole, rest = divmod(bits, 8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :whole] = low.reshape(n, whole)
+    values = out.view("<u8").ravel()
+    if rest and n:
+        width = next(w for w in (1, 2, 4, 8) if w >= rest)
+        shifts = np.arange(0, 8, width, dtype=np.uint8)
+        top = ((high.astype(np.uint8)[:, None] >> shifts) & np.uint8((1 << width) - 1)).ravel()[:n]
+        values = values | (top.astype(_U) << _U(8 * whole))
+    return values
+
+
 class Part:
     """Tokens of some documents, as numbers in their sorted list of word hashes."""
 
@@ -77,12 +108,21 @@ class Part:
         return cls(ids, train, lens, words, at[:-2].astype(np.int32))
 
     def dump(self) -> bytes:
-        return pack([np.frombuffer(pickle.dumps(self.ids), np.uint8), self.train.astype(np.uint8), self.lens, self.words, self.token])
+        """Compressed, with words numbered by frequency and the numbers' bytes apart."""
+        order = np.argsort(-np.bincount(self.token, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        planes = rank[self.token].astype("<u4").view(np.uint8).reshape(-1, 4).T
+        return pack([np.frombuffer(pickle.dumps(self.ids), np.uint8), self.train.astype(np.uint8), self.lens, self.words[order], *planes], level=3)
 
     @classmethod
     def load(cls, raw: bytes) -> Part:
-        ids, train, lens, words, token = unpack(raw)
-        return cls(pickle.loads(ids.tobytes()), train.astype(bool), lens.astype(np.int64), words, token.astype(np.int64))
+        ids, train, lens, words, *planes = unpack(raw)
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number = np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()
+        return cls(pickle.loads(ids.tobytes()), train.astype(bool), lens.astype(np.int64), words[order].astype(_U), rank[number])
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.token, np.repeat(self.train, self.lens), len(self.words)).astype(np.int64)
@@ -140,35 +180,37 @@ class Asked:
         self.befores, self.pair_ctx = pairs & _U(0xFFFFFFFF), (pairs >> _U(32)).astype(np.int64)
         self.n = n
 
-    def arrays(self) -> list[np.ndarray]:
+    def arrays(self, bits: int) -> list[np.ndarray]:
         nc = len(self.keys)
         first = np.searchsorted(self.pair_ctx, np.arange(nc))
         return [
-            self.keys, np.bincount(self.suc_ctx, minlength=nc), self.words, np.bincount(self.suc, minlength=len(self.words)),
-            np.bincount(self.pair_ctx, minlength=nc), self.befores, self.pair - first[self.ctx], self.n,
+            self.keys, np.bincount(self.suc_ctx, minlength=nc), *squeeze(self.words, bits), np.bincount(self.suc, minlength=len(self.words)),
+            np.bincount(self.pair_ctx, minlength=nc), *squeeze(self.befores, bits), self.pair - first[self.ctx], self.n,
         ]
 
 
-def asked_from(arrays: list[np.ndarray]):
+def asked_from(arrays: list[np.ndarray], bits: int):
     """(keys, suc_ctx, words, tri_suc, pair_ctx, befores, tri_pair, n) of a packed block."""
-    keys, n_suc, words, n_tri, n_pair, befores, rank, n = arrays
+    keys, n_suc, low, high, n_tri, n_pair, low2, high2, rank, n = arrays
+    words = unsqueeze(low, high, bits, len(n_tri))
+    befores = unsqueeze(low2, high2, bits, int(n_pair.sum()))
     suc_ctx = np.repeat(np.arange(len(keys)), n_suc)
     tri_suc = np.repeat(np.arange(len(words)), n_tri)
     pair_ctx = np.repeat(np.arange(len(keys)), n_pair)
     first = np.concatenate([[0], np.cumsum(n_pair.astype(np.int64))])
-    return keys.astype(_U), suc_ctx, words.astype(_U), tri_suc, pair_ctx, befores.astype(_U), first[suc_ctx[tri_suc]] + rank, n.astype(np.int64)
+    return keys.astype(_U), suc_ctx, words, tri_suc, pair_ctx, befores, first[suc_ctx[tri_suc]] + rank, n.astype(np.int64)
 
 
 class Blocks:
     """A part's trigrams in the order in which they are asked: plain contexts, then hot ones."""
 
-    def __init__(self, part: Part, hot: np.ndarray, shards: int, inverse: bool = False):
+    def __init__(self, part: Part, hot: np.ndarray, shards: int, bits: int, inverse: bool = False):
         p1, w, p2, n, self.which = part.trigrams(inverse)
         words = part.words
         is_hot = np.isin(words, hot)[p1]
         self.p1, self.w = p1, w
         self.plain, self.hot = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
-        short = lambda i: words[i] >> _U(32)
+        short = lambda i: words[i] >> _U(64 - bits)
         a, h = self.plain, self.hot
         plain = words[p1[a]], short(w[a]), short(p2[a]), n[a]
         change = np.append(True, (p1[h][1:] != p1[h][:-1]) | (w[h][1:] != w[h][:-1])) if len(h) else np.zeros(0, bool)
@@ -269,52 +311,75 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([*parts, None], pa.string()), pa.array([0] * n + [2], pa.int32()), pa.array([shard] * (n + 1), pa.int32()), pa.array([*out, summary], pa.binary())], names=["part", "kind", "shard", "blob"])
 
 
-def build_trie(asked: list) -> NgramTrie:
-    """The trie of a shard, from the blocks of all parts."""
-    keys, pairs_, sucs, tris = [], [], [], []
-    for key, suc_ctx, word, tri_suc, pair_ctx, before, tri_pair, n in asked:
-        seen = np.flatnonzero(n)
-        ctx = key[suc_ctx[tri_suc[seen]]]
-        keys.append(ctx)
-        sucs.append(word[tri_suc[seen]])
-        pairs_.append(before[tri_pair[seen]])
-        tris.append(n[seen])
-    ctx, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.concatenate(tris)
-    suc, suc_at = np.unique((at.astype(_U) << _U(32)) | np.concatenate(sucs), return_inverse=True)
-    pair, pair_at = np.unique((at.astype(_U) << _U(32)) | np.concatenate(pairs_), return_inverse=True)
-    tri, tri_at = np.unique((pair_at.astype(_U) << _U(32)) | suc_at.astype(_U), return_inverse=True)
-    low = _U(0xFFFFFFFF)
-    return NgramTrie.build(
-        ctx, (suc >> _U(32)).astype(np.int64), suc & low, np.bincount(suc_at, n, len(suc)), (pair >> _U(32)).astype(np.int64), pair & low,
-        (tri >> _U(32)).astype(np.int64), (tri & low).astype(np.int64), np.bincount(tri_at, n, len(tri)),
-    )
-
-
-def ask(trie: NgramTrie, block) -> list[np.ndarray]:
-    """Answers to a block: of contexts the totals and kinds, then the bytes of successors, pairs and trigrams."""
-    key, suc_ctx, word, tri_suc, pair_ctx, before, tri_pair, _ = block
-    ctx = trie.context(key)
-    suc, pair = trie.successor(ctx[suc_ctx], word), trie.pair(ctx[pair_ctx], before)
-    tri = trie.trigram(ctx[suc_ctx[tri_suc]], pair[tri_pair], suc[tri_suc])
-
-    def values(name: str, at: np.ndarray, other) -> np.ndarray:
-        out = np.full(len(at), other, trie.levels[name].dtype)
-        out[at >= 0] = trie.levels[name][at[at >= 0]]
-        return out
-
-    return [values("total2", ctx, 0), values("kinds2", ctx, 0), values("p2", suc, 0), values("left3", pair, 1), values("p3", tri, 0)]
-
-
-def answer_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Builds a shard's trie and answers all parts."""
-    parts, blobs, shard = _gather(batches)
-    if not parts:
-        return
-    trie = build_trie([asked_from(x) for b in blobs for x in _halves(unpack(b))]).through_file()
-    for part, blob in zip(parts, blobs):
-        out = pack([a for x in _halves(unpack(blob)) for a in ask(trie, asked_from(x))])
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([1], pa.int32()), pa.array([shard], pa.int32()), pa.array([out], pa.binary())], names=["part", "kind", "shard", "blob"])
+class Questions:
+    """The blocks of all parts that a shard got, and their distinct n-grams."""
+
+    def __init__(self, blocks: list):
+        size = np.array([[len(b[k]) for k in (0, 1, 4, 3)] for b in blocks])  # contexts, successors, pairs, trigrams
+        self.at = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(size, axis=0)])
+        cat = lambda k, level: np.concatenate([b[k] + self.at[i, level] for i, b in enumerate(blocks)])
+        all_of = lambda k: np.concatenate([b[k] for b in blocks])
+        self.ctx, self.ctx_of = np.unique(all_of(0), return_inverse=True)
+        self.suc, self.suc_of = np.unique(self._under(self.ctx_of[cat(1, 0)], all_of(2)), return_inverse=True)
+        self.pair, self.pair_of = np.unique(self._under(self.ctx_of[cat(4, 0)], all_of(5)), return_inverse=True)
+        self.tri, self.tri_of = np.unique(self._under(self.pair_of[cat(6, 2)], self.suc_of[cat(3, 1)].astype(_U)), return_inverse=True)
+        self.n = np.bincount(self.tri_of, all_of(7), len(self.tri))
+
+    @staticmethod
+    def _under(parent: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return (parent.astype(_U) << _U(32)) | item
+
+    @staticmethod
+    def _split(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (code >> _U(32)).astype(np.int64), code & _U(0xFFFFFFFF)
+
+    def trie(self) -> NgramTrie:
+        """The trie of the n-grams that occur in training."""
+        seen = self.n > 0
+        pair, suc = self._split(self.tri[seen])
+        suc, n = suc.astype(np.int64), self.n[seen]
+        suc_n, pair_n = np.bincount(suc, n, len(self.suc)), np.bincount(pair, n, len(self.pair))
+        (suc_ctx, word), (pair_ctx, before) = self._split(self.suc), self._split(self.pair)
+        ctx_n = np.bincount(suc_ctx, suc_n, len(self.ctx))
+        place = lambda count: np.cumsum(count > 0) - 1  # noqa: E731  numbers among those that occur
+        c, s, p = place(ctx_n), place(suc_n), place(pair_n)
+        ks, kp = suc_n > 0, pair_n > 0
+        return NgramTrie.build(self.ctx[ctx_n > 0], c[suc_ctx[ks]], word[ks], suc_n[ks], c[pair_ctx[kp]], before[kp], p[pair], s[suc], n)
+
+    def answers(self, trie: NgramTrie) -> list[np.ndarray]:
+        """What the trie has of the distinct contexts, successors, pairs and trigrams: totals and kinds, then bytes."""
+        (suc_ctx, word), (pair_ctx, before), (tri_pair, tri_suc) = (self._split(x) for x in (self.suc, self.pair, self.tri))
+        ctx = trie.context(self.ctx)
+        suc, pair = trie.successor(ctx[suc_ctx], word), trie.pair(ctx[pair_ctx], before)
+        tri = trie.trigram(ctx[pair_ctx[tri_pair]], pair[tri_pair], suc[tri_suc.astype(np.int64)])
+
+        def values(name: str, at: np.ndarray, other) -> np.ndarray:
+            out = np.full(len(at), other, trie.levels[name].dtype)
+            out[at >= 0] = trie.levels[name][at[at >= 0]]
+            return out
+
+        return [values("total2", ctx, 0), values("kinds2", ctx, 0), values("p2", suc, 0), values("left3", pair, 1), values("p3", tri, 0)]
+
+    def of_block(self, i: int, found: list[np.ndarray]) -> list[np.ndarray]:
+        spans = [slice(self.at[i, k], self.at[i + 1, k]) for k in range(4)]
+        of = [x[s] for x, s in zip((self.ctx_of, self.suc_of, self.pair_of, self.tri_of), spans)]
+        return [found[0][of[0]], found[1][of[0]], found[2][of[1]], found[3][of[2]], found[4][of[3]]]
+
+
+def trigram_answers(bits: int):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Builds a shard's trie and answers all parts."""
+        parts, blobs, shard = _gather(batches)
+        if not parts:
+            return
+        asked = Questions([asked_from(x, bits) for b in blobs for x in _halves(unpack(b))])
+        del blobs
+        found = asked.answers(asked.trie().through_file())
+        for k, part in enumerate(parts):
+            out = pack(asked.of_block(2 * k, found) + asked.of_block(2 * k + 1, found))
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([1], pa.int32()), pa.array([shard], pa.int32()), pa.array([out], pa.binary())], names=["part", "kind", "shard", "blob"])
+
+    return answer
 
 
 def _halves(arrays: list) -> list[list]:
@@ -372,7 +437,7 @@ def score_part(part: Part, blocks: Blocks, counts: np.ndarray, answers: dict[int
 def score_documents(docs: DataFrame, shards: int | None = None, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Scores of docs (doc_id, text, train), learned from those with train."""
     spark = docs.sparkSession
-    shards = shards or partitions(spark)
+    shards = shards or 2 * partitions(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
     words = write_parts(docs, folder, shards, part_tokens)
     counted = cut_lineage(words.repartitionById(shards, F.col("shard")).mapInArrow(count_words, ANSWER))
@@ -380,20 +445,21 @@ def score_documents(docs: DataFrame, shards: int | None = None, part_tokens: int
     n, v = sum(t[0] for t in totals), sum(t[1] for t in totals)
     hot = [t[2][t[3] >= HOT_SHARE * n] for t in totals]
     hot = np.sort(np.append(np.concatenate([np.zeros(0, _U), *hot]), BEGIN))
+    bits = word_bits(n)
     parts = counted.where("kind = 0").select("part").distinct()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
-                blocks = Blocks(Part.load(_read(fs, f"{root}/{name}")), hot, shards)
+                blocks = Blocks(Part.load(_read(fs, f"{root}/{name}")), hot, shards, bits)
                 for s in range(shards):
                     if (asked := blocks.asked(s)) is not None:
-                        blob = pack([a for x in asked for a in x.arrays()])
+                        blob = pack([a for x in asked for a in x.arrays(bits)])
                         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name]), pa.array([blob], pa.binary())], names=["shard", "part", "blob"])
 
-    sent = parts.repartition(shards, "part").mapInArrow(send, "shard int, part string, blob binary")
-    answers = sent.repartitionById(shards, F.col("shard")).mapInArrow(answer_trigrams, ANSWER)
+    sent = parts.repartition(shards, F.xxhash64("part")).mapInArrow(send, "shard int, part string, blob binary")
+    answers = sent.repartitionById(shards, F.col("shard")).mapInArrow(trigram_answers(bits), ANSWER)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -401,7 +467,7 @@ def score_documents(docs: DataFrame, shards: int | None = None, part_tokens: int
 
         def done() -> pa.RecordBatch:
             part = Part.load(_read(fs, f"{root}/{name}"))
-            blocks = Blocks(part, hot, shards, inverse=True)
+            blocks = Blocks(part, hot, shards, bits, inverse=True)
             cut = word_slices(part, shards)
             want = [set(np.flatnonzero(np.diff(cut)).tolist()), {s for s in range(shards) if any(c[s] < c[s + 1] for c in blocks.cuts)}]
             if [set(got[0]), set(got[1])] != want:
