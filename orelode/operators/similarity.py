@@ -43,17 +43,20 @@ def jaccard_pairs_exact(sets: DataFrame, least: float = 0.5, key: str = "id", it
 
     Prefix filter: with items in order of rarity, two sets that reach the threshold
     share an item among the first n - ceil(least * n) + 1 of each, so only rare
-    items are joined. The result is exact.
+    items are joined. Their first common item must also leave enough items behind
+    it in both for the overlap that the threshold needs. The result is exact.
     """
     rows = sets.select(F.col(key).alias("id"), F.col(item).alias("t")).distinct()
     often = rows.groupBy("t").agg(F.count("*").alias("df"))
     marked = rows.join(often, "t")
     order = Window.partitionBy("id").orderBy("df", "t")
     ranked = marked.withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "t", "n")
-    a = prefix.select(F.col("id").alias("id1"), "t", F.col("n").alias("n1"))
-    b = prefix.select(F.col("id").alias("id2"), "t", F.col("n").alias("n2"))
+    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.round(F.lit(least) * F.col("n"), 6)) + 1).select("id", "t", "n", "at")
+    a = prefix.select(F.col("id").alias("id1"), "t", F.col("n").alias("n1"), F.col("at").alias("at1"))
+    b = prefix.select(F.col("id").alias("id2"), "t", F.col("n").alias("n2"), F.col("at").alias("at2"))
     fits = (F.col("n1") >= F.lit(least) * F.col("n2")) & (F.col("n2") >= F.lit(least) * F.col("n1"))
+    behind = 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    fits &= behind >= F.ceil(F.round(F.lit(least / (1 + least)) * (F.col("n1") + F.col("n2")), 6))
     candidates = a.join(b, "t").where((F.col("id1") < F.col("id2")) & fits).select("id1", "id2").distinct()
     return verify_jaccard(candidates, rows, least)
 
