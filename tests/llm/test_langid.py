@@ -1,0 +1,66 @@
+import numpy as np
+import pytest
+
+from orelode.llm import langid
+from tests.llm.conftest import WORDS, odd_documents, prose
+
+
+def corpus(n=120):
+    langs = list(WORDS)
+    return [(i, prose(langs[i % 3], 40, i), langs[i % 3], "s") for i in range(n)]
+
+
+def test_held_out_accuracy_and_odd_rows(spark, tables):
+    rows = corpus() + odd_documents()
+    docs = {i: (t, lang) for i, t, lang, _ in rows}
+    got = langid.op1_langid(spark, tables(documents=rows)).collect()
+    assert len(got) == len(rows)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1000]
+    assert held and all(r["lang_pred"] == docs[r["doc_id"]][1] for r in held)
+    assert all(0 <= r["score"] <= 1 for r in got)
+    for r in got:
+        text = docs.get(r["doc_id"], (None,))[0] if r["doc_id"] is not None else "?"
+        if text is None or not any(c.isalpha() for c in text):
+            assert r["doc_id"] is None or (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["doc_id"] is None or r["lang_pred"] in WORDS
+
+
+def test_without_labels(spark, tables):
+    got = langid.op1_langid(spark, tables(documents=[(1, "some text", None, "s"), (2, None, None, None)])).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+
+
+def test_empty_table(spark, tables):
+    assert langid.op1_langid(spark, tables(documents=[])).count() == 0
+
+
+def test_one_language(spark, tables):
+    rows = [(i, prose("en", 10, i), "en", "s") for i in range(20)] + [(99, "zut alors", None, None)]
+    assert {r["lang_pred"] for r in langid.op1_langid(spark, tables(documents=rows)).collect()} == {"en"}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 12, 40])
+def test_codewords_differ(n):
+    code = langid.codewords(n)
+    assert len({tuple(r) for r in code}) == n
+    assert all(abs(c.sum()) < n for c in code.T)
+
+
+def test_margins_are_sums_over_texts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    model = langid.LanguageModel(["a", "b"], langid.codewords(2), np.ones(1), rng.normal(size=(1 << langid.BUCKET_BITS, 1)).astype(np.float32))
+    texts = ["hello there", "", "x", "one two three", None, "é à"]
+    whole = model.margins(*langid._fold(pa.array(texts)))
+    for t, m in zip(texts, whole):
+        assert np.allclose(model.margins(*langid._fold(pa.array([t], pa.string())))[0], m)
+
+
+def test_stage_keeps_clean_rows_and_columns(spark, tables):
+    rows = corpus(60) + [(500, "123 456", "en", "s"), (501, None, "en", "s"), (502, "", None, None)]
+    docs = spark.read.parquet(tables(documents=rows) + "/documents.parquet")
+    kept = langid.keep_identified(docs, langid.learn_from(docs))
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60))

@@ -1,0 +1,68 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from orelode.llm import urlfilter
+from orelode.llm.textcore import utf8_column
+from orelode.llm.urlfilter import GlobAutomaton, Rule
+
+
+def plain(url, rules, default="allow"):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:cut], rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+    best = None
+    for r in rules:
+        h, _, p = r.rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(r.rule) > len(best.rule)):
+            best = r
+    return host, path, best.rule if best else None, best.verdict if best else default
+
+
+URLS = [
+    None, "", "nothing", "http://", "http://net", "http://net/", "http://a.net/x", "http://annet/x", "http://x.com/a.net/y", "HTTP://A.EXAMPLE.NET/en/1?x#y",
+    "https://example.net/en", "https://example.net/fr/", "http://b.example.com/de/z", "http://example.com/DE/z", "http://u@w.org/fr/", "http://w.org/fr/x#http://a.net/",
+    "http://w.org:80/fr/", "a://b://c.net/d", "http://É.net/é", "http://x.net/" + "p" * 5000, "http://a.net?b/", "http://a.net#/en/", "http://x\n.net/\n",
+]
+
+
+def test_production_rules(spark, tables):
+    rules = [Rule(v, r) for v, r in urlfilter.RULES]
+    rows = [(k, u, "h", "d", "r") for k, u in enumerate(URLS)] + [(3, "http://a.net/", None, None, None), (None, "http://a.net/", None, None, None)]
+    got = urlfilter.op3_urlfilter(spark, tables(pages=rows)).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted([(i, *plain(u, rules)) for i, u, *_ in rows], key=key)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_many_rules(spark, seed):
+    rng = random.Random(seed)
+    part = lambda n: "".join(rng.choice("ab.") for _ in range(rng.randint(1, n)))
+    rules = [Rule(rng.choice(["block", "allow"]), f"{part(4)}/{rng.choice(['', 'a', 'b/'])}") for _ in range(40)]
+    rules = list({r.rule: r for r in rules}.values())
+    urls = [f"http://{part(7)}/{rng.choice(['', 'a', 'b/', 'ab'])}" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for r in urlfilter.judge_urls(df, rules, default="none").collect():
+        want = plain(urls[r["page_id"]], rules, "none")
+        assert (r["host"], r["path"]) == want[:2] and len(r["rule"] or "") == len(want[2] or "")
+
+
+def test_no_rules_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "http://a.net/")], "page_id bigint, url string")
+    assert urlfilter.judge_urls(df, []).first()["verdict"] == "allow"
+    assert urlfilter.judge_urls(df.limit(0), [Rule("block", "net/")]).count() == 0
+
+
+def test_state_carries_over_words():
+    globs = [f"*{'a' * n}b*" for n in range(1, 30)]
+    machine = GlobAutomaton(globs)
+    assert machine.words > 5
+    state = machine.run(*utf8_column(pa.array(["x" + "a" * 12 + "b", "ab", ""])))
+    hits = np.array([[(state[k, w] & bit) != 0 for w, bit in machine.final] for k in range(3)])
+    assert hits.sum(axis=1).tolist() == [12, 1, 0]
