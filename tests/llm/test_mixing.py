@@ -1,0 +1,66 @@
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from orelode.llm import mixing
+from tests.llm.conftest import odd_documents
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
+def test_water_fill(sizes):
+    weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+    got = mixing.water_fill(sizes, weights, 1.5 * sum(sizes))
+    assert sum(got) == pytest.approx(1.5 * sum(sizes))
+    assert all(g <= 2 * s + 1e-9 for g, s in zip(got, sizes))
+    free = [g / w for g, w, s in zip(got, weights, sizes) if g < 2 * s - 1e-9]
+    assert all(f == pytest.approx(free[0]) for f in free)
+    assert all(g / w <= free[0] + 1e-9 for g, w in zip(got, weights)) if free else True
+
+
+def corpus():
+    rng = random.Random(1)
+    return [(i, " ".join(["w"] * rng.randint(1, 200)), "en", rng.choice(["b", "b", "b", "A", "é", None])) for i in range(600)]
+
+
+def test_query(spark, tables):
+    rows = corpus() + odd_documents()
+    at = tables(documents=rows)
+    got = mixing.op4_mixing(spark, at).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, mixing.op4_mixing(spark, at).collect())))
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _, _ in rows if i is not None}
+    source = {i: s for i, _, _, s in rows if i is not None}
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        assert r["taken"] <= 2 * r["size"] and (r["doc_id"] is None or r["size"] == size[r["doc_id"]])
+        if r["doc_id"] is not None:
+            of.setdefault(source[r["doc_id"]], []).append(r)
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _, s in rows if s == n) for n in names]
+    targets = mixing.water_fill(sizes, [(5.0, 2.0, 1.0)[k % 3] for k in range(len(names))], 1.5 * sum(sizes))
+    for n, s, t in zip(names, sizes, targets):
+        assert {(r["source_size"], round(r["target"], 6)) for r in of[n]} == {(s, round(t, 6))}
+    for n, t in zip(names, targets):
+        taken = sum(r["taken"] for r in got if (r["source_size"], round(r["target"], 6)) == (sizes[names.index(n)], round(t, 6)))
+        assert abs(taken - t) <= 0.05 * t + 30
+
+
+def test_stage_agrees_with_the_query(spark, tables):
+    at = tables(documents=corpus())
+    docs = spark.read.parquet(at + "/documents.parquet")
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns
+    times = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    for r in mixing.op4_mixing(spark, at).collect():
+        assert r["taken"] == times.get(r["doc_id"], 0) * r["size"]
+
+
+def test_few_and_none(spark, tables):
+    assert [r["taken"] for r in mixing.op4_mixing(spark, tables(documents=[(1, "a b c d", None, "s")])).collect()] in ([4], [8])
+    assert mixing.mix_documents(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
+    blank = spark.createDataFrame([(1, None, "s"), (2, " ", None)], "doc_id bigint, text string, source string")
+    assert {(r["size"], r["target"], r["taken"]) for r in mixing.mix_documents(blank).collect()} == {(0, 0.0, 0)}
