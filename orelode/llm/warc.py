@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -203,7 +204,7 @@ class WarcReader(DataSourceReader):
     def records(self, path: str) -> Iterator[tuple]:
         fs, _ = file_system(self.path)
         with fs.open_input_stream(path, compression=None) as raw:
-            source = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+            source = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 16)
             while (head := read_header(source)) is not None:
                 length = int(head.get("content-length", 0))
                 row = self.from_header(head)
