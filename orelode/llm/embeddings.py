@@ -201,3 +201,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+#: All pairs by brute force; the operator finds the same links as long as no table misses one.
+ORACLE = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+w as (select vec_id, e, sqrt(list_inner_product(e, e)) as norm from v where list_inner_product(e, e) > 0),
+links as (select a.vec_id as a, b.vec_id as b from w a join w b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+cc(n, c) as (select vec_id, vec_id from embeddings union select links.b, cc.c from cc join links on links.a = cc.n),
+least_ as (select n, min(c) as component_id from cc group by n),
+counts as (select a, count(*) as n_links from links group by a)
+select e.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least_ on least_.n = e.vec_id left join counts on counts.a = e.vec_id
+"""

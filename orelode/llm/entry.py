@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_urlfilter": urlfilter.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op10_embeddings": embeddings.ORACLE,
 }
