@@ -54,14 +54,14 @@ def word_count(spark, d):
     return aggregates.word_count(views.lines(spark, d))
 
 
-@query("avg_rating_by_item", f"with {o.RATINGS} select item_id, round(avg(rating), 6) as rating_avg from ratings group by item_id")
+@query("avg_rating_by_item", f"with {o.RATINGS} select item_id, round(round(avg(rating), 9), 6) as rating_avg from ratings group by item_id")
 def avg_rating_by_item(spark, d):
     return _six(aggregates.mean_by(views.ratings(spark, d), "item_id", "rating", "rating_avg"), "rating_avg").orderBy("item_id")
 
 
 @query(
     "avg_rating_by_tag",
-    f"with {o.RATINGS}, tags as (select p_partkey as item_id, unnest(string_split(p_name, ' ')) as tag from part) select tag, round(avg(rating), 6) as rating_avg from tags join ratings using (item_id) group by tag",
+    f"with {o.RATINGS}, tags as (select p_partkey as item_id, unnest(string_split(p_name, ' ')) as tag from part) select tag, round(round(avg(rating), 9), 6) as rating_avg from tags join ratings using (item_id) group by tag",
 )
 def avg_rating_by_tag(spark, d):
     return _six(aggregates.mean_by_tag(views.ratings(spark, d), views.tags(spark, d)), "rating_avg")
@@ -171,13 +171,13 @@ def amplified_similarity(spark, d):
 
 @query(
     "genre_cosine",
-    f"with {o.GENRES}, n as (select item_id, count(*) as n from genres group by item_id) select a.item_id as id1, b.item_id as id2, round(count(*) / sqrt(x.n * y.n), 6) as cosine from genres a join genres b on a.genre = b.genre and a.item_id < b.item_id join n x on x.item_id = a.item_id join n y on y.item_id = b.item_id group by a.item_id, b.item_id, x.n, y.n",
+    f"with {o.GENRES}, n as (select item_id, count(*) as n from genres group by item_id) select a.item_id as id1, b.item_id as id2, round(round(count(*) / sqrt(x.n * y.n), 9), 6) as cosine from genres a join genres b on a.genre = b.genre and a.item_id < b.item_id join n x on x.item_id = a.item_id join n y on y.item_id = b.item_id group by a.item_id, b.item_id, x.n, y.n",
 )
 def genre_cosine(spark, d):
     return _six(similarity.binary_cosine(views.genres(spark, d)), "cosine")
 
 
-@query("inverse_user_frequency", f"with {o.RATINGS} select item_id, round(log10((select count(distinct user_id) from train)::double / count(distinct user_id)), 6) + 0.0 as iuf from train group by item_id")
+@query("inverse_user_frequency", f"with {o.RATINGS} select item_id, round(round(log10((select count(distinct user_id) from train)::double / count(distinct user_id)), 9), 6) + 0.0 as iuf from train group by item_id")
 def inverse_user_frequency(spark, d):
     return _six(similarity.inverse_user_frequency(_split(spark, d)[0]), "iuf")
 
@@ -217,7 +217,7 @@ def jaccard_pairs(spark, d):
     "lsh_quality",
     f"""with {o.TOKENS}, {o.signature_sql()}, {o.band_sql()}, {o.CANDIDATES}, {o.EXACT}, found as (select id1, id2 from exact join cand using (id1, id2)),
     c as (select (select count(*) from found) as tp, 0::bigint as fp, (select count(*) from exact) - (select count(*) from found) as fn)
-    select tp, fp, fn, round(tp::double / (tp + fp), 6) as precision, round(tp::double / (tp + fn), 6) as recall from c""",
+    select tp, fp, fn, round(round(tp::double / (tp + fp), 9), 6) as precision, round(round(tp::double / (tp + fn), 9), 6) as recall from c""",
 )
 def lsh_quality(spark, d):
     return _six(lsh.quality(_lsh_pairs(spark, d), similarity.jaccard_pairs_exact(views.tokens(spark, d), 0.5)), "precision", "recall")
@@ -301,7 +301,7 @@ def error_histogram(spark, d):
 @query(
     "evaluation_report",
     f"""with {USER_SQL}, e as (select round(abs(t.rating - p.prediction), 9) as e from test t join pred p using (user_id, item_id))
-    select count(*) as n, round(sqrt(avg(e * e)), 6) as rmse, count(*) filter (e < 1) as from_0, count(*) filter (e >= 1 and e < 2) as from_1,
+    select count(*) as n, round(round(sqrt(avg(e * e)), 9), 6) as rmse, count(*) filter (e < 1) as from_0, count(*) filter (e >= 1 and e < 2) as from_1,
     count(*) filter (e >= 2 and e < 3) as from_2, count(*) filter (e >= 3 and e < 4) as from_3, count(*) filter (e >= 4) as from_4 from e""",
 )
 def evaluation_report(spark, d):
@@ -371,7 +371,7 @@ def connected_components(spark, d):
     f"""with recursive {o.BASKETS}, lab as (select distinct a as node, a % 7 as label from g), m as (select count(*)::double as m from edges),
     l as (select x.label, count(*) as l from edges join lab x on x.node = src join lab y on y.node = dst where x.label = y.label group by x.label),
     k as (select label, count(*) as k from g join lab on node = a group by label)
-    select round(sum(coalesce(l, 0) / m - power(k / (2 * m), 2)), 6) as modularity from k left join l using (label), m""",
+    select round(round(sum(coalesce(l, 0) / m - power(k / (2 * m), 2)), 9), 6) as modularity from k left join l using (label), m""",
 )
 def modularity(spark, d):
     e = _edges(spark, d)
@@ -420,7 +420,7 @@ def freq_itemsets(spark, d):
 @query(
     "assoc_rules",
     f"""with {o.ITEMSETS}, r as (select a, b, freq from s2 union all select b, a, freq from s2)
-    select r.a as antecedent, r.b as consequent, round(r.freq::double / x.freq, 6) as confidence, round(r.freq::double / x.freq / (y.freq::double / n), 6) as lift, round(r.freq::double / n, 6) as support
+    select r.a as antecedent, r.b as consequent, round(round(r.freq::double / x.freq, 9), 6) as confidence, round(round(r.freq::double / x.freq / (y.freq::double / n), 9), 6) as lift, round(round(r.freq::double / n, 9), 6) as support
     from r join s1 x on x.a = r.a join s1 y on y.a = r.b, n where r.freq >= 0.015 * n and r.freq::double / x.freq >= 0.1""",
 )
 def assoc_rules(spark, d):

@@ -43,7 +43,7 @@ def pearson(side: str, shared: str, source: str = "train") -> str:
 
 def nearest(k: int, universe: str) -> str:
     """(id, other, sim) from ps; zero similarities take places without being listed."""
-    return f"""both_ as (select id1 as id, id2 as other, sim, round(sim, 6) as r from ps union all select id2, id1, sim, round(sim, 6) from ps),
+    return f"""both_ as (select id1 as id, id2 as other, sim, round(round(sim, 9), 6) as r from ps union all select id2, id1, sim, round(round(sim, 9), 6) from ps),
 placed as (select id, other, sim, r, case when r < 0 then (select count(distinct {universe}) from train) - 1
         - sum(case when r < 0 then 1 else 0 end) over (partition by id) + row_number() over (partition by id, r < 0 order by r desc, other)
         else row_number() over (partition by id order by r desc, other) end as place from both_),
@@ -103,4 +103,4 @@ def predictions(body: str, columns: str = "user_id, item_id, round(round(predict
 
 
 def rmse(body: str) -> str:
-    return f"with {body} select count(*) as n, round(sqrt(avg((t.rating - p.prediction) * (t.rating - p.prediction))), 6) as rmse from test t join pred p using (user_id, item_id)"
+    return f"with {body} select count(*) as n, round(round(sqrt(avg((t.rating - p.prediction) * (t.rating - p.prediction))), 9), 6) as rmse from test t join pred p using (user_id, item_id)"
