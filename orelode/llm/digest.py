@@ -1,12 +1,13 @@
 """Document fingerprints from improbable features (operator 2).
 
-Every window of ``WINDOW`` bytes has an entropy. Windows are ranked by how rare
-their entropy is in the corpus: a histogram over all windows of all documents
-gives the order, rarest first; windows of very low entropy are left out. In each
-run of ``POPULAR`` successive windows the leftmost of lowest rank scores a
-point, and windows with enough points are a document's features. Features are
-hashed and inserted, in order of place, in a chain of Bloom filters of 2048
-bits, five bits a feature, 160 features a filter.
+Every window of 32 bytes has an entropy. Windows are ranked by how rare their
+entropy is in the corpus: a histogram over all windows of all documents gives
+the order, rarest first; windows of very low entropy are left out. In each run
+of 32 successive windows the leftmost of lowest rank scores a point, and windows
+with enough points are a document's features. Texts under ``SHORT`` bytes also
+have features of 8 bytes, found alike, as few of the large ones fit in them.
+Features are hashed and inserted, in order of place, in a chain of Bloom filters
+of 2048 bits, five bits a feature, 160 features a filter.
 
 Two digests are compared filter by filter: the overlap of two filters' bits,
 less the overlap expected by chance, over the most that it could be; each filter
@@ -17,8 +18,8 @@ byte, within a window, gives the change of the sum of c log c by one step, so
 all windows of a batch take a few dozen vectorised passes.
 
 Cases: null texts are empty; an empty text has no features, equals other empty
-texts (likeness 1) and is unlike all others (0). Texts shorter than a window, or
-with low entropy throughout, have one feature, the whole text. Rows of equal id
+texts (likeness 1) and is unlike all others (0). Texts without any feature, too
+short or of low entropy throughout, have one, the whole text. Rows of equal id
 are in order of text; a null id comes first. A single row is its own next.
 """
 
@@ -27,6 +28,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,114 +39,142 @@ from pyspark.sql import functions as F
 from orelode.llm.common import partitions, table
 from orelode.llm.textcore import SpanHasher, mix, runs, utf8_column
 
-WINDOW = 32
-POPULAR = 32
-POINTS = 8
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 PROBES = 5
 LEVELS = 1000
-#: Windows under this entropy level carry too little to be features.
-LEAST_LEVEL = 200
+#: Texts of fewer bytes also have fine features.
+SHORT = 512
 RUN = 1 << 18
 _U = np.uint64
-_SCALE = 4096
-_CLOGC = np.array([0] + [round(c * np.log2(c) * _SCALE) for c in range(1, WINDOW + 1)], np.int32)
-_STEP = np.diff(_CLOGC)
 _NEVER = np.int64(1) << 62
 
 
-def entropy_levels(buf: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Scale:
+    """Size of the windows, of the runs in which they compete, the points that a feature needs, and the least entropy level."""
+
+    window: int
+    popular: int
+    points: int
+    least: int
+
+    @cached_property
+    def clogc(self) -> np.ndarray:
+        """c log c of counts, in integers."""
+        return np.array([0] + [round(c * np.log2(c) * 4096) for c in range(1, self.window + 1)], np.int32)
+
+
+COARSE, FINE = Scale(32, 32, 8, 200), Scale(8, 8, 2, 300)
+SCALES = (COARSE, FINE)
+
+
+def entropy_levels(buf: np.ndarray, scale: Scale = COARSE) -> np.ndarray:
     """Entropy of every window of the buffer, 0 to LEVELS."""
-    n = len(buf)
+    n, size, clogc = len(buf), scale.window, scale.clogc
+    step = np.diff(clogc)
     ahead, behind = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-    for d in range(1, WINDOW):
+    for d in range(1, size):
         same = (buf[:-d] == buf[d:]).view(np.uint8)
         ahead[:-d] += same
         behind[d:] += same
-    total = np.empty(n - WINDOW + 1, np.int32)
-    total[0] = _CLOGC[np.bincount(buf[:WINDOW])].sum()
-    total[1:] = _STEP[behind[WINDOW:]] - _STEP[ahead[: n - WINDOW]]
+    total = np.empty(n - size + 1, np.int32)
+    total[0] = clogc[np.bincount(buf[:size])].sum()
+    total[1:] = step[behind[size:]] - step[ahead[: n - size]]
     np.cumsum(total, out=total)
-    return (_CLOGC[WINDOW] - total) * LEVELS // _CLOGC[WINDOW]
+    return (clogc[size] - total) * LEVELS // clogc[size]
 
 
-def histogram(texts: pa.Array) -> np.ndarray:
-    """Windows of each entropy level."""
-    out = np.zeros(LEVELS + 1, np.int64)
+def histograms(texts: pa.Array) -> np.ndarray:
+    """Windows of each scale and entropy level."""
+    out = np.zeros((len(SCALES), LEVELS + 1), np.int64)
     buf, offs = utf8_column(texts)
     for i, j in runs(offs, RUN):
         b = buf[offs[i] : offs[j]]
-        if len(b) >= WINDOW:
-            out += np.bincount(entropy_levels(b)[_inside(offs[i : j + 1] - offs[i], len(b))], minlength=LEVELS + 1)
+        for k, scale in enumerate(SCALES):
+            if len(b) >= scale.window:
+                out[k] += np.bincount(entropy_levels(b, scale)[_inside(offs[i : j + 1] - offs[i], len(b), scale.window)], minlength=LEVELS + 1)
     return out
 
 
-def _inside(offs: np.ndarray, n: int) -> np.ndarray:
+def _inside(offs: np.ndarray, n: int, window: int) -> np.ndarray:
     """Starts of windows that lie in one text."""
-    good = np.ones(n - WINDOW + 1, bool)
+    good = np.ones(n - window + 1, bool)
     for e in offs[1:-1]:
-        good[max(0, e - WINDOW + 1) : e] = False
+        good[max(0, e - window + 1) : e] = False
     return np.flatnonzero(good)
 
 
-def ranks_from(counts: np.ndarray) -> np.ndarray:
+def ranks_from(counts: np.ndarray, scale: Scale = COARSE) -> np.ndarray:
     """Rank of each entropy level, rarest first; -1 for levels that are left out."""
     order = np.argsort(counts, kind="stable")
     rank = np.empty(len(counts), np.int64)
     rank[order] = np.arange(len(counts))
-    rank[:LEAST_LEVEL] = -1
+    rank[: scale.least] = -1
     return rank
 
 
-def features(buf: np.ndarray, offs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(buf: np.ndarray, offs: np.ndarray, rank: np.ndarray, scale: Scale = COARSE) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of every feature, in order of place."""
     n, length = len(buf), np.diff(offs)
-    docs, hashes = np.zeros(0, np.int64), np.zeros(0, _U)
-    if n >= WINDOW and (length >= WINDOW).any():
-        r = rank[entropy_levels(buf)]
-        key = np.full(n, _NEVER)
-        at = _inside(offs, n)
-        at = at[r[at] >= 0]
-        key[at] = (r[at] << 40) | at
-        least = key.copy()
-        step = 1
-        while step < POPULAR:
-            least[:-step] = np.minimum(least[:-step], least[step:])
-            step *= 2
-        windows = length - WINDOW + 1
-        turns = np.maximum(windows - POPULAR + 1, 0)
-        turn_at = np.repeat(offs[:-1] - np.concatenate([[0], np.cumsum(turns)[:-1]]), turns) + np.arange(turns.sum())
-        won = least[turn_at]
-        short = np.flatnonzero((windows > 0) & (turns == 0))
-        if len(short):
-            bounds = np.stack([offs[short], offs[short] + windows[short]], axis=1).ravel()
-            won = np.concatenate([won, np.minimum.reduceat(np.append(key, _NEVER), bounds)[::2]])
-        place, points = np.unique(won[won != _NEVER] & ((1 << 40) - 1), return_counts=True)
-        doc = np.searchsorted(offs, place, side="right") - 1
-        chosen = points >= np.minimum(POINTS, np.maximum(turns[doc], 1))
-        place, docs = place[chosen], doc[chosen]
-        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[place]).view("<u8")
-        hashes = np.zeros(len(place), _U)
-        for k in range(words.shape[1]):
-            hashes = mix(hashes + words[:, k] + _U(k + 1))
-    bare = np.setdiff1d(np.flatnonzero(length > 0), docs)
+    if n < scale.window or (length < scale.window).all():
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    r = rank[entropy_levels(buf, scale)]
+    key = np.full(n, _NEVER)
+    at = _inside(offs, n, scale.window)
+    at = at[r[at] >= 0]
+    key[at] = (r[at] << 40) | at
+    least = key.copy()
+    step = 1
+    while step < scale.popular:
+        least[:-step] = np.minimum(least[:-step], least[step:])
+        step *= 2
+    windows = length - scale.window + 1
+    turns = np.maximum(windows - scale.popular + 1, 0)
+    turn_at = np.repeat(offs[:-1] - np.concatenate([[0], np.cumsum(turns)[:-1]]), turns) + np.arange(turns.sum())
+    won = least[turn_at]
+    short = np.flatnonzero((windows > 0) & (turns == 0))
+    if len(short):
+        bounds = np.stack([offs[short], offs[short] + windows[short]], axis=1).ravel()
+        won = np.concatenate([won, np.minimum.reduceat(np.append(key, _NEVER), bounds)[::2]])
+    place, points = np.unique(won[won != _NEVER] & ((1 << 40) - 1), return_counts=True)
+    doc = np.searchsorted(offs, place, side="right") - 1
+    chosen = points >= np.minimum(scale.points, np.maximum(turns[doc], 1))
+    place, doc = place[chosen], doc[chosen]
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, scale.window)[place]).view("<u8")
+    hashes = np.zeros(len(place), _U)
+    for k in range(words.shape[1]):
+        hashes = mix(hashes + words[:, k] + _U(scale.window + k))
+    return doc, hashes
+
+
+def all_features(buf: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of both scales, and the whole of texts that have none, by text."""
+    length = np.diff(offs)
+    docs, hashes = ([x] for x in features(buf, offs, ranks[0], COARSE))
+    short = np.flatnonzero(length < SHORT)
+    if len(short):
+        part = buf[np.repeat(length < SHORT, length)]
+        d, h = features(part, np.concatenate([[0], np.cumsum(length[short])]), ranks[1], FINE)
+        docs.append(short[d])
+        hashes.append(h)
+    bare = np.setdiff1d(np.flatnonzero(length > 0), np.concatenate(docs))
     if len(bare):
-        docs = np.concatenate([docs, bare])
-        hashes = np.concatenate([hashes, mix(SpanHasher(buf).of(offs[bare], offs[bare + 1]))])
-        order = np.argsort(docs, kind="stable")
-        docs, hashes = docs[order], hashes[order]
-    return docs, hashes
+        docs.append(bare)
+        hashes.append(mix(SpanHasher(buf).of(offs[bare], offs[bare + 1])))
+    doc = np.concatenate(docs)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], np.concatenate(hashes)[order]
 
 
 class Digests:
     """Digests of a batch of texts: chains of Bloom filters, end to end."""
 
-    def __init__(self, texts: pa.Array, rank: np.ndarray):
+    def __init__(self, texts: pa.Array, ranks: np.ndarray):
         buf, offs = utf8_column(texts)
         docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
         for i, j in runs(offs, RUN):
-            d, h = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], rank)
+            d, h = all_features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ranks)
             docs.append(d + i)
             hashes.append(h)
         doc, h = np.concatenate(docs), np.concatenate(hashes)
@@ -188,19 +219,19 @@ def _normalised(both, ones_a, ones_b):
 
 
 def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Ranks from the entropy histogram of all documents."""
+    """Ranks of both scales from the entropy histograms of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS + 1, np.int64)
+        total = np.zeros((len(SCALES), LEVELS + 1), np.int64)
         for b in batches:
-            total += histogram(b.column(0))
-        level = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"level": level.astype(np.int32), "n": total[level]})
+            total += histograms(b.column(0))
+        scale, level = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"scale": scale.astype(np.int32), "level": level.astype(np.int32), "n": total[scale, level]})
 
-    got = docs.select(F.col(text).cast("string")).mapInArrow(count, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(LEVELS + 1, np.int64)
-    counts[got.column("level").to_numpy()] = got.column("n").to_numpy()
-    return ranks_from(counts)
+    got = docs.select(F.col(text).cast("string")).mapInArrow(count, "scale int, level int, n bigint").groupBy("scale", "level").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(SCALES), LEVELS + 1), np.int64)
+    counts[got.column("scale").to_numpy(), got.column("level").to_numpy()] = got.column("n").to_numpy()
+    return np.stack([ranks_from(c, s) for c, s in zip(counts, SCALES)])
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -243,7 +274,7 @@ OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Digests of every text and of its edited form, and their likeness."""
-    rank = corpus_ranks(docs)
+    ranks = corpus_ranks(docs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -251,14 +282,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 rows = pa.Table.from_batches([part] if held is None else [held, part]).combine_chunks().to_batches()[0]
-                if (out := _compare(rows, rank)) is not None:
+                if (out := _compare(rows, ranks)) is not None:
                     yield out
                 held = rows.slice(rows.num_rows - 1)
 
     return beside_next(docs).mapInArrow(compare, OUT)
 
 
-def _compare(rows: pa.RecordBatch, rank: np.ndarray) -> pa.RecordBatch | None:
+def _compare(rows: pa.RecordBatch, ranks: np.ndarray) -> pa.RecordBatch | None:
     """Results of all rows but the last, which comes again with the rows after it."""
     bucket, helper = rows.column(0).to_numpy(), rows.column(1).to_numpy(zero_copy_only=False)
     own = np.flatnonzero(~helper[:-1] & (bucket[:-1] == bucket[1:]))
@@ -269,7 +300,7 @@ def _compare(rows: pa.RecordBatch, rank: np.ndarray) -> pa.RecordBatch | None:
     for i in own:
         half = len(texts[i]) // 2
         edited.append(texts[i][: len(texts[i]) - half] + texts[i + 1][:half])
-    a, e = Digests(rows.column(3), rank), Digests(pa.array(edited, pa.string()), rank)
+    a, e = Digests(rows.column(3), ranks), Digests(pa.array(edited, pa.string()), ranks)
     every = np.arange(len(own))
     return pa.RecordBatch.from_arrays(
         [

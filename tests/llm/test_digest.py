@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,39 +12,42 @@ from orelode.llm import digest
 from tests.llm.conftest import odd_documents, prose
 
 
+@pytest.mark.parametrize("scale", digest.SCALES)
 @settings(max_examples=50, deadline=None)
-@given(st.binary(min_size=digest.WINDOW, max_size=120))
-def test_entropy_slides(data):
-    got = digest.entropy_levels(np.frombuffer(data, np.uint8))
-    for i, level in enumerate(got):
-        c = Counter(data[i : i + digest.WINDOW]).values()
-        want = 1000 * (1 - sum(n * math.log2(n) for n in c) / (digest.WINDOW * math.log2(digest.WINDOW)))
+@given(data=st.binary(min_size=32, max_size=120))
+def test_entropy_slides(scale, data):
+    size = scale.window
+    for i, level in enumerate(digest.entropy_levels(np.frombuffer(data, np.uint8), scale)):
+        c = Counter(data[i : i + size]).values()
+        want = 1000 * (1 - sum(n * math.log2(n) for n in c) / (size * math.log2(size)))
         assert abs(level - want) <= 1.5
 
 
-def plain_features(data, rank):
+def plain_features(data, rank, scale):
     """Places of the features of one text, window by window."""
-    levels = digest.entropy_levels(np.frombuffer(data, np.uint8))
+    levels = digest.entropy_levels(np.frombuffer(data, np.uint8), scale)
     keys = [(rank[q], i) if rank[q] >= 0 else None for i, q in enumerate(levels)]
-    turns = [keys[i : i + digest.POPULAR] for i in range(max(1, len(keys) - digest.POPULAR + 1))]
+    turns = [keys[i : i + scale.popular] for i in range(max(1, len(keys) - scale.popular + 1))]
     points = Counter(min(k for k in t if k)[1] for t in turns if any(t))
-    return sorted(i for i, n in points.items() if n >= min(digest.POINTS, len(turns)))
+    return sorted(i for i, n in points.items() if n >= min(scale.points, len(turns)))
 
 
-def test_features_by_place():
-    rank = digest.ranks_from(np.random.default_rng(1).integers(0, 1000, digest.LEVELS + 1))
+@pytest.mark.parametrize("scale", digest.SCALES)
+def test_features_by_place(scale):
+    rank = digest.ranks_from(np.random.default_rng(1).integers(0, 1000, digest.LEVELS + 1), scale)
     texts = [prose("en", n, n).encode() for n in (3, 8, 9, 12, 40, 200)] + [b"", b"short", b"a" * 100]
     buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    docs, hashes = digest.features(buf, offs, rank)
+    docs, hashes = digest.features(buf, offs, rank, scale)
     for k, t in enumerate(texts):
-        want = plain_features(t, rank) if len(t) >= digest.WINDOW else []
-        assert (docs == k).sum() == (len(want) or int(len(t) > 0))
-        alone = digest.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]), rank)[1]
+        assert (docs == k).sum() == (len(plain_features(t, rank, scale)) if len(t) >= scale.window else 0)
+        alone = digest.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]), rank, scale)[1]
         assert alone.tolist() == hashes[docs == k].tolist()
+    both = digest.all_features(buf, offs, np.stack([rank, rank]))[0]
+    assert set(both) == {k for k, t in enumerate(texts) if t}
 
 
 def test_likeness():
-    rank = digest.ranks_from(np.arange(digest.LEVELS + 1))
+    rank = np.stack([digest.ranks_from(np.arange(digest.LEVELS + 1), s) for s in digest.SCALES])
     a, b = prose("en", 3000, 1), prose("de", 3000, 2)
     d = digest.Digests(pa.array([a, a, b, a[: len(a) // 2] + b[: len(b) // 2], "", None]), rank)
     at = lambda x, y: d.likeness(np.array([x]), d, np.array([y]))[0]
@@ -51,6 +55,14 @@ def test_likeness():
     assert d.text(0) == d.text(1) != d.text(2)
 
 
+def test_short_texts():
+    rank = np.stack([digest.ranks_from(np.arange(digest.LEVELS + 1), s) for s in digest.SCALES])
+    texts = [prose("en", 15, k) for k in range(40)]
+    edited = [t[: len(t) - len(t) // 2] + texts[(k + 1) % 40][: len(t) // 2] for k, t in enumerate(texts)]
+    a, e, at = digest.Digests(pa.array(texts), rank), digest.Digests(pa.array(edited), rank), np.arange(40)
+    assert a.likeness(at, e, at).mean() > 0.3 > 3 * a.likeness(at, a, (at + 1) % 40).mean()
+
+
 def test_query(spark, tables):
     rows = [(k, prose("en", 5 + 9 * k, k), "en", "s") for k in range(40)] + odd_documents()
     got = digest.op2_fingerprint(spark, tables(documents=rows)).collect()
