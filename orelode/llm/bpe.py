@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.llm.common import table
+from orelode.llm.textcore import runs, utf8_column
 
 SCAN_LIMIT = 64
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 _NONE = 1 << 60
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters at which str.split parts and the tokenizer's white space does not.
@@ -161,7 +162,8 @@ class _Cache(dict):
 _caches: dict[str, _Cache] = {}
 
 
-def _encode_batch(texts: pa.Array, cache: _Cache) -> pa.Array:
+def _encode_batch(texts: pa.Array, cache: _Cache) -> list[pa.Array]:
+    """Numbers of tokens, packed ids and decoded texts."""
     packed, decoded, chunks = [], [], cache.codec.chunks
     for scalar in texts:
         words = chunks(scalar.as_py() or "")
@@ -169,35 +171,33 @@ def _encode_batch(texts: pa.Array, cache: _Cache) -> pa.Array:
         decoded.append(" ".join(filter(None, map(cache.decoded.__getitem__, words))))
         cache.trim()
     counts = pa.array([len(p) // 4 for p in packed], pa.int64())
-    return pa.StructArray.from_arrays([counts, pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=["n_tokens", "ids", "decoded"])
+    return [counts, pa.array(packed, pa.binary()), pa.array(decoded, pa.string())]
 
 
-def bpe(text: Column, tokenizer: str) -> Column:
-    """struct<n_tokens, ids, decoded> of a text column.
+def bpe(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, decoded) of every row.
 
     ids holds little-endian unsigned 32-bit integers; decoded is the text that
-    the ids decode to. Null texts count as empty.
+    the ids decode to. Null texts count as empty. Results leave in batches of a
+    few megabytes, however long the texts are that came in.
     """
+    rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
 
-    @F.arrow_udf("struct<n_tokens bigint, ids binary, decoded string>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _caches:
             _caches[tokenizer] = _Cache(BpeCodec(tokenizer))
-        for texts in batches:
-            yield _encode_batch(texts, _caches[tokenizer])
+        for batch in batches:
+            for i, j in runs(utf8_column(batch.column(1))[1]):
+                coded = _encode_batch(batch.column(1).slice(i, j - i), _caches[tokenizer])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *coded], names=[key, "n_tokens", "ids", "decoded"])
 
-    return encode(text)
+    return rows.mapInArrow(encode, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids binary, decoded string")
 
 
 def encode_documents(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """The documents' ids and their tokens and digests, one row per row of docs."""
-    coded = docs.select("doc_id", bpe(F.col(text).cast("string"), tokenizer or default_tokenizer()).alias("c"))
-    return coded.select(
-        "doc_id",
-        F.col("c.n_tokens").alias("n_tokens"),
-        F.sha2(F.col("c.ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("c.decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    coded = bpe(docs, tokenizer or default_tokenizer(), text=text)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

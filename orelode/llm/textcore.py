@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -73,7 +73,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _powers[:] = [np.concatenate([np.ones(1, _U), np.cumprod(np.full(size, b, _U))]) for b in (_BASE, _INV)]
     return _powers
 
