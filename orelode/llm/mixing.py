@@ -4,8 +4,9 @@ Every source has a target number of words. A document's expected copies are its
 source's target over its source's size: the whole copies are certain, and the
 fraction left over is its inclusion probability. Documents are ranked by the
 odds of a uniform draw divided by the odds of inclusion, and those of lowest
-rank are taken until the source's remaining words are used up; one more document
-whose size is nearest to what is still missing closes the gap if that helps.
+rank are taken until the source's remaining words are used up. Where a long
+document leaves a gap, documents that fit in it are drawn by rank in the same
+way, and one more whose size is nearest to what is missing closes it if that helps.
 
 A source is never gathered: the rank at which to stop is found by sums over rank
 intervals, then over finer ones inside the interval that holds the stop, and by
@@ -33,6 +34,9 @@ SHARE = 1.5
 CAP = 2.0
 SEED = 17
 BINS = 1024
+#: A source is near its target if this share of the words to draw is missing; else documents that still fit are drawn, so many rounds at most.
+NEAR = 0.002
+ROUNDS = 3
 #: Tables of one line per source are broadcast up to so many sources; beyond, the joins shuffle.
 BROADCAST_SOURCES = 10_000
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -76,7 +80,7 @@ def per_source(df: DataFrame, n: int) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, int]:
-    """One line per source, and how many there are: size, target, expected copies, the rank to stop at and the rank of the closing document.
+    """One line per source, and how many there are: size, target, copies, the steps (documents up to a size are taken up to a rank) and the rank of the closing document.
 
     sized: source, size, u.
     """
@@ -90,41 +94,64 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     sources = sources.withColumn("whole", F.floor("copies")).withColumn("chance", F.col("copies") - F.col("whole"))
     sources = sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
+    n = len(rows)
     need = sources.where("chance > 0 and rest > 0").select(F.col("source").alias("of"), "sid", "chance", "rest")
-    ranked = sized.join(per_source(need, len(rows)), sized["source"].eqNullSafe(need["of"])).select("sid", "size", "rest", _rank(F.col("u"), F.col("chance")).alias("v"))
-
-    def crossing(rows: DataFrame, bin_of: Column, before: str) -> DataFrame:
-        """The bin of each source in which the running sum passes ``rest``, and the sum before it."""
-        sums = rows.groupBy("sid", bin_of.alias("bin")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first(before).alias("before") if before else F.lit(0).cast("bigint").alias("before"))
-        order = Window.partitionBy("sid").orderBy("bin")
-        run = sums.withColumn("upto", F.col("before") + F.sum("n").over(order)).withColumn("start", F.col("upto") - F.col("n"))
-        return run.where("start <= rest and upto > rest").groupBy("sid").agg(F.min_by("bin", "bin").alias("at"), F.min_by("start", "bin").alias("base"))
-
-    first = crossing(ranked, F.floor(F.col("v") * BINS), "")
-    inner = ranked.join(per_source(first, len(rows)), "sid").where(F.floor(F.col("v") * BINS) == F.col("at")).drop("at")
-    second = crossing(inner, F.floor(F.col("v") * BINS * BINS), "base").withColumnRenamed("base", "base2")
-    last = inner.drop("base").join(per_source(second, len(rows)), "sid").where(F.floor(F.col("v") * BINS * BINS) == F.col("at"))
-    run = last.withColumn("upto", F.col("base2") + F.sum("size").over(Window.partitionBy("sid").orderBy("v")))
-    # a source whose first document passes its words stops before the last bin
-    stop = last.groupBy("sid").agg(F.first("base2").alias("base2"), F.min("v").alias("low")).join(
-        run.where("upto <= rest").groupBy("sid").agg(F.max("v").alias("high"), F.max("upto").alias("got")), "sid", "left"
-    ).select("sid", F.coalesce("high", F.floor(F.col("low") * BINS * BINS) / float(BINS * BINS)).alias("stop"), F.coalesce("got", "base2").alias("got"), F.col("high").isNotNull().alias("closed"))
-    stop = cut_lineage(stop)
-    open_ = ranked.join(per_source(stop, len(rows)), "sid").where(F.when(F.col("closed"), F.col("v") > F.col("stop")).otherwise(F.col("v") >= F.col("stop")))
+    ranked = sized.join(per_source(need, n), sized["source"].eqNullSafe(need["of"])).select("sid", "size", "rest", _rank(F.col("u"), F.col("chance")).alias("v"))
+    steps = need.select("sid", F.array().cast(STEPS).alias("steps"), F.lit(0).cast("bigint").alias("got"))
+    for _ in range(ROUNDS):
+        left = ranked.join(per_source(steps, n), "sid").where(~_taken(F.col("steps"), F.col("size"), F.col("v")))
+        left = left.withColumn("rest", F.col("rest") - F.col("got")).where("size <= rest")
+        stop = _stop(left, n)
+        step = F.struct(F.col("limit"), F.col("stop"))
+        more = steps.join(per_source(stop, n), "sid", "left")
+        steps = cut_lineage(more.select("sid", F.when(F.col("stop").isNull(), F.col("steps")).otherwise(F.array_append("steps", step)).alias("steps"), (F.col("got") + F.coalesce("more", F.lit(0))).alias("got")))
+        wide = steps.join(per_source(need, n), "sid").where(F.col("rest") - F.col("got") > NEAR * F.col("rest"))
+        if wide.isEmpty():
+            break
     gap = F.col("rest") - F.col("got")
+    open_ = ranked.join(per_source(steps, n), "sid").where(~_taken(F.col("steps"), F.col("size"), F.col("v")))
     closing = open_.where(F.abs(gap - F.col("size")) < gap).groupBy("sid").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("d"), "v")).alias("best"))
-    out = sources.join(stop, "sid", "left").join(closing.select("sid", F.col("best.v").alias("extra")), "sid", "left")
-    lines = out.select("source", "source_size", "target", "whole", "chance", "stop", "closed", "extra", (F.col("chance") * F.col("source_size") > 0).alias("drawn"))
-    return lines, len(rows)
+    out = sources.join(steps, "sid", "left").join(closing.select("sid", F.col("best.v").alias("extra")), "sid", "left")
+    return out.select("source", "source_size", "target", "whole", "chance", "steps", "extra"), n
+
+
+STEPS = "array<struct<limit:double,stop:double>>"
+
+
+def _taken(steps: Column, size: Column, v: Column) -> Column:
+    return F.exists(steps, lambda s: (size <= s["limit"]) & (v <= s["stop"]))
+
+
+def _stop(left: DataFrame, n: int) -> DataFrame:
+    """(sid, limit, stop, more): documents of ranks up to ``stop`` have ``more`` words, the most that still fit in ``rest``."""
+
+    def crossing(rows: DataFrame, bins: int, base: str) -> DataFrame:
+        """The interval of ranks in which each source's running sum passes ``rest`` (the last one where it doesn't), and the sum before it."""
+        sums = rows.groupBy("sid", F.floor(F.col("v") * bins).alias("bin")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first(base).alias("base"))
+        run = sums.withColumn("start", F.col("base") + F.sum("n").over(Window.partitionBy("sid").orderBy("bin")) - F.col("n"))
+        return run.where("start <= rest").groupBy("sid").agg(F.max("bin").alias("at"), F.max_by("start", "bin").alias("before"))
+
+    rows = left.withColumn("base", F.lit(0).cast("bigint"))
+    for bins in (BINS, BINS * BINS):
+        found = per_source(crossing(rows, bins, "base"), n)
+        rows = rows.join(found, "sid").where(F.floor(F.col("v") * bins) == F.col("at")).select("sid", "size", "rest", "v", F.col("before").alias("base"))
+    run = rows.withColumn("upto", F.col("base") + F.sum("size").over(Window.partitionBy("sid").orderBy("v")))
+    fits = F.col("upto") <= F.col("rest")
+    # where not even the first document of the last interval fits, the ranks before the interval do
+    start = F.floor(F.min("v") * BINS * BINS) / float(BINS * BINS) * (1 - 2.0**-53)
+    return run.groupBy("sid").agg(
+        F.first("rest").cast("double").alias("limit"),
+        F.coalesce(F.max(F.when(fits, F.col("v"))), start).alias("stop"),
+        F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("base")).alias("more"),
+    )
 
 
-def copies_of(u: Column, prefix: str = "") -> Column:
-    """Copies of a document from its draw and its source's line, whose columns start with ``prefix``."""
-    line = {c: F.col(prefix + c) for c in ("whole", "chance", "stop", "closed", "extra", "drawn")}
+def copies_of(u: Column, size: Column, prefix: str = "") -> Column:
+    """Copies of a document from its draw, its size and its source's line, whose columns start with ``prefix``."""
+    line = {c: F.col(prefix + c) for c in ("whole", "chance", "steps", "extra")}
     v = _rank(u, F.when(line["chance"] > 0, line["chance"]))
-    under = F.when(line["stop"].isNull(), line["drawn"]).when(line["closed"], v <= line["stop"]).otherwise(v < line["stop"])
-    drawn = under | F.coalesce(v == line["extra"], F.lit(False))
-    return line["whole"].cast("bigint") + F.coalesce(drawn.cast("int"), F.lit(0))
+    drawn = F.coalesce(_taken(line["steps"], size, v), F.lit(False)) | F.coalesce(v == line["extra"], F.lit(False))
+    return line["whole"].cast("bigint") + drawn.cast("int")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -138,7 +165,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     lines, n = plan_mix(sized.select("source", "size", "u"))
     lines = lines.withColumnRenamed("source", "of")
     joined = sized.join(per_source(lines, n), sized["source"].eqNullSafe(lines["of"]))
-    return joined.select("doc_id", "size", "source_size", "target", (copies_of(F.col("u")) * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (copies_of(F.col("u"), F.col("size")) * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
@@ -148,7 +175,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     lines = cut_lineage(lines)
     lines = lines.select([F.col(c).alias(f"__mix_{c}") for c in lines.columns])
     joined = docs.join(per_source(lines, n), docs["source"].cast("string").eqNullSafe(lines["__mix_source"]))
-    many = copies_of(uniform(F.col("doc_id"), F.col("text").cast("string")), "__mix_")
+    many = copies_of(uniform(F.col("doc_id"), F.col("text").cast("string")), word_count(F.col("text").cast("string")), "__mix_")
     return joined.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), many.cast("int")))).select(docs.columns)
 
 
