@@ -2,13 +2,14 @@
 
 A word is held as two parallel arrays: its parts, and the merge rank of every
 adjacent pair. The smallest rank is searched by a scan, its boundary deleted,
-and the two neighbouring ranks refreshed, until no pair can merge. A scan of a
-short array costs less than any queue; words of more than ``SCAN_LIMIT`` parts
-go through a heap of ranks instead, so very long words stay near linear.
+and the two neighbouring ranks refreshed, until no pair can merge. Words of like
+length are stacked, so one step scans and merges all of them. A scan of a short
+array costs less than any queue; words of more than ``SCAN_LIMIT`` parts go
+through a heap of ranks instead, so very long words stay near linear.
 
 White space parts words in every case, so a text is cut at white space and each
-chunk's tokens come from a bounded cache; chunks seen for the first time are
-normalised, cut by the tokenizer's pattern and merged.
+chunk's tokens come from a bounded cache; chunks that it lacks are normalised,
+cut by the tokenizer's pattern and merged together.
 
 Cases: a null or empty text gives no ids and an empty decoded text. Special
 tokens written out in a text are recognised, as the tokenizer file declares.
@@ -18,11 +19,13 @@ Bytes that the vocabulary lacks are left out, as the file has no unknown token.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
-import struct
+import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +35,9 @@ from orelode.llm.common import table
 from orelode.llm.textcore import runs, utf8_column
 
 SCAN_LIMIT = 64
-CACHE_ENTRIES = 100_000
+#: Chunks in the cache, and words merged at a time.
+CACHE_ENTRIES = 300_000
+STACK = 4096
 _NONE = 1 << 60
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters at which str.split parts and the tokenizer's white space does not.
@@ -68,34 +73,68 @@ class BpeCodec:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a], vocab[b]] = rank, vocab[a + b]
+        pairs = np.array(sorted((a << 32 | b, rank, whole) for (a, b), (rank, whole) in self.merge.items()), np.int64).reshape(-1, 3)
+        self.pair_keys, self.pair_ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.whole = np.zeros(len(spec["model"]["merges"]) + 1, np.int64)
+        self.whole[pairs[:, 1]] = pairs[:, 2]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", _SPACE)).findall
+        self.ascii_pieces = re.compile(split.replace(r"[\p{L}]", "[A-Za-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "A-Za-z0-9").replace(r"\s", "\t-\r ")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.space = regex.compile(f"[{_SPACE}]+").split
 
-    def merge_word(self, word: bytes) -> list[int]:
+    def word_parts(self, word: bytes) -> list[int]:
+        """Ids of a word's bytes, the last with the end-of-word form."""
         parts = [i for b in word[:-1] if (i := self.inner[b]) is not None]
         if word and (i := self.last[word[-1]]) is not None:
             parts.append(i)
-        return self._scan(parts) if len(parts) <= SCAN_LIMIT else self._heap(parts)
-
-    def _scan(self, parts: list[int]) -> list[int]:
-        """The contiguous rank array."""
-        look = self.merge.get
-        found = [look(p) for p in zip(parts, parts[1:])]
-        ranks = [m[0] if m else _NONE for m in found]
-        while ranks and (best := min(ranks)) != _NONE:
-            at = ranks.index(best)
-            parts[at] = look((parts[at], parts[at + 1]))[1]
-            del parts[at + 1], ranks[at]
-            if at < len(ranks):
-                m = look((parts[at], parts[at + 1]))
-                ranks[at] = m[0] if m else _NONE
-            if at:
-                m = look((parts[at - 1], parts[at]))
-                ranks[at - 1] = m[0] if m else _NONE
         return parts
 
+    def merge_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word."""
+        out = [self.word_parts(w) for w in words]
+        top = 4
+        while top <= SCAN_LIMIT:  # stacks of like length
+            stack = [k for k, p in enumerate(out) if (top >> 1 if top > 4 else 1) < len(p) <= top]
+            for k in range(0, len(stack), STACK):
+                for at, ids in zip(stack[k : k + STACK], self._scan([out[i] for i in stack[k : k + STACK]])):
+                    out[at] = ids
+            top *= 2
+        return [self._heap(p) if len(p) > SCAN_LIMIT else p for p in out]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE)
+
+    def _scan(self, words: list[list[int]]) -> list[list[int]]:
+        """The contiguous rank arrays of a stack of words, a merge of each at a step."""
+        length = np.array([len(w) for w in words])
+        width = int(length.max(initial=2))
+        parts = np.full((len(words), width), -1, np.int64)
+        parts[np.arange(width) < length[:, None]] = [i for w in words for i in w]
+        ranks = np.where(np.arange(1, width) < length[:, None], self._ranks(parts[:, :-1], np.maximum(parts[:, 1:], 0)), _NONE)
+        live, cols = np.arange(len(words)), np.arange(width)
+        while len(live):
+            r = ranks[live]
+            at = r.argmin(axis=1)
+            best = r[np.arange(len(live)), at]
+            live, at, best, r = (x[best != _NONE] for x in (live, at, best, r))
+            if not len(live):
+                break
+            rows, n = np.arange(len(live)), length[live] - 1
+            p = parts[live]
+            p[rows, at] = self.whole[best]
+            p = np.take_along_axis(p, np.minimum(cols + (cols > at[:, None]), width - 1), axis=1)
+            r = np.take_along_axis(r, np.minimum(cols[:-1] + (cols[:-1] >= at[:, None]), width - 2), axis=1)
+            r[:, -1] = _NONE
+            after = np.flatnonzero(at < n - 1)
+            r[after, at[after]] = self._ranks(p[after, at[after]], p[after, at[after] + 1])
+            before = np.flatnonzero(at > 0)
+            r[before, at[before] - 1] = self._ranks(p[before, at[before] - 1], p[before, at[before]])
+            parts[live], ranks[live], length[live] = p, r, n
+        return [row[:n] for row, n in zip(parts.tolist(), length.tolist())]
+
     def _heap(self, parts: list[int]) -> list[int]:
         """The same merges for long words: ranks in a heap, parts in a linked list."""
         look, n = self.merge.get, len(parts)
@@ -117,17 +156,30 @@ class BpeCodec:
                 heapq.heappush(heap, (m[0], h, parts[h], parts[i]))
         return [p for p, live in zip(parts, alive) if live]
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of a text without white space."""
-        ids: list[int] = []
+    def _cut(self, chunk: str) -> list[str | int]:
+        """Pieces of a text without white space, and the ids of special tokens in it."""
+        out: list[str | int] = []
         for k, part in enumerate(self.cut(chunk) if self.cut and "<" in chunk else [chunk]):
             if k % 2:
-                ids.append(self.special[part])
-                continue
-            norm = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in self.pieces(norm):
-                ids += self.merge_word(piece.encode())
-        return ids
+                out.append(self.special[part])
+            elif part.isascii():
+                out += self.ascii_pieces(part.lower())
+            else:
+                out += self.pieces(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+        return out
+
+    def chunk_ids(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of texts without white space."""
+        number: dict[str, int] = {}
+        count = number.setdefault
+        cut: list[list | int] = []  # the number of the one piece, or a list of numbers and, as negatives, of special ids
+        for c in chunks:
+            if c.isascii() and c.isalpha():
+                cut.append(count(c.lower(), len(number)))
+            else:
+                cut.append([-p - 1 if isinstance(p, int) else count(p, len(number)) for p in self._cut(c)])
+        ids = self.merge_words([p.encode() for p in number])
+        return [ids[c] if isinstance(c, int) else [i for k in c for i in (ids[k] if k >= 0 else (-k - 1,))] for c in cut]
 
     def chunks(self, text: str) -> list[str]:
         if any(c in text for c in _ONLY_PYTHON_SPACE):
@@ -135,28 +187,26 @@ class BpeCodec:
         return text.split()
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.chunks(text or "") for i in self.chunk_ids(c)]
+        return [i for ids in self.chunk_ids(self.chunks(text or "")) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.token[i] for i in ids)
+        return " ".join(map(self.token.__getitem__, ids))
 
 
-class _Cache(dict):
-    """Chunk to packed ids; the decoded form is kept beside it."""
+class _Cache:
+    """Packed ids of chunks; emptied when it is full."""
 
     def __init__(self, codec: BpeCodec):
-        self.codec, self.decoded = codec, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.codec.chunk_ids(chunk)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        self[chunk], self.decoded[chunk] = packed, self.codec.decode(ids)
-        return packed
+        self.codec, self.packed = codec, {}
 
-    def trim(self) -> None:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-            self.decoded.clear()
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.packed) > CACHE_ENTRIES:
+            self.packed.clear()
+        new = list(chunks.difference(self.packed))
+        ids = self.codec.chunk_ids(new)
+        ends = np.cumsum([len(x) for x in ids], dtype=np.int64) * 4
+        raw = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
+        self.packed.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
 
 
 _caches: dict[str, _Cache] = {}
@@ -164,12 +214,10 @@ _caches: dict[str, _Cache] = {}
 
 def _encode_batch(texts: pa.Array, cache: _Cache) -> list[pa.Array]:
     """Numbers of tokens, packed ids and decoded texts."""
-    packed, decoded, chunks = [], [], cache.codec.chunks
-    for scalar in texts:
-        words = chunks(scalar.as_py() or "")
-        packed.append(b"".join(map(cache.__getitem__, words)))
-        decoded.append(" ".join(filter(None, map(cache.decoded.__getitem__, words))))
-        cache.trim()
+    words = [cache.codec.chunks(t or "") for t in texts.to_pylist()]
+    cache.learn(set().union(*words))
+    packed = [b"".join(map(cache.packed.__getitem__, w)) for w in words]
+    decoded = [cache.codec.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
     counts = pa.array([len(p) // 4 for p in packed], pa.int64())
     return [counts, pa.array(packed, pa.binary()), pa.array(decoded, pa.string())]
 

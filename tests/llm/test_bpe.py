@@ -33,8 +33,8 @@ def test_cases(text):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcnth", min_size=1, max_size=90))
 def test_scan_equals_heap(word):
-    parts = [codec.inner[b] for b in word.encode()[:-1]] + [codec.last[word.encode()[-1]]]
-    assert codec._scan(list(parts)) == codec._heap(list(parts))
+    parts = codec.word_parts(word.encode())
+    assert codec._scan([list(parts), [5], list(parts)]) == [codec._heap(list(parts)), [5], codec._heap(list(parts))]
 
 
 def test_query(spark, tables):
