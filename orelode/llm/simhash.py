@@ -268,6 +268,8 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: i
 
 def near_links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(src, dst) links that join all distinct fingerprints of at most ``distance`` differing bits into their components."""
+    if not 0 <= distance <= 3:
+        raise ValueError("neighbours are enumerated; distances over 3 bits are not supported")
     spark = fps.sparkSession
     how = plan(fps, distance)
     hot: list[np.ndarray] = []
