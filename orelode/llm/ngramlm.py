@@ -119,7 +119,7 @@ class Part:
     def load(cls, raw: bytes) -> Part:
         ids, train, lens, words, *planes = unpack(raw)
         order = np.argsort(words)
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         number = np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()
         return cls(pickle.loads(ids.tobytes()), train.astype(bool), lens.astype(np.int64), words[order].astype(_U), rank[number])
@@ -129,30 +129,33 @@ class Part:
 
     def trigrams(self, inverse: bool = False):
         """Distinct trigrams (context word, word, word before the context) in order, and their training counts; with the number of each token's."""
-        w = self.token.astype(np.int64)
+        w = self.token.astype(np.int32)
         begin = int(np.searchsorted(self.words, BEGIN))
         starts = np.concatenate([[0], np.cumsum(self.lens)])[:-1]
-        p1 = np.append(begin, w[:-1])
+        p1 = np.concatenate([np.array([begin], np.int32), w[:-1]])
         p1[starts] = begin
-        p2 = np.append(begin, p1[:-1])
+        p2 = np.concatenate([np.array([begin], np.int32), p1[:-1]])
         p2[starts] = begin
-        train = np.repeat(self.train, self.lens)
         bits = len(self.words).bit_length()
-        if 3 * bits + 1 <= 64:
-            key = ((p1.astype(_U) << _U(2 * bits)) | (w.astype(_U) << _U(bits)) | p2.astype(_U))
+        if 3 * bits <= 64:
+            key = p1.astype(_U)
+            for level in (w, p2):
+                key <<= _U(bits)
+                key |= level.astype(_U)
             order = np.argsort(key, kind="stable")
             key = key[order]
             first = np.append(True, key[1:] != key[:-1])
+            del key
         else:
             order = np.lexsort((p2, w, p1))
             first = np.append(True, (np.diff(p1[order]) != 0) | (np.diff(w[order]) != 0) | (np.diff(p2[order]) != 0))
         at = np.flatnonzero(first)
         pick = order[at]
-        n = np.add.reduceat(train[order].astype(np.int64), at)
+        n = np.add.reduceat(np.repeat(self.train, self.lens)[order], at, dtype=np.int64)
         if not inverse:
             return p1[pick], w[pick], p2[pick], n, None
-        which = np.empty(len(w), np.int64)
-        which[order] = np.cumsum(first) - 1
+        which = np.empty(len(w), np.int32)
+        which[order] = np.cumsum(first, dtype=np.int32) - 1
         return p1[pick], w[pick], p2[pick], n, which
 
 
