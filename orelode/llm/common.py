@@ -34,21 +34,28 @@ def partitions(spark: SparkSession) -> int:
 
 
 class Forest:
-    """Union of numbered items by batches of links; keeps only a label for each item."""
+    """Groups of numbered items under batches of links, and a spanning forest of real links."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             x, y = self.label[a], self.label[b]
             apart = x != y
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            if not len(a):
+                break
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.append(True, high[order][1:] != high[order][:-1])]  # one link for each group that joins a lower one
+            self.label[high[first]] = low[first]
+            self.used.append((a[first], b[first]))
             while (self.label[self.label] != self.label).any():
                 self.label = self.label[self.label]
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        """A link from every item that isn't its group's first to the first."""
-        rest = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return rest, self.label[rest]
+        """The links that joined two groups; they span all groups."""
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(none + [u[0] for u in self.used]), np.concatenate(none + [u[1] for u in self.used])

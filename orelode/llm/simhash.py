@@ -245,14 +245,16 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: i
     size = np.diff(np.append(edge, len(key)))
     small = np.repeat(size <= PAIRWISE_ROWS, size)
     k, f, q = key[small], fp[small], probe[small]
-    d = 1
+    forest, d = Forest(len(k)), 1
     while len(k) > d:
         same = np.flatnonzero(k[d:] == k[:-d])
         if not len(same):
             break
         near = same[(np.bitwise_count(f[same] ^ f[same + d]) <= distance) & ~(q[same] & q[same + d]) & (f[same] != f[same + d])]
-        yield f[near], f[near + d]
+        forest.link(near, near + d)
         d += 1
+    x, y = forest.edges()
+    yield f[x], f[y]
     masks = [_U(sum(1 << b for b in c)) for r in range(1, distance + 1) for c in itertools.combinations(range(BITS), r)]
     for a, n in zip(edge[size > PAIRWISE_ROWS], size[size > PAIRWISE_ROWS]):
         rows = np.unique(fp[a : a + n])
