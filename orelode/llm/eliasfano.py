@@ -222,8 +222,14 @@ class NgramTrie:
         out[ok] = self.seqs[name].find((ctx[ok].astype(_U) << _U(32)) | words[ok])
         return out
 
+    def starts(self, name: str, at: np.ndarray) -> np.ndarray:
+        """Pointers at places, 0 where there is none."""
+        out, ok = np.zeros(len(at), np.int64), np.flatnonzero(at >= 0)
+        out[ok] = self.seqs[name].get(at[ok])
+        return out
+
     def trigram(self, ctx: np.ndarray, pair: np.ndarray, suc: np.ndarray) -> np.ndarray:
         out, ok = np.full(len(pair), -1, np.int64), np.flatnonzero((pair >= 0) & (suc >= 0))
-        place = suc[ok] - self.seqs["first_successor"].get(ctx[ok]).astype(np.int64)
-        out[ok] = self.seqs["places"].find(self.seqs["first_place"].get(pair[ok]) + place.astype(_U))
+        place = suc[ok] - self.starts("first_successor", ctx[ok])
+        out[ok] = self.seqs["places"].find((self.starts("first_place", pair[ok]) + place).astype(_U))
         return out

@@ -66,8 +66,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def word_bits(n: int) -> int:
-    """Bits by which a context's successors are told apart: eight more than the successors of the largest whole context need."""
-    return int(np.clip(np.ceil(np.log2(max(2.0, HOT_SHARE * n))) + 8, 8, 32))
+    """Bits by which a context's successors are told apart: six more than the successors of the largest whole context need."""
+    return int(np.clip(np.ceil(np.log2(max(2.0, HOT_SHARE * n))) + 6, 8, 32))
 
 
 def squeeze(values: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -354,7 +354,11 @@ class Questions:
         (suc_ctx, word), (pair_ctx, before), (tri_pair, tri_suc) = (self._split(x) for x in (self.suc, self.pair, self.tri))
         ctx = trie.context(self.ctx)
         suc, pair = trie.successor(ctx[suc_ctx], word), trie.pair(ctx[pair_ctx], before)
-        tri = trie.trigram(ctx[pair_ctx[tri_pair]], pair[tri_pair], suc[tri_suc.astype(np.int64)])
+        tri = np.full(len(self.tri), -1, np.int64)
+        tri_suc = tri_suc.astype(np.int64)
+        ok = np.flatnonzero((pair[tri_pair] >= 0) & (suc[tri_suc] >= 0))
+        place = suc - trie.starts("first_successor", ctx)[suc_ctx]  # among the context's successors
+        tri[ok] = trie.seqs["places"].find((trie.starts("first_place", pair)[tri_pair[ok]] + place[tri_suc[ok]]).astype(_U))
 
         def values(name: str, at: np.ndarray, other) -> np.ndarray:
             out = np.full(len(at), other, trie.levels[name].dtype)
