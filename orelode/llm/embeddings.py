@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from orelode.llm.common import Forest, cut_lineage, partitions, table
 from orelode.llm.textcore import mix
@@ -55,8 +56,14 @@ def bucket_keys(x: np.ndarray, bits: int, tables: int, seed: int = 5) -> np.ndar
     return mix(code * _U(0x9E3779B97F4A7C15) + np.arange(tables, dtype=_U) + _U(x.shape[1]) * _U(1 << 32))
 
 
+def stored_type(vectors: DataFrame, vector: str) -> str:
+    """Single precision for vectors that have no more, else double; sums are double in any case."""
+    return "<f4" if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "<f8"
+
+
 def packed_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vec): components as little-endian doubles, null where the vector can't link."""
+    """(id, vec): components as little-endian numbers, null where the vector can't link."""
+    kind = stored_type(vectors, vector)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,20 +71,20 @@ def packed_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
             for v in b.column(1).to_pylist():
                 x = None if not v or None in v else np.asarray(v, "<f8")
                 good = x is not None and np.isfinite(x).all() and 0 < (norm := float(np.sqrt(x @ x))) < np.inf
-                out.append(x.tobytes() if good else None)
+                out.append(x.astype(kind).tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
 
     cast = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     return cast.mapInArrow(pack, "id bigint, vec binary")
 
 
-def _by_length(vecs: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and their matrix, for each vector length."""
+def _by_length(vecs: pa.Array, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and their matrix in double precision, for each vector length."""
     raw = vecs.to_pylist()
     lengths = np.array([len(v) for v in raw], np.int64)
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        yield rows, np.frombuffer(b"".join(raw[i] for i in rows), "<f8").reshape(len(rows), n // 8)
+        yield rows, np.frombuffer(b"".join(raw[i] for i in rows), kind).reshape(len(rows), -1).astype(np.float64)
 
 
 def compare(x: np.ndarray, y: np.ndarray | None, kx: np.ndarray, ky: np.ndarray | None, t: int, cosine: float, block: int = 1024) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -97,14 +104,14 @@ def compare(x: np.ndarray, y: np.ndarray | None, kx: np.ndarray, ky: np.ndarray
             yield a, b, link
 
 
-def link_classes(classes: DataFrame, n: int, cosine: float = COSINE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def link_classes(classes: DataFrame, n: int, cosine: float = COSINE, hot_rows: int = HOT_ROWS, kind: str = "<f8") -> DataFrame:
     """Rows (src, dst, links): spanning links between classes, and with dst null a class's links to vectors of other classes."""
     bits, tables = tables_for(n, cosine)
     spark = classes.sparkSession
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, x in _by_length(b.column(0)):
+            for _, x in _by_length(b.column(0), kind):
                 yield pa.RecordBatch.from_pydict({"key": bucket_keys(x, bits, tables).ravel().view(np.int64)})
 
     big = classes.select("vec").mapInArrow(keys, "key bigint").groupBy("key").count().where(F.col("count") > hot_rows).toArrow()
@@ -114,7 +121,7 @@ def link_classes(classes: DataFrame, n: int, cosine: float = COSINE, hot_rows: i
         hot = np.array(sorted(blocks), np.int64)
         for b in batches:
             cid, size = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for rows, x in _by_length(b.column(2)):
+            for rows, x in _by_length(b.column(2), kind):
                 key = bucket_keys(x, bits, tables).view(np.int64)
                 for t in range(tables):
                     is_hot = np.isin(key[:, t], hot)
@@ -154,7 +161,7 @@ def link_classes(classes: DataFrame, n: int, cosine: float = COSINE, hot_rows: i
         for a, z in zip(edge[:-1], edge[1:]):
             if z - a < 2:
                 continue
-            for at, x in _by_length(vecs.slice(a, z - a)):
+            for at, x in _by_length(vecs.slice(a, z - a), kind):
                 at = at + a
                 k = bucket_keys(x, bits, tables)
                 left = side[at] != 1
@@ -187,7 +194,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = cut_lineage(packed_vectors(vectors, key, vector).withColumn("cls", F.sha2("vec", 256)))
     grouped = rows.where("vec is not null").groupBy("cls").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("id").alias("least"))
     classes = cut_lineage(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    found = cut_lineage(link_classes(classes, classes.count(), cosine))
+    found = cut_lineage(link_classes(classes, classes.count(), cosine, kind=stored_type(vectors, vector)))
     counts = found.where("dst is null").groupBy("src").agg(F.sum("links").alias("links")).withColumnRenamed("src", "cid")
     comp = connected_components(found.where("dst is not null")).withColumnRenamed("node", "cid")
     told = classes.select("cid", "cls", "n", "least").join(counts, "cid", "left").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -41,15 +41,15 @@ def rows(seed, n, copies=0):
 ODD = [None, [], [0.0] * 16, [1.0, None], [float("nan")] * 3, [float("inf"), 1.0], [1.0, 0.0], [2.0, 0.0], [1.0]]
 
 
-@pytest.mark.parametrize("hot", [4096, 30])
-def test_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "kind"), [(4096, "float"), (30, "float"), (4096, "double")])
+def test_against_brute_force(spark, monkeypatch, hot, kind):
     vectors = rows(hot, 150, 120) + ODD
     vectors += [vectors[0], vectors[0], vectors[3]]
     classes = len({tuple(v) if v else None for v in vectors})
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], f"vec_id bigint, embedding array<{kind}>")
     if hot < 100:
         full = embeddings.link_classes
-        monkeypatch.setattr(embeddings, "link_classes", lambda c, n, cosine: full(c, n, cosine, hot))
+        monkeypatch.setattr(embeddings, "link_classes", lambda c, n, cosine, kind: full(c, n, cosine, hot, kind))
     got = sorted(embeddings.near_duplicates(df).collect(), key=lambda r: r["id"])
     links, comp = brute(vectors)
     found = [r["n_links"] for r in got]
