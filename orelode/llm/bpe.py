@@ -31,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import table
+from orelode.llm.common import release_memory, table
 from orelode.llm.textcore import runs, utf8_column
 
 SCAN_LIMIT = 64
-#: Chunks in the cache, and words merged at a time.
+#: Chunks in a task's cache, and words merged at a time.
 CACHE_ENTRIES = 300_000
 STACK = 4096
 _NONE = 1 << 60
@@ -238,6 +238,8 @@ def bpe(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text"
             for i, j in runs(utf8_column(batch.column(1))[1]):
                 coded = _encode_batch(batch.column(1).slice(i, j - i), _caches[tokenizer])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *coded], names=[key, "n_tokens", "ids", "decoded"])
+        _caches[tokenizer].packed.clear()
+        release_memory()
 
     return rows.mapInArrow(encode, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids binary, decoded string")
 

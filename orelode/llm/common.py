@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,12 @@ class Forest:
         """The links that joined two groups; they span all groups."""
         none = [np.zeros(0, np.int64)]
         return np.concatenate(none + [u[0] for u in self.used]), np.concatenate(none + [u[1] for u in self.used])
+
+
+def release_memory() -> None:
+    """Gives memory that a finished task has freed back to the system, as workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import crc_mod, table
+from orelode.llm.common import crc_mod, release_memory, table
 from orelode.llm.textcore import LOWER, runs, segment_sums, utf8_column
 
 BUCKET_BITS = 16
@@ -190,6 +190,7 @@ def predict(text: Column, model: LanguageModel) -> Column:
         for texts in batches:
             lang, score, unsure = model.predict(texts)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["lang", "score", "ambiguous"])
+        release_memory()
 
     return decode(text)
 

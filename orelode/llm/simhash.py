@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import Forest, cut_lineage, partitions, table
+from orelode.llm.common import Forest, cut_lineage, partitions, release_memory, table
 from orelode.llm.textcore import mix, segment_sums
 from orelode.operators.components import connected_components
 
@@ -95,6 +95,7 @@ def simhash(text: Column, width: int = SHINGLE, seed: int = SEED) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(fingerprints(texts, width, seed).view(np.int64))
+        release_memory()
 
     return of(text)
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import crc_mod, table
+from orelode.llm.common import crc_mod, release_memory, table
 from orelode.llm.langid import _fold
 from orelode.llm.textcore import SpanHasher, mix, runs, segment_sums, text_hash, utf8_column, word_spans
 
@@ -278,6 +278,7 @@ def score(text: Column, model: ToxicityModel) -> Column:
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(model.score(texts.cast(pa.large_string())))
+        release_memory()
 
     return rate(text)
 
