@@ -336,7 +336,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, that with the least id, with all its columns."""
-    found = components(docs)
+    return keep_first(docs, components(docs))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The document with the least id of each component of found (id, text_hash, component), with all its columns."""
     first = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("f")).select("f.*")
     first = cut_lineage(first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")))
     marked = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
