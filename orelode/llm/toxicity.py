@@ -128,13 +128,12 @@ def copy_groups(buf: np.ndarray, offs: np.ndarray, salts: int = 3) -> np.ndarray
     return out
 
 
-def find_voters(texts: pa.Array, toxic: np.ndarray, least: int = 3, precision: float = 0.9, most: int = 400) -> np.ndarray:
+def find_voters(texts: pa.Array, toxic: np.ndarray, least: int = 3, precision: float = 0.9) -> np.ndarray:
     """Keys of words and stems that occur nearly only in toxic texts.
 
     Copies of a text count once. A word needs support of ``least`` toxic texts that
     differ, or of as many more as keep the expected number of words that are found
-    by chance under one half. The commonest ``most`` are taken, a documented bound
-    of the model's size.
+    by chance under one half. All keys of that support and precision are taken.
     """
     keys, docs, groups = [], [], []
     for i, j in runs(utf8_column(texts)[1]):
@@ -167,7 +166,7 @@ def find_voters(texts: pa.Array, toxic: np.ndarray, least: int = 3, precision: f
     ratio = max(1.0, toxic.sum() / max(1, (~toxic).sum()))
     good = count / (count + clean * ratio + 0.25) >= precision
     found, count = found[good], count[good]
-    return found[np.argsort(-count, kind="stable")][:most]
+    return found[np.argsort(-count, kind="stable")]
 
 
 def _unique_pairs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,10 +179,14 @@ def _unique_pairs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def drop_nested(fires: np.ndarray) -> np.ndarray:
     """Voters to keep: of voters that fire on nearly the same texts, the first three stay."""
-    n = fires.T.astype(np.float32) @ fires.astype(np.float32)
-    support = np.maximum(np.diag(n), 1)
-    same = n / np.maximum(support[:, None], support[None, :]) > 0.95
-    return (np.tril(same, -1).sum(axis=1) < 3).nonzero()[0]
+    x = fires.astype(np.float32)
+    support = np.maximum(x.sum(axis=0), 1)
+    nested = np.zeros(len(support), np.int64)
+    for a in range(0, len(support), 512):  # not all pairs of voters at once
+        part = slice(a, a + 512)
+        same = x[:, part].T @ x / np.maximum(support[part, None], support[None, :]) > 0.95
+        nested[part] = np.tril(same, a - 1).sum(axis=1)
+    return (nested < 3).nonzero()[0]
 
 
 def label_model(fires: np.ndarray, start: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from orelode.llm import toxicity
 from tests.llm.conftest import odd_documents, prose
 
@@ -47,3 +50,23 @@ def test_stage(spark, tables):
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
     assert ids >= {i for i in range(200) if i % 4} and len(ids & {i for i in range(200) if i % 4 == 0}) <= 4
+
+
+def test_large_lexicon_keeps_rare_words():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfghklmnprstvz") for _ in range(12)) for _ in range(150)]
+    texts = [f"{prose('en', 40, i)} {words[i // 8 % 150]}" for i in range(1200)] + [prose("en", 41, 5000 + i) for i in range(3600)]
+    toxic = np.arange(len(texts)) < 1200
+    found = toxicity.find_voters(pa.array(texts, pa.large_string()), toxic)
+    assert {toxicity.text_hash(w.encode()) for w in words} <= {int(k) for k in found}
+    model = toxicity.train(pa.array(texts, pa.large_string()), toxic)
+    scores = model.score(pa.array([f"{prose('en', 40, 9000 + k)} {w}" for k, w in enumerate(words)], pa.large_string()))
+    assert (scores >= 0.5).all()
+
+
+def test_nested_voters_in_blocks():
+    fires = np.random.default_rng(4).random((60, 700)) < 0.3
+    fires = np.hstack([fires, fires, fires, fires[:, :9], fires[:, :5]])
+    n = fires.T.astype(int) @ fires
+    same = n / np.maximum(np.diag(n)[:, None], np.diag(n)) > 0.95
+    assert toxicity.drop_nested(fires).tolist() == np.flatnonzero(np.tril(same, -1).sum(axis=1) < 3).tolist()
