@@ -413,7 +413,7 @@ def truncated(spark, d):
     select a as items, freq from s1, least_ where freq >= k union all select a || ',' || b, freq from s2, least_ where freq >= k union all select a || ',' || b || ',' || c, freq from s3, least_ where freq >= k""",
 )
 def freq_itemsets(spark, d):
-    sets = itemsets.frequent_itemsets(views.order_brands(spark, d), 0.005, 3)
+    sets = itemsets.frequent_itemsets(views.order_brands(spark, d), 0.005)
     return sets.select(F.concat_ws(",", "items").alias("items"), "freq")
 
 
@@ -425,5 +425,4 @@ def freq_itemsets(spark, d):
 )
 def assoc_rules(spark, d):
     rules = itemsets.association_rules(views.order_brands(spark, d), 0.015, 0.1)
-    single = rules.where((F.size("antecedent") == 1) & (F.size("consequent") == 1))
-    return _six(single.select(F.concat_ws(",", "antecedent").alias("antecedent"), F.concat_ws(",", "consequent").alias("consequent"), "confidence", "lift", "support"), "confidence", "lift", "support")
+    return _six(rules.select(F.concat_ws(",", "antecedent").alias("antecedent"), F.concat_ws(",", "consequent").alias("consequent"), "confidence", "lift", "support"), "confidence", "lift", "support")
