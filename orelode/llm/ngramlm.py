@@ -12,8 +12,9 @@ then scores its documents. Word counts go the same way first, and are exact.
 Nothing is held that grows with the corpus: shards grow in number, and context
 words that make more than ``HOT_SHARE`` of all tokens are dealt over ``SPLIT``
 sub-contexts, their trigrams by the word before them (so pairs stay whole) and
-their bigrams by successor. For such a word the number of distinct successors is
-estimated from the sub-contexts that a part asks; all else is exact up to the
+their bigrams by successor. The distinct successors of such a word are summed
+over all its sub-contexts: every part asks every shard, if for nothing else, and
+each answer has what the shard's sub-contexts add. All is exact up to the
 quantisation of probabilities to an eighth of a binary order of magnitude.
 
 A part's tokens are kept in a file of the shared folder named by its content, so
@@ -161,7 +162,10 @@ class Part:
 
 def virtual(context: np.ndarray, by: np.ndarray, kind: int) -> np.ndarray:
     """Key of the sub-context of a hot context word; kind 1 is dealt by the word before, 2 by the successor."""
-    part = mix(by) >> _U(64 - (SPLIT - 1).bit_length())
+    return sub_context(context, mix(by) >> _U(64 - (SPLIT - 1).bit_length()), kind)
+
+
+def sub_context(context: np.ndarray, part: np.ndarray, kind: int) -> np.ndarray:
     return mix(context ^ ((part + _U(1 + SPLIT * kind)) * _U(0xD6E8FEB86659FD93)))
 
 
@@ -211,7 +215,7 @@ class Blocks:
         p1, w, p2, n, self.which = part.trigrams(inverse)
         words = part.words
         is_hot = np.isin(words, hot)[p1]
-        self.p1, self.w = p1, w
+        self.p1, self.w, self.hot_words = p1, w, hot
         self.plain, self.hot = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
         short = lambda i: words[i] >> _U(64 - bits)
         a, h = self.plain, self.hot
@@ -229,10 +233,8 @@ class Blocks:
         self.cuts = [np.searchsorted(shard_of(x[0], shards), np.arange(shards + 1)) for x in both]
         self.blocks = both
 
-    def asked(self, shard: int) -> list[Asked] | None:
+    def asked(self, shard: int) -> list[Asked]:
         spans = [(c[shard], c[shard + 1]) for c in self.cuts]
-        if all(a == z for a, z in spans):
-            return None
         return [Asked(*(x[a:z] for x in rows)) for rows, (a, z) in zip(self.blocks, spans)]
 
 
@@ -373,7 +375,16 @@ class Questions:
         return [found[0][of[0]], found[1][of[0]], found[2][of[1]], found[3][of[2]], found[4][of[3]]]
 
 
-def trigram_answers(bits: int):
+def hot_kinds(contexts: np.ndarray, kinds: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What a shard's contexts add to the distinct successors of each hot word."""
+    if not len(contexts):
+        return np.zeros(len(hot), np.int64)
+    keys = sub_context(hot[:, None], np.arange(SPLIT, dtype=_U)[None, :], 2)
+    at = np.minimum(np.searchsorted(contexts, keys), len(contexts) - 1)
+    return np.where(contexts[at] == keys, kinds[at].astype(np.int64), 0).sum(axis=1)
+
+
+def trigram_answers(bits: int, hot: np.ndarray):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Builds a shard's trie and answers all parts."""
         parts, blobs, shard = _gather(batches)
@@ -382,8 +393,9 @@ def trigram_answers(bits: int):
         asked = Questions([asked_from(x, bits) for b in blobs for x in _halves(unpack(b))])
         del blobs
         found = asked.answers(asked.trie().through_file())
+        kinds = hot_kinds(asked.ctx, found[1], hot)
         for k, part in enumerate(parts):
-            out = pack(asked.of_block(2 * k, found) + asked.of_block(2 * k + 1, found))
+            out = pack(asked.of_block(2 * k, found) + asked.of_block(2 * k + 1, found) + [kinds])
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([1], pa.int32()), pa.array([shard], pa.int32()), pa.array([out], pa.binary())], names=["part", "kind", "shard", "blob"])
 
     return answer
@@ -401,8 +413,11 @@ def score_part(part: Part, blocks: Blocks, counts: np.ndarray, answers: dict[int
     """Scores of a part's documents, from the counts of its words and the shards' answers."""
     total2, kinds2, p2 = ([np.zeros(len(r[0])) for r in blocks.blocks] for _ in range(3))
     left3, p3 = ([np.ones(len(r[0])) for r in blocks.blocks] for _ in range(2))
+    hot_sum = np.zeros(len(blocks.hot_words))
     for shard, blob in answers.items():
-        for k, (asked, got) in enumerate(zip(blocks.asked(shard), _halves(unpack(blob)))):
+        *found, add = unpack(blob)
+        hot_sum += add
+        for k, (asked, got) in enumerate(zip(blocks.asked(shard), _halves(found))):
             a, z = blocks.cuts[k][shard], blocks.cuts[k][shard + 1]
             total2[k][a:z], kinds2[k][a:z] = got[0][asked.ctx], got[1][asked.ctx]
             p2[k][a:z], left3[k][a:z] = DEQUANTISE[got[2]][asked.suc], DEQUANTISE[got[3]][asked.pair]
@@ -419,9 +434,8 @@ def score_part(part: Part, blocks: Blocks, counts: np.ndarray, answers: dict[int
         first = np.flatnonzero(np.append(True, np.diff(blocks.bigram) != 0))
         word = blocks.p1[ht[first]]  # the context word of each hot bigram
         seen = p2[1][b] * (total2[1][b] + kinds2[1][b])
-        # distinct successors: the mean of the sub-contexts asked, times their number; each sub-context once
-        sub = np.unique(np.stack([word, virtual(part.words[word], part.words[blocks.w[ht[first]]], 2).view(np.int64)]), axis=1, return_index=True)[1]
-        kinds = SPLIT * np.bincount(word[sub], kinds2[1][b][sub], len(part.words)) / np.maximum(np.bincount(word[sub], minlength=len(part.words)), 1)
+        kinds = np.zeros(len(part.words))  # distinct successors over all data
+        kinds[word] = hot_sum[np.searchsorted(blocks.hot_words, part.words[word])]
         of_word = counts.astype(np.float64)
         of_word[np.searchsorted(part.words, BEGIN)] = counts[np.searchsorted(part.words, END)]
         whole = np.maximum(of_word + kinds, 1)[word]
@@ -461,12 +475,11 @@ def score_documents(docs: DataFrame, shards: int | None = None, part_tokens: int
             for name in b.column(0).to_pylist():
                 blocks = Blocks(Part.load(_read(fs, f"{root}/{name}")), hot, shards, bits)
                 for s in range(shards):
-                    if (asked := blocks.asked(s)) is not None:
-                        blob = pack([a for x in asked for a in x.arrays(bits)])
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name]), pa.array([blob], pa.binary())], names=["shard", "part", "blob"])
+                    blob = pack([a for x in blocks.asked(s) for a in x.arrays(bits)])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name]), pa.array([blob], pa.binary())], names=["shard", "part", "blob"])
 
     sent = parts.repartition(shards, F.xxhash64("part")).mapInArrow(send, "shard int, part string, blob binary")
-    answers = sent.repartitionById(shards, F.col("shard")).mapInArrow(trigram_answers(bits), ANSWER)
+    answers = sent.repartitionById(shards, F.col("shard")).mapInArrow(trigram_answers(bits, hot), ANSWER)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -476,7 +489,7 @@ def score_documents(docs: DataFrame, shards: int | None = None, part_tokens: int
             part = Part.load(_read(fs, f"{root}/{name}"))
             blocks = Blocks(part, hot, shards, bits, inverse=True)
             cut = word_slices(part, shards)
-            want = [set(np.flatnonzero(np.diff(cut)).tolist()), {s for s in range(shards) if any(c[s] < c[s + 1] for c in blocks.cuts)}]
+            want = [set(np.flatnonzero(np.diff(cut)).tolist()), set(range(shards))]
             if [set(got[0]), set(got[1])] != want:
                 raise RuntimeError(f"answers to part {name} are incomplete")
             counts = np.concatenate([unpack(got[0][s])[0].astype(np.int64) for s in sorted(got[0])])

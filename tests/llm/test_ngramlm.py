@@ -82,3 +82,10 @@ def test_squeeze(bits, values):
     v = np.array(values, np.uint64) & np.uint64((1 << bits) - 1)
     low, high = ngramlm.squeeze(v, bits)
     assert (ngramlm.unsqueeze(low, high, bits, len(v)) == v).all()
+
+
+def test_scores_do_not_depend_on_parts(spark):
+    rows = [(k, prose("en", 30 + k % 50, k), k % 7 != 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, train boolean").repartition(2)
+    whole, parts = ({r["doc_id"]: r["score"] for r in ngramlm.score_documents(df, 4, n).collect()} for n in (2_400_000, 1))
+    assert len(whole) == 60 and np.allclose([whole[k] for k in whole], [parts[k] for k in whole], atol=1e-9)
