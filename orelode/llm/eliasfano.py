@@ -178,8 +178,8 @@ class NgramTrie:
             "p2": quantise(suc_n / np.maximum(total2 + kinds2, 1)[suc_ctx]),
             "p3": quantise(tri_n / np.maximum(total3 + kinds3, 1)[tri_pair]),
             "left3": quantise(kinds3 / np.maximum(total3 + kinds3, 1)),
-            "total2": total2.astype(np.float32),
-            "kinds2": kinds2.astype(np.float32),
+            "total2": total2.astype(np.int64),
+            "kinds2": kinds2.astype(np.int64),
         }
         return cls({k: EliasFano.build(v) for k, v in seqs.items()}, levels)
 

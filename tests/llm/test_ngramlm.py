@@ -47,13 +47,13 @@ def key(r):
     return (r[0] is None, r[0] or 0, r[2], round(r[5], 4))
 
 
-@pytest.mark.parametrize("part_tokens", [2_400_000, 400])
-def test_against_dictionaries(spark, tables, monkeypatch, part_tokens):
+@pytest.mark.parametrize(("part_tokens", "hot_tokens"), [(2_400_000, 50_000), (400, 50_000), (400, 20)])
+def test_against_dictionaries(spark, tables, monkeypatch, part_tokens, hot_tokens):
     rows = [(k, prose("en", 30 + k % 50, k), "en", "s") for k in range(150)] + odd_documents()
     if part_tokens < 1000:
         monkeypatch.setattr(ngramlm, "PART_TOKENS", part_tokens)
         monkeypatch.setattr(ngramlm.write_parts, "__defaults__", (part_tokens,))
-        monkeypatch.setattr(ngramlm.score_documents, "__defaults__", (None, part_tokens))
+        monkeypatch.setattr(ngramlm.score_documents, "__defaults__", (None, part_tokens, hot_tokens))
     got = sorted(map(tuple, ngramlm.op6_ngramlm(spark, tables(documents=rows)).collect()), key=key)
     want = sorted(plain(rows), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
@@ -77,15 +77,59 @@ def test_empty_and_untrained(spark, tables):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(8, 32), st.lists(st.integers(0, 2**32 - 1), max_size=40))
-def test_squeeze(bits, values):
-    v = np.array(values, np.uint64) & np.uint64((1 << bits) - 1)
-    low, high = ngramlm.squeeze(v, bits)
-    assert (ngramlm.unsqueeze(low, high, bits, len(v)) == v).all()
+@given(st.lists(st.lists(st.integers(0, 2**50), max_size=6, unique=True).map(sorted), max_size=8))
+def test_steps_and_planes(groups):
+    counts = np.array([len(g) for g in groups], np.int64)
+    v = np.array([x for g in groups for x in g], np.uint64)
+    assert (ngramlm.from_steps(ngramlm.from_planes(*ngramlm.planes(ngramlm.steps(v, counts))), counts) == v).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 5), st.integers(0, 2**34)), max_size=40, unique=True), st.lists(st.integers(20, 40), unique=True))
+def test_messages(rows, bare):
+    rows.sort()
+    key, word, before = (np.array(c, np.uint64) for c in zip(*rows)) if rows else (np.zeros(0, np.uint64),) * 3
+    n = np.arange(len(rows))
+    got = ngramlm.asked_from(ngramlm.unpack(ngramlm.pack(ngramlm.Asked(key, word, before, n, np.array(sorted(bare), np.uint64)).arrays())))
+    keys, suc_ctx, words, tri_suc, pair_ctx, befores, tri_pair, m, others = got
+    assert [*zip(keys[suc_ctx[tri_suc]].tolist(), words[tri_suc].tolist(), befores[tri_pair].tolist())] == rows
+    assert (pair_ctx[tri_pair] == suc_ctx[tri_suc]).all() and (m == n).all() and others.tolist() == sorted(bare)
 
 
 def test_scores_do_not_depend_on_parts(spark):
     rows = [(k, prose("en", 30 + k % 50, k), k % 7 != 2) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, train boolean").repartition(2)
-    whole, parts = ({r["doc_id"]: r["score"] for r in ngramlm.score_documents(df, 4, n).collect()} for n in (2_400_000, 1))
-    assert len(whole) == 60 and np.allclose([whole[k] for k in whole], [parts[k] for k in whole], atol=1e-9)
+    first, *others = ({r["doc_id"]: r["score"] for r in ngramlm.score_documents(x, 4, n, 20).collect()} for x, n in ((df, 2_400_000), (df, 1), (df.coalesce(1), 2_400_000), (df.repartition(3), 300), (df.repartition(8), 2_400_000)))
+    for other in others:
+        assert len(first) == len(other) == 60 and np.allclose([first[k] for k in first], [other[k] for k in first], atol=1e-9)
+
+
+def test_shards_follow_the_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "word " * 1000) for k in range(100)], "doc_id bigint, text string")
+    assert ngramlm.shards_for(df) == 4
+    monkeypatch.setattr(ngramlm, "SHARD_BYTES", 10_000)
+    assert ngramlm.shards_for(df) == 50
+
+
+def test_equal_parts_are_two(spark, tmp_path):
+    """The same file twice in a folder: twice the rows, twice the counts, as in dictionaries."""
+    rows = [(k, prose("en", 30 + k % 50, k), "en", "s") for k in range(40)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").coalesce(1)
+    for _ in range(2):
+        df.write.mode("append").parquet(str(tmp_path / "twice"))
+    twice = spark.read.parquet(str(tmp_path / "twice")).select("doc_id", "text", ngramlm.crc_mod("doc_id", 7).alias("m")).selectExpr("doc_id", "text", "m <> 2 as train")
+    got = sorted(map(tuple, ngramlm.score_documents(twice).collect()), key=lambda r: (r[0], r[5]))
+    want = sorted(plain(rows * 2), key=lambda r: r[0])
+    assert [(g[0], g[2], g[3], g[6]) for g in got] == [(w[0], w[2], w[3], w[4]) for w in want]
+    assert np.allclose([g[4] for g in got], [w[5] for w in want]) and max(abs(g[5] - w[6]) / g[2] for g, w in zip(got, want)) < 0.06
+
+
+def test_files_are_deleted(spark, tables, tmp_path):
+    import glob
+    import re as regex
+
+    from orelode.llm.common import shared_dir
+
+    rows = [(k, prose("en", 30, k), "en", "s") for k in range(10)]
+    assert ngramlm.op6_ngramlm(spark, tables(documents=rows)).count() == 10
+    assert not glob.glob(regex.sub("^file:/*", "/", shared_dir(spark)) + "/ngrams-*")
