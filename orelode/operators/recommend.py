@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.functions.numeric import amplify, significance
+from orelode.functions.ordered import ranked
+from orelode.operators.components import ensure_checkpoint_dir
 from orelode.operators.similarity import binary_cosine, directed, nearest, pearson
 
 TOP_RATING = 5.0
@@ -29,12 +31,20 @@ def predict_user_cf(train: DataFrame, test: DataFrame, k: int = 250, case_amplif
     """The user's mean plus the weighted deviations of the k nearest users who rated the item.
 
     A neighbour's deviation is from the mean of their other ratings; one without
-    other ratings is left out. Predictions are capped at 5. With genres, users
-    without any such neighbour get the content prediction.
+    other ratings is left out. Predictions are capped at 5. Where no neighbour
+    rated the item, the user's mean stands. With genres, the content prediction
+    takes over where the neighbourhood is empty: all other users are candidates,
+    whatever their similarity, so that is where there is no other user or k is 0.
     """
     asked = test.select("user_id", "item_id")
+    users = train.select("user_id").distinct().count()
+    if genres is not None and min(k, users - 1) <= 0:
+        return predict_content(train, test, genres)
     pairs = pearson(train, "user_id", "item_id")
-    near = nearest(pairs, k, train.select("user_id").distinct().count())
+    if significance_weights:
+        ensure_checkpoint_dir(train.sparkSession)
+        pairs = pairs.checkpoint()
+    near = nearest(pairs, k, users)
     if significance_weights:
         shared = directed(pairs.select("id1", "id2", "n"))
         near = near.join(shared, ["id", "other"]).withColumn("sim", F.col("sim") * significance(F.col("n"))).drop("n")
@@ -46,10 +56,7 @@ def predict_user_cf(train: DataFrame, test: DataFrame, k: int = 250, case_amplif
     votes = voted.groupBy("user_id", "item_id").agg(F.sum(F.col("sim") * F.col("dev")).alias("top"), F.sum(F.abs("sim")).alias("w"))
     joined = asked.join(user_mean(train), "user_id").join(votes, ["user_id", "item_id"], "left")
     base = F.least(F.col("mean") + F.coalesce(F.try_divide("top", "w"), F.lit(0.0)), F.lit(TOP_RATING))
-    if genres is None:
-        return joined.select("user_id", "item_id", base.alias("prediction"))
-    content = predict_content(train, test, genres).withColumnRenamed("prediction", "content")
-    return joined.join(content, ["user_id", "item_id"]).select("user_id", "item_id", F.when(F.col("w").isNull(), F.col("content")).otherwise(base).alias("prediction"))
+    return joined.select("user_id", "item_id", base.alias("prediction"))
 
 
 def _weighted(train: DataFrame, asked: DataFrame, weights: DataFrame) -> DataFrame:
@@ -91,13 +98,20 @@ def predict_content(train: DataFrame, test: DataFrame, genres: DataFrame) -> Dat
 
 
 def predict_als(train: DataFrame, test: DataFrame, rank: int = 5, rounds: int = 10, penalty: float = 0.1, seed: int = 42) -> DataFrame:
-    """Alternating least squares; ids that weren't seen in training give no row."""
+    """Alternating least squares; ids that weren't seen in training give no row.
+
+    Ids may be any 64-bit numbers: factorisation works on their ranks.
+    """
     from pyspark.ml.recommendation import ALS
 
-    als = ALS(rank=rank, maxIter=rounds, regParam=penalty, seed=seed, userCol="user_id", itemCol="item_id", ratingCol="rating", coldStartStrategy="drop")
-    ints = [F.col(c).cast("int").alias(c) for c in ("user_id", "item_id")]
-    model = als.fit(train.select(*ints, F.col("rating").cast("float").alias("rating")))
-    out = model.transform(test.select(*ints))
+    ids = {c: ranked(train.select(c).distinct(), [F.col(c)], "at").select(c, F.col("at").cast("int").alias(f"{c}_at")) for c in ("user_id", "item_id")}
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(ids["user_id"], "user_id").join(ids["item_id"], "item_id")
+
+    als = ALS(rank=rank, maxIter=rounds, regParam=penalty, seed=seed, userCol="user_id_at", itemCol="item_id_at", ratingCol="rating", coldStartStrategy="drop")
+    model = als.fit(placed(train.select("user_id", "item_id", F.col("rating").cast("float").alias("rating"))))
+    out = model.transform(placed(test.select("user_id", "item_id")))
     return out.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("item_id").cast("bigint").alias("item_id"), F.col("prediction").cast("double").alias("prediction"))
 
 

@@ -270,14 +270,22 @@ def predict_item_cf_jaccard(spark, d):
 
 @query(
     "predict_hybrid",
-    f"""with {o.RATINGS}, {o.GENRES}, {o.USER_CF.replace("votes as", "uvotes as").replace("left join votes", "left join uvotes").replace("pred as", "upred as")}, {o.CONTENT}
-    select u.user_id, u.item_id, round(round(case when u.w is null then c.prediction else u.prediction end, 9), 6) + 0.0 as prediction from upred u join pred c using (user_id, item_id)""",
+    f"""with {o.RATINGS}, {o.GENRES}, {o.USER_CF.replace("votes as", "uvotes as").replace("left join votes", "left join uvotes").replace("pred as", "upred as")}, {o.CONTENT},
+    hood as (select least(count(*) - 1, 250) as size from umean)
+    select u.user_id, u.item_id, round(round(case when size = 0 then c.prediction else u.prediction end, 9), 6) + 0.0 as prediction
+    from upred u join pred c using (user_id, item_id), hood""",
 )
 def predict_hybrid(spark, d):
     train, test = _split(spark, d)
     return _six(recommend.predict_user_cf(train, test, genres=views.genres(spark, d)), "prediction")
 
 
+WEIGHED = {"significance": ("near.sim * case when n < 50 then 1.0 / 50 else 1.0 end", {"significance_weights": True}), "amplified": ("sign(near.sim) * power(abs(near.sim), 2.5)", {"case_amplification": True})}
+
+for _name, (_weight, _how) in WEIGHED.items():
+    query(f"predict_user_cf_{_name}", o.predictions(f"{o.RATINGS}, {o.user_cf(_weight)}"))(lambda spark, d, how=_how: _six(recommend.predict_user_cf(*_split(spark, d), **how), "prediction"))
+
+
 @query("predict_als")
 def predict_als(spark, d):
     return recommend.predict_als(*_split(spark, d))

@@ -50,14 +50,21 @@ placed as (select id, other, sim, r, case when r < 0 then (select count(distinct
 near as (select id, other, sim from placed where place <= {k} and r <> 0)"""
 
 
-USER_CF = f"""ps as ({pearson("user_id", "item_id")}), {nearest(250, "user_id")},
+
+def user_cf(weight: str = "sim") -> str:
+    """Predictions of the user neighbourhood, each neighbour weighing ``weight`` of near's columns."""
+    return f"""ps as ({pearson("user_id", "item_id")}), {nearest(250, "user_id")},
+weighed as (select id, other, {weight} as sim from near join ps on id1 = least(id, other) and id2 = greatest(id, other)),
 sums as (select user_id, sum(rating) as s, count(*) as c from train group by user_id),
 others as (select t.user_id as other, item_id, rating - (s - rating) / (c - 1) as dev from train t join sums using (user_id) where c > 1),
-votes as (select t.user_id, t.item_id, sum(sim * dev) as top, sum(abs(sim)) as w from test t join near on near.id = t.user_id
-    join others o on o.other = near.other and o.item_id = t.item_id group by t.user_id, t.item_id),
+votes as (select t.user_id, t.item_id, sum(sim * dev) as top, sum(abs(sim)) as w from test t join weighed on weighed.id = t.user_id
+    join others o on o.other = weighed.other and o.item_id = t.item_id group by t.user_id, t.item_id),
 pred as (select t.user_id, t.item_id, least(mean + coalesce(case when w = 0 then null else top / w end, 0), 5.0) as prediction, w
     from test t join umean using (user_id) left join votes using (user_id, item_id))"""
 
+
+USER_CF = user_cf("near.sim")
+
 ITEM_CF = f"""ps as ({pearson("item_id", "user_id")}), {nearest(10, "item_id")},
 votes as (select t.user_id, t.item_id, sum(r.rating * sim) / nullif(sum(abs(sim)), 0) as p from test t join near on near.id = t.item_id
     join train r on r.user_id = t.user_id and r.item_id = near.other group by t.user_id, t.item_id),

@@ -16,19 +16,39 @@ TINY = "/root/testdata/sf0.001"
 QUICK = ["avg_rating_by_tag", "split_counts", "bag_subtract", "user_mean", "inverse_user_frequency", "freq_itemsets", "assoc_rules", "genre_cosine", "naive_fields", "predict_content", "error_histogram", "connected_components"]
 
 
+def _has(name: str) -> bool:
+    """Whether a module can be found, without any of its parents."""
+    try:
+        return importlib.util.find_spec(name) is not None
+    except ModuleNotFoundError:
+        return False
+
+
 def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    for n in range(1, 11) if importlib.util.find_spec("corpus_pipeline") else []:
+    for n in range(1, 11) if _has("orelode.llm") else []:
         assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1
 
 
-def test_without_the_training_data_part(tmp_path):
+LIBRARY_ONLY = "import __spark_entry__ as e; q = e.queries(); assert 'word_count' in q and 'pipeline' not in q and not [k for k in q if k[:2] == 'op']; assert set(e.oracle_sql()) <= set(q)"
+
+
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_the_training_data_part(tmp_path, pipeline):
     shutil.copytree(REPO / "orelode", tmp_path / "orelode", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'word_count' in q and 'pipeline' not in q and not [k for k in q if k[:2] == 'op']; assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    if pipeline:
+        (tmp_path / "corpus_pipeline.py").write_text("from orelode.llm import bpe\n")
+    subprocess.run([sys.executable, "-c", LIBRARY_ONLY], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.skipif(not _has("orelode.llm"), reason="needs the training-data part")
+@pytest.mark.parametrize("package", ["zstandard", "regex", "xxhash", "tokenizers"])
+def test_without_an_optional_package(package):
+    code = f"import sys; sys.modules['{package}'] = None; import __spark_entry__ as e; assert 'word_count' in e.queries() and 'word_count' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
 
 
 def _rows(frame):

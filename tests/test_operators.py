@@ -95,6 +95,47 @@ def test_user_cf(spark, ratings):
     assert round(amplified[3, 3], 6) == 2.927832
 
 
+def test_hybrid_asks_content_only_without_neighbours(spark, ratings, genres):
+    asked = keys(spark, (1, 4), (4, 1), (4, 2), (3, 3))
+    plain = as_map(recommend.predict_user_cf(ratings, asked), "user_id", "item_id", "prediction")
+    assert as_map(recommend.predict_user_cf(ratings, asked, genres=genres), "user_id", "item_id", "prediction") == plain
+    # nobody else rated item 9: the user's mean, though content could tell
+    more = genres.unionByName(spark.createDataFrame([(9, "B")], "item_id bigint, genre string"))
+    got = as_map(recommend.predict_user_cf(ratings, keys(spark, (1, 9)), genres=more), "user_id", "item_id", "prediction")
+    content = as_map(recommend.predict_content(ratings, keys(spark, (1, 9)), more), "user_id", "item_id", "prediction")
+    assert got[1, 9] == 4.0 != content[1, 9]
+    alone = ratings.where("user_id = 1")
+    for train, k in ((alone, 250), (ratings, 0)):
+        got = as_map(recommend.predict_user_cf(train, keys(spark, (1, 4)), k=k, genres=genres), "user_id", "item_id", "prediction")
+        assert round(got[1, 4], 6) == 3.87868
+
+
+def test_significance_weights(spark, ratings):
+    """All neighbours share few items, so all weights shrink alike and cancel; with enough in common they don't."""
+    asked = keys(spark, (3, 3), (4, 2))
+    plain = as_map(recommend.predict_user_cf(ratings, asked), "user_id", "item_id", "prediction")
+    weighed = as_map(recommend.predict_user_cf(ratings, asked, significance_weights=True), "user_id", "item_id", "prediction")
+    assert weighed == pytest.approx(plain)
+    rng = random.Random(2)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in (1, 2) for i in range(60)] + [(3, i, float(rng.randint(1, 5))) for i in range(10)] + [(2, 99, 5.0), (3, 99, 1.0)]
+    train = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+    sims = as_map(similarity.pearson(train, "user_id", "item_id"), "id1", "id2", "sim")
+    of = {u: [r for v, i, r in rows if v == u and i != 99] for u in (1, 2, 3)}
+    dev = {u: r - sum(of[u]) / len(of[u]) for u, _, r in rows[-2:]}
+    w = {2: sims[1, 2], 3: sims[1, 3] / 50}
+    want = sum(of[1]) / 60 + sum(w[u] * dev[u] for u in w) / sum(map(abs, w.values()))
+    got = as_map(recommend.predict_user_cf(train, keys(spark, (1, 99)), significance_weights=True), "user_id", "item_id", "prediction")
+    assert got[1, 99] == pytest.approx(min(want, 5.0))
+
+
+def test_als_takes_large_ids(spark, ratings):
+    big = 1 << 40
+    moved = ratings.select((F.col("user_id") + big).alias("user_id"), (F.col("item_id") - big).alias("item_id"), "rating")
+    got = as_map(recommend.predict_als(moved, keys(spark, (big + 1, 4 - big), (big + 9, 1 - big))), "user_id", "item_id", "prediction")
+    want = as_map(recommend.predict_als(ratings, keys(spark, (1, 4), (9, 1))), "user_id", "item_id", "prediction")
+    assert list(got) == [(big + 1, 4 - big)] and got[big + 1, 4 - big] == pytest.approx(want[1, 4], abs=1e-3)
+
+
 def test_item_cf(spark, ratings):
     asked = keys(spark, (1, 4), (3, 3), (4, 1), (4, 2))
     got = as_map(recommend.predict_item_cf(ratings, asked), "user_id", "item_id", "prediction")
