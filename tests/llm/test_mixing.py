@@ -2,23 +2,116 @@ import random
 import re
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from orelode.llm import mixing
 from tests.llm.conftest import odd_documents
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
-def test_water_fill(sizes):
-    weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
-    got = mixing.water_fill(sizes, weights, 1.5 * sum(sizes))
-    assert sum(got) == pytest.approx(1.5 * sum(sizes))
-    assert all(g <= 2 * s + 1e-9 for g, s in zip(got, sizes))
-    free = [g / w for g, w, s in zip(got, weights, sizes) if g < 2 * s - 1e-9]
-    assert all(f == pytest.approx(free[0]) for f in free)
-    assert all(g / w <= free[0] + 1e-9 for g, w in zip(got, weights)) if free else True
+def water_fill(sizes, weights, budget, cap=2.0):
+    """Shares of the budget by weight, none above ``cap`` times its size; excess is shared again."""
+    out, active, left = [0.0] * len(sizes), set(range(len(sizes))), budget
+    while active:
+        total = sum(weights[i] for i in active)
+        over = [i for i in active if left * weights[i] / total > cap * sizes[i]]
+        for i in over or active:
+            out[i] = cap * sizes[i] if over else left * weights[i] / total
+        if not over:
+            break
+        active -= set(over)
+        left -= sum(out[i] for i in over)
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(4)
+    for k in (1, 2, 5, 40):
+        names = rng.sample([chr(97 + a) + chr(97 + b) for a in range(26) for b in range(26)] + ["\ue000", "😀", "É"], k - 1) + [None]
+        sizes = {n: rng.choice([0, 1, 7, 50, 1000, 20_000]) for n in names}
+        got = mixing.source_targets(spark.createDataFrame([(n, s) for n, s in sizes.items()], "source string, s bigint"))
+        order = sorted(names, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+        want = water_fill([sizes[n] for n in order], [(5.0, 2.0, 1.0)[i % 3] for i in range(k)], 1.5 * sum(sizes.values()))
+        assert {r["source"]: r["target"] for r in got.collect()} == pytest.approx(dict(zip(order, want)))
+
+
+def chosen(docs, rest):
+    """Numbers of the drawn among (size, u): certain ones, then by Pareto rank while they fit, and one that closes the gap best."""
+    fit = [(k, s) for k, (s, _) in enumerate(docs) if 0 < s <= rest]
+    sure = []
+    for size in sorted({s for _, s in fit}, reverse=True):
+        if size * (rest - sum(s for _, s in fit if s > size)) < sum(s * s for _, s in fit if s <= size):
+            break
+        sure = [k for k, s in fit if s >= size]
+    left = whole = rest - sum(docs[k][0] for k in sure)
+    scale = left / (sum(s * s for k, s in fit if k not in sure) or 1)
+    odds = lambda p: p / (1 - p)
+    others = [k for k, (s, _) in enumerate(docs) if s and k not in sure]
+    others.sort(key=lambda k: odds(docs[k][1]) / odds(min(scale * docs[k][0] if fit else 0.5, 1 - 1e-9)))
+    out, limit = list(sure), rest
+    while fit and (turn := [k for k in others if k not in out and docs[k][0] <= limit]):
+        for k in turn:
+            if docs[k][0] > left:
+                break
+            out.append(k)
+            left -= docs[k][0]
+        limit = left
+        if left <= mixing.NEAR * whole:
+            break
+    best = min((k for k in others if k not in out), key=lambda k: abs(left - docs[k][0]), default=None)
+    return {*out, best} if best is not None and abs(left - docs[best][0]) < left else set(out)
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(9)
+    for seed in range(3):
+        rows = [(i, " ".join(["w"] * (rng.randint(1, 40) if i % 9 else rng.randint(300, 3000))), rng.choice("aaab") if i % 7 else None) for i in range(400)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        sized = {r["doc_id"]: r for r in mixing.sized_documents(docs, seed)[0].collect()}
+        got = {r["doc_id"]: r for r in mixing.mix_documents(docs, seed).collect()}
+        for source in ("a", "b", None):
+            ids = [i for i, _, s in rows if s == source]
+            line = got[ids[0]]
+            whole = int(line["target"] / line["source_size"] + 1e-12)
+            drawn = chosen([(sized[i]["size"], sized[i]["u"]) for i in ids], line["target"] - whole * line["source_size"])
+            assert [got[i]["taken"] for i in ids] == [(whole + (k in drawn)) * sized[i]["size"] for k, i in enumerate(ids)]
+
+
+def test_inclusion_frequencies(spark):
+    """Sources of the same sizes are so many draws of one design: documents are drawn in proportion to their size."""
+    sizes, n = [3, 4, 5, 6, 7, 8, 9, 10] * 9 + [400], 120
+    texts = [" ".join(["w"] * s) for s in sizes]
+    docs = spark.createDataFrame([(100 * k + i, t, f"{k:04d}") for k in range(n) for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = mixing.mix_documents(docs).collect()
+    total = sum(sizes)
+    for w in (2, 1):  # sources of weight 5 reach their cap
+        of = [r for r in got if (r["doc_id"] // 100) % 3 == (1 if w == 2 else 2)]
+        copies = of[0]["target"] / total
+        rest = (copies - int(copies)) * total
+        certain = [s for s in sizes if s * rest >= sum(x * x for x in sizes)]
+        scale = (rest - sum(certain)) / sum(s * s for s in sizes if s not in certain)
+        for s in set(sizes):
+            drawn = [r["taken"] // s - int(copies) for r in of if r["size"] == s]
+            assert set(drawn) <= {0, 1} and sum(drawn) / len(drawn) == pytest.approx(1.0 if s in certain else scale * s, abs=0.08)
+
+
+def test_repeated_rows_part(spark, tables):
+    rows = [(7, "a b c d e f g h i j", "en", "s")] * 40 + [(8, "x " * 60, "en", "t")] * 3 + [(9, None, None, None)] * 2
+    for mixed in (mixing.op4_mixing(spark, tables(documents=rows)), mixing.mix_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5))):
+        got = mixed.collect()
+        assert len(got) == 45
+        for i in (7, 8):
+            of = [r for r in got if r["doc_id"] == i]
+            assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= of[0]["size"] and all(r["taken"] <= 2 * r["size"] for r in of)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    times = {r["doc_id"]: r["count"] for r in mixing.apply_mix(docs).groupBy("doc_id").count().collect()}
+    assert times[7] * 10 == sum(r["taken"] for r in got if r["doc_id"] == 7)
+
+
+def test_clashing_columns(spark):
+    odd = ["doc_id", "text", "source", "size", "u", "whole", "cut", "sid", "hash", "__mix11_whole", "__mix11_n"]
+    docs = spark.createDataFrame([(i, "a b c " * (i + 1), "s", *[str(i)] * 8) for i in range(30)], ", ".join(f"{c} {'bigint' if c == 'doc_id' else 'string'}" for c in odd))
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == odd and all(r["cut"] == str(r["doc_id"]) for r in mixed.collect())
+    assert mixing.mix_documents(docs).count() == 30
 
 
 def corpus():
@@ -41,7 +134,7 @@ def test_query(spark, tables):
             of.setdefault(source[r["doc_id"]], []).append(r)
     names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _, s in rows if s == n) for n in names]
-    targets = mixing.water_fill(sizes, [(5.0, 2.0, 1.0)[k % 3] for k in range(len(names))], 1.5 * sum(sizes))
+    targets = water_fill(sizes, [(5.0, 2.0, 1.0)[k % 3] for k in range(len(names))], 1.5 * sum(sizes))
     for n, s, t in zip(names, sizes, targets):
         assert {(r["source_size"], round(r["target"], 6)) for r in of[n]} == {(s, round(t, 6))}
     for n, t in zip(names, targets):
