@@ -9,9 +9,10 @@ exact number of pairs that share a partition's value. Candidates are probed by
 partition value and verified by the exact distance.
 
 Work per bucket is linear for large buckets: links are found by looking up all
-values within T bits, and only a spanning forest is emitted, never all pairs.
-Buckets over ``HOT_ROWS`` are dealt out again by the bits not yet used, split in
-T + 1 blocks of which a near pair must share one, until no bucket is that large.
+values within T bits (for T over 3, which has too many, by comparing rows), and
+only a spanning forest is emitted, never all pairs. Buckets over ``HOT_ROWS`` are
+dealt out again by the bits not yet used, split in T + 1 blocks of which a near
+pair must share one, until no bucket is that large.
 Equal fingerprints are merged before any of this, with a partial aggregation.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Forest, cut_lineage, partitions, release_memory, table
-from orelode.llm.textcore import mix, segment_sums
+from orelode.llm.textcore import LOWER, mix, one_spaced, runs, segment_sums, utf8_column, word_spans, xxh64_spans
 from orelode.operators.components import connected_components
 
 BITS = 64
@@ -46,46 +47,37 @@ PAIRWISE_ROWS = 256
 _U = np.uint64
 
 
-def shingle_hashes(data: bytes, width: int, seed: int) -> list[int]:
-    """XXH64 of every word shingle of lower-cased text, repeats included."""
-    from xxhash import xxh64_intdigest
+def bit_majority(h: np.ndarray, offs: np.ndarray, most: int = 60_000) -> np.ndarray:
+    """For each segment, the bits that are set in over half of its values.
 
-    words = data.lower().split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return [xxh64_intdigest(joined, seed)]
-    ends = list(itertools.accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    return [xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[width - 1 :])]
-
-
-def fingerprints(texts: pa.Array, width: int = SHINGLE, seed: int = SEED, run: int = 1 << 17) -> np.ndarray:
+    Four counters of 16 bits share a word, so segments are summed in pieces of ``most`` values.
+    """
+    n = np.diff(offs)
+    pieces = -(-n // most)
+    first = np.repeat(offs[:-1] - most * (np.cumsum(pieces) - pieces), pieces) + most * np.arange(int(pieces.sum()))
+    ones = np.zeros((len(first), BITS), np.int64)
+    for b in range(16 if len(first) else 0):
+        four = np.add.reduceat((h >> _U(b)) & _U(0x0001000100010001), first)
+        ones[:, b::16] = four.astype("<u8").view("<u2").reshape(-1, 4)
+    over = 2 * segment_sums(ones, np.concatenate([[0], np.cumsum(pieces)])) > n[:, None]
+    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints(texts: pa.Array, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """64-bit SimHash of each text; null counts as empty."""
-    out = np.zeros(len(texts), _U)
-    hashes: list[int] = []
-    offs, first = [0], 0
-
-    def flush(upto: int) -> None:
-        nonlocal hashes, offs, first
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.array(offs)
-        ones = np.zeros((len(at) - 1, BITS), np.int64)
-        full = np.flatnonzero(at[1:] > at[:-1])
-        if len(full):
-            ones[full] = np.add.reduceat(bits, at[:-1][full], axis=0, dtype=np.int64)
-        over = (2 * ones > np.diff(at)[:, None]).astype(np.uint8)
-        out[first:upto] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
-        hashes, offs, first = [], [0], upto
-
-    for i, text in enumerate(texts):
-        hashes += shingle_hashes((text.as_py() or "").encode(), width, seed)
-        offs.append(len(hashes))
-        if len(hashes) >= run:
-            flush(i + 1)
-    flush(len(texts))
-    return out
+    buf, offs = utf8_column(texts)
+    out = [np.zeros(0, _U)]
+    for i, j in runs(offs):
+        text, at = one_spaced(LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i])
+        starts, ends, words = word_spans(text, at)
+        n = np.diff(words)
+        n = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+        segments = np.concatenate([[0], np.cumsum(n)])
+        doc = np.repeat(np.arange(j - i), n)
+        first = words[:-1][doc] + np.arange(len(doc)) - segments[:-1][doc]
+        last = np.minimum(first + width, words[1:][doc]) - 1
+        out.append(bit_majority(xxh64_spans(text, starts[first], ends[last], seed), segments))
+    return np.concatenate(out)
 
 
 def simhash(text: Column, width: int = SHINGLE, seed: int = SEED) -> Column:
@@ -229,7 +221,7 @@ def _keys(fp: np.ndarray, how: Allocation, hot: list[np.ndarray], distance: int)
 
 
 def _split(key: np.ndarray, fp: np.ndarray, probe: bool, left: list[int], hot: list[np.ndarray], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    if not hot or not left:
+    if not hot or len(left) <= distance:  # so few bits hold few values
         yield key, fp, np.full(len(fp), probe)
         return
     is_hot = np.isin(key, hot[0])
@@ -240,11 +232,11 @@ def _split(key: np.ndarray, fp: np.ndarray, probe: bool, left: list[int], hot: l
             yield from _split(sub, fp[is_hot], probe, [b for b in left if b not in block], hot[1:], distance)
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: int, pairwise: int = PAIRWISE_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning links of the near pairs in each bucket of rows sorted by key."""
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
     size = np.diff(np.append(edge, len(key)))
-    small = np.repeat(size <= PAIRWISE_ROWS, size)
+    small = np.repeat(size <= pairwise, size)
     k, f, q = key[small], fp[small], probe[small]
     forest, d = Forest(len(k)), 1
     while len(k) > d:
@@ -256,8 +248,10 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: i
         d += 1
     x, y = forest.edges()
     yield f[x], f[y]
+    if (size <= pairwise).all():
+        return
     masks = [_U(sum(1 << b for b in c)) for r in range(1, distance + 1) for c in itertools.combinations(range(BITS), r)]
-    for a, n in zip(edge[size > PAIRWISE_ROWS], size[size > PAIRWISE_ROWS]):
+    for a, n in zip(edge[size > pairwise], size[size > pairwise]):
         rows = np.unique(fp[a : a + n])
         forest, here = Forest(len(rows)), np.arange(len(rows))
         for mask in masks:
@@ -271,9 +265,10 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: i
 
 def near_links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(src, dst) links that join all distinct fingerprints of at most ``distance`` differing bits into their components."""
-    if not 0 <= distance <= 3:
-        raise ValueError("neighbours are enumerated; distances over 3 bits are not supported")
+    if not 0 <= distance < BITS // 2:
+        raise ValueError("the distance is under half of the bits")
     spark = fps.sparkSession
+    pairwise = PAIRWISE_ROWS if distance <= 3 else BITS * hot_rows  # no bucket is that large
     how = plan(fps, distance)
     hot: list[np.ndarray] = []
 
@@ -288,7 +283,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROW
 
         return fps.select("fp").mapInArrow(emit, "key bigint, fp bigint, probe boolean")
 
-    for _ in range(3):
+    while True:
         big = rows(hot).groupBy("key").count().where(F.col("count") > hot_rows).select("key").toArrow().column(0).to_numpy().view(_U)
         fresh = np.setdiff1d(big, np.concatenate([np.zeros(0, _U), *hot]))
         if not len(fresh):
@@ -299,7 +294,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROW
         held: list[np.ndarray] = [np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, bool)]
 
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in bucket_links(*cols, distance):
+            for a, b in bucket_links(*cols, distance, pairwise):
                 if len(a):
                     yield pa.RecordBatch.from_pydict({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
@@ -339,11 +334,33 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return keep_first(docs, components(docs))
 
 
+#: Rows of two numbers that are broadcast at most: 32 MB.
+BROADCAST_ROWS = 2_000_000
+
+
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The document with the least id of each component of found (id, text_hash, component), with all its columns."""
-    first = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("f")).select("f.*")
-    first = cut_lineage(first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")))
-    marked = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__own"] == first["__hash"]), "left_semi")
-    repeated = found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "__own"]) if repeated else kept).drop("__own")
+    """The document with the least id of each component of found (id, text_hash, component), with all its columns.
+
+    The rows to remove are told by id and text, and broadcast where they are at
+    most ``BROADCAST_ROWS``, so that texts stay where they are. Of rows that
+    repeat a kept id and text, that with the least hash of all its columns stays.
+    """
+    own = "__own"
+    while own in docs.columns:
+        own = f"_{own}"
+    first = cut_lineage(found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("f")).select("f.*"))
+    same = found["id"].eqNullSafe(first["id"]) & found["text_hash"].eqNullSafe(first["text_hash"])
+    removed = cut_lineage(found.join(first, same, "left_anti").select(F.col("id").alias(f"{own}_id"), F.col("text_hash").alias(f"{own}_hash")).distinct())
+    twice = cut_lineage(found.groupBy("id", "text_hash").count().where("count > 1").select(F.col("id").alias(f"{own}_id"), F.col("text_hash").alias(f"{own}_hash")))
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+
+    def match(rows: DataFrame) -> tuple[DataFrame, Column]:
+        rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+        return rows, marked["doc_id"].eqNullSafe(rows[f"{own}_id"]) & (marked[own] == rows[f"{own}_hash"])
+
+    kept = marked.join(*match(removed), "left_anti")
+    if twice.isEmpty():
+        return kept.drop(own)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(*match(twice), "left_semi").groupBy("doc_id", own).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias("r")).select("r.*")
+    return kept.join(*match(twice), "left_anti").drop(own).unionByName(one)

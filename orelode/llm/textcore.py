@@ -120,3 +120,80 @@ def segment_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, offs[:-1][full], axis=0)
     return out
+
+
+def one_spaced(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with one space between their words and one after the last, and their offsets."""
+    word = ~IS_SPACE[buf]
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    first = offs[:-1][offs[:-1] < len(buf)]
+    keep[first] = word[first]
+    glued = first[first > 0]
+    glued = glued[word[glued - 1]]  # a text that ends in a word has no space of its own
+    sums = np.concatenate([[0], np.cumsum(keep)])
+    out = np.where(word, buf, np.uint8(32))[keep]
+    at = sums[offs]
+    if not len(glued):
+        return out, at
+    out = np.insert(out, sums[glued], np.uint8(32))
+    return out, at + np.searchsorted(glued, offs, side="right")
+
+
+#: The five constants of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Spans of more bytes go to the library one by one, as hardly two of them have one length.
+_LONG_SPAN = 255
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << _U(by)) | (x >> _U(64 - by))
+
+
+def xxh64_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of byte spans, all spans of one length at once."""
+    from xxhash import xxh64_intdigest
+
+    out = np.empty(len(starts), _U)
+    length = np.minimum(ends - starts, _LONG_SPAN + 1).astype(np.uint16)
+    order = np.argsort(length, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(length, minlength=_LONG_SPAN + 2))])
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at8, at4 = (np.ndarray((len(buf) + 1,), kind, padded.data, strides=(1,)) for kind in ("<u8", "<u4"))
+    with np.errstate(over="ignore"):
+        for n in np.flatnonzero(np.diff(cuts)):
+            which = order[cuts[n] : cuts[n + 1]]
+            if n > _LONG_SPAN:
+                out[which] = [xxh64_intdigest(buf[a:z].tobytes(), seed) for a, z in zip(starts[which], ends[which])]
+            else:
+                out[which] = _xxh64_of(starts[which], int(n), seed, padded, at8, at4)
+    return out
+
+
+def _xxh64_of(at: np.ndarray, n: int, seed: int, at1: np.ndarray, at8: np.ndarray, at4: np.ndarray) -> np.ndarray:
+    """XXH64 of the spans of n bytes that begin at these places."""
+    seed = _U(seed)
+    k = 0
+    if n >= 32:
+        lanes = [np.full(len(at), x) for x in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+        while k + 32 <= n:
+            lanes = [_turn(v + at8[at + (k + 8 * i)] * _P2, 31) * _P1 for i, v in enumerate(lanes)]
+            k += 32
+        h = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
+        for v in lanes:
+            h = (h ^ (_turn(v * _P2, 31) * _P1)) * _P1 + _P4
+    else:
+        h = np.full(len(at), seed + _P5)
+    h += _U(n)
+    while k + 8 <= n:
+        h = _turn(h ^ (_turn(at8[at + k] * _P2, 31) * _P1), 27) * _P1 + _P4
+        k += 8
+    if k + 4 <= n:
+        h = _turn(h ^ (at4[at + k].astype(_U) * _P1), 23) * _P2 + _P3
+        k += 4
+    while k < n:
+        h = _turn(h ^ (at1[at + k].astype(_U) * _P5), 11) * _P1
+        k += 1
+    h = (h ^ (h >> _U(33))) * _P2
+    h = (h ^ (h >> _U(29))) * _P3
+    return h ^ (h >> _U(32))

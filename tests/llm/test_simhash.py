@@ -75,20 +75,51 @@ def test_links_find_all_components(spark, hot):
     assert out == label(fps)
 
 
-def test_large_buckets_equal_small(monkeypatch):
+def test_large_buckets_equal_small():
     rng = np.random.default_rng(1)
     fp = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 12, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 30, 400).astype(np.uint64)))
     key, probe = np.zeros(len(fp), np.uint64), np.zeros(len(fp), bool)
 
-    def groups():
+    def groups(pairwise):
         f = simhash.Forest(len(fp))
-        for a, b in simhash.bucket_links(key, fp, probe, 2):
+        for a, b in simhash.bucket_links(key, fp, probe, 2, pairwise):
             f.link(np.searchsorted(fp, a), np.searchsorted(fp, b))
         return f.label.tolist()
 
-    small = groups()
-    monkeypatch.setattr(simhash, "PAIRWISE_ROWS", 4)
-    assert groups() == small == label([int(x) for x in fp])
+    assert groups(4) == groups(10_000) == label([int(x) for x in fp])
+
+
+@pytest.mark.parametrize(("distance", "hot"), [(0, 20_000), (1, 5), (5, 20_000), (7, 12)])
+def test_other_distances(spark, distance, hot):
+    rng = np.random.default_rng(distance)
+    fps = set()
+    for s in rng.integers(0, 2**63, 12):
+        for k in range(12):
+            at = int(s)
+            for b in rng.choice(64, k, replace=False):
+                at ^= 1 << int(b)
+            fps.add(at)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp bigint")
+    index = {f: i for i, f in enumerate(fps)}
+    f = simhash.Forest(len(fps))
+    pairs = [[index[int(np.int64(x).view(np.uint64))] for x in r] for r in simhash.near_links(df, distance, hot).collect()]
+    a, b = np.array(pairs, int).reshape(-1, 2).T
+    f.link(a, b)
+    assert f.label.tolist() == label(fps, distance)
+
+
+def test_majority_of_long_segments():
+    rng = np.random.default_rng(3)
+    h, offs = rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 0, 7, 7, 300, 500, 500])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[a:z]) > z - a) for a, z in zip(offs, offs[1:])]
+    assert simhash.bit_majority(h, offs).tolist() == simhash.bit_majority(h, offs, most=9).tolist() == want
+
+
+def test_repeated_rows_with_other_columns(spark):
+    rows = [(1, "a b c", "x", "p"), (1, "a b c", "y", "q"), (2, "A b c", "z", "r"), (3, "other words here", None, None), (None, "a b c", "w", None)]
+    kept = [simhash.keep_one(spark.createDataFrame(r, "doc_id bigint, text string, __own string, fp string").repartition(3)).collect() for r in (rows, rows[::-1])]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1])) and sorted(str(r["doc_id"]) for r in kept[0]) in (["1", "3"], ["3", "None"])
 
 
 @pytest.mark.parametrize("m", [1, 2, 3, 4])

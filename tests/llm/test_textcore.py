@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -76,3 +77,23 @@ def test_forest(seed):
         for x, y in zip(a, b):
             label[x] = label[y] = min(label[x], label[y])
     assert f.label.tolist() == label
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=70), max_size=12), st.integers(0, 2**64 - 1))
+def test_xxh64(parts, seed):
+    parts = [*parts, b"", b"x" * 255, b"yz" * 128, b"q" * 1000]
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    starts = ends - [len(p) for p in parts]
+    assert T.xxh64_spans(buf, starts, ends, seed).tolist() == [xxhash.xxh64_intdigest(p, seed) for p in parts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab \t\n", max_size=9), max_size=7))
+def test_one_spaced(texts):
+    buf, offs = T.utf8_column(pa.array(texts, pa.string()))
+    out, at = T.one_spaced(buf, offs)
+    starts, ends, words = T.word_spans(out, at)
+    got = [out[starts[a] : ends[z - 1]].tobytes().decode() if z > a else "" for a, z in zip(words, words[1:])]
+    assert got == [" ".join(t.split()) for t in texts]
