@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; it survives lost executors."""
     shared_dir(df.sparkSession)

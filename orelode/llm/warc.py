@@ -1,14 +1,18 @@
 """WARC archives as a PySpark Python data source (operator 7).
 
-``spark.read.format("warc").load(path)`` plans one task per group of archive
-files, takes filters on record type, target URI, ids and digest into the scan,
-and reads a record's header first: a record that the filters refuse is skipped
-by its Content-Length, its block neither decoded nor hashed. Without the option
-``payload`` blocks are never decoded; ``verify`` recomputes payload digests.
+``spark.read.format("warc").load(path)`` plans its tasks from pieces of archives,
+takes filters on record type, target URI, ids and digest into the scan, and reads
+a record's header first: a record that the filters refuse is skipped, its block
+neither decoded nor hashed. Without the option ``payload`` blocks are never
+decoded; ``verify`` recomputes payload digests.
 
 ``df.write.format("warc").mode("append").save(path)`` writes one archive per
 task and names the archives of finished tasks in a manifest, so files of lost or
-repeated attempts are never read.
+repeated attempts are never read. Every record is a gzip member of its own whose
+header tells the member's length in an extra field, which other readers pass
+over: a refused record is skipped without being inflated. The manifest lists
+places at which an archive can be cut. Archives of others, compressed or not, are
+read from their beginning, and skipped by Content-Length.
 
 Records: a warcinfo at the head of every archive, then ``response`` records with
 an HTTP header block and the payload, and ``revisit`` records (identical payload
@@ -17,7 +21,10 @@ of the full payload. Paths may be of any file system that pyarrow opens.
 
 Cases: null payloads are empty; null ids are written without a number and read
 back as null; null or multi-line header values are left out or put on one line.
-An empty table gives an archive set without records.
+Payloads are written whole, whatever their length. Of equal payloads whose
+page_id ties for the largest, all rows with it are responses, as are repeated
+rows of it. An empty table gives an archive set without records. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +34,9 @@ import gzip
 import hashlib
 import io
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from orelode.llm.common import shared_dir, table
+from orelode.llm.common import cut_lineage, delete_folder, shared_dir, table
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -43,8 +52,16 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2000-01-01T00:00:00Z"
 
 LEAST_BYTES = 1000
-SALTS = 16
+#: Rows of one payload that are joined by digest; payloads of more are broadcast, and are at most ``BROADCAST_DIGESTS``.
+SHARED_ROWS = 10_000
+BROADCAST_DIGESTS = 50_000
 MANIFEST = "manifest-"
+#: Fixed values of the compressed members: the gzip header up to its extra field, and that field's name and length.
+GZIP_HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"
+EXTRA = b"LN\x08\x00"
+HEAD_BYTES = len(GZIP_HEAD) + 2 + len(EXTRA) + 8
+#: Bytes of an archive between places at which it can be cut.
+CUT_BYTES = 4 << 20
 WRITE_SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, digest string, payload binary"
 READ_SCHEMA = "page_id bigint, target_uri string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 #: The columns that a header alone decides, and the header fields they are read from.
@@ -98,8 +115,28 @@ def page_record(page_id: int | None, url: str | None, kind: str, refers_to: int
     return record(fields, http + (payload if kind == "response" else b""))
 
 
+def member(data: bytes, level: int) -> bytes:
+    """A gzip member that tells its own length."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = deflate.compress(data) + deflate.flush()
+    length = HEAD_BYTES + len(body) + 8
+    return GZIP_HEAD + struct.pack("<H", len(EXTRA) + 8) + EXTRA + struct.pack("<Q", length) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def member_length(head: bytes) -> int | None:
+    """The length that a member tells, or None where it doesn't."""
+    if len(head) < HEAD_BYTES or head[:4] != GZIP_HEAD[:4] or head[12:16] != EXTRA:
+        return None
+    return struct.unpack_from("<Q", head, 16)[0]
+
+
+def put(out, data: bytes) -> int:
+    out.write(data)
+    return len(data)
+
+
 class WarcWriter(DataSourceArrowWriter):
-    """One gzip member per batch of records; archives count once their task is committed."""
+    """One gzip member per record; archives count once their task is committed."""
 
     def __init__(self, path: str, level: int):
         self.path, self.level = path, level
@@ -107,31 +144,25 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        name, rows = f"part-{uuid.uuid4().hex}.warc.gz", 0
-        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+        name, at, cuts = f"part-{uuid.uuid4().hex}.warc.gz", 0, [0]
+        with fs.open_output_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20) as out:
             info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            out.write(gzip.compress(info, self.level))
+            at += put(out, member(info, self.level))
             for batch in iterator:
-                pending, held = [], 0
                 cols = [batch.column(c) for c in ("page_id", "url", "record_type", "refers_to", "digest", "payload")]
                 for values in zip(*cols):
                     page_id, url, kind, refers_to, digest, payload = (v.as_py() for v in values)
-                    pending.append(page_record(page_id, url, kind, refers_to, digest, payload or b""))
-                    held += len(pending[-1])
-                    if held > 1 << 20:
-                        out.write(gzip.compress(b"".join(pending), self.level))
-                        pending, held = [], 0
-                rows += batch.num_rows
-                if pending:
-                    out.write(gzip.compress(b"".join(pending), self.level))
-        return Archive(name, rows)
+                    if at - cuts[-1] >= CUT_BYTES:
+                        cuts.append(at)
+                    at += put(out, member(page_record(page_id, url, kind, refers_to, digest, payload or b""), self.level))
+        return Archive(name, [*cuts, at])
 
     def commit(self, messages: list[Archive | None]) -> None:
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        names = [m.name for m in messages if m is not None]
+        archives = {m.name: m.cuts for m in messages if m is not None}
         with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
-            out.write(json.dumps(names).encode())
+            out.write(json.dumps(archives).encode())
 
     def abort(self, messages: list[Archive | None]) -> None:
         fs, root = file_system(self.path)
@@ -141,13 +172,15 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class Archive(WriterCommitMessage):
-    def __init__(self, name: str, rows: int):
-        self.name, self.rows = name, rows
+    def __init__(self, name: str, cuts: list[int]):
+        self.name, self.cuts = name, cuts
+
 
+class Pieces(InputPartition):
+    """Parts of archives as (path, first byte, byte behind the last); None for an archive that can't be cut."""
 
-class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, pieces: list[tuple[str, int, int | None]]):
+        self.pieces = pieces
 
 
 class WarcReader(DataSourceReader):
@@ -171,28 +204,33 @@ class WarcReader(DataSourceReader):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.wanted[column] = self.wanted.get(column, values) & values
 
-    def partitions(self) -> list[Files]:
+    def partitions(self) -> list[Pieces]:
         import pyarrow.fs as pafs
 
         fs, root = file_system(self.path)
         found = {f.base_name: f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file}
         manifests = [n for n in found if n.startswith(MANIFEST)]
-        names = [n for m in manifests for n in json.loads(fs.open_input_stream(found[m].path).read())] if manifests else [n for n in found if n.endswith((".warc", ".warc.gz"))]
-        tasks: list[list[str]] = []
+        cuts: dict[str, list[int] | None] = {n: None for n in found if n.endswith((".warc", ".warc.gz"))} if not manifests else {}
+        for m in manifests:
+            with fs.open_input_stream(found[m].path) as f:
+                cuts |= json.loads(f.read())
+        tasks: list[list[tuple[str, int, int | None]]] = []
         filled = self.bytes_per_task
-        for n in sorted(names):
-            if filled + found[n].size > self.bytes_per_task:
-                tasks.append([])
-                filled = 0
-            tasks[-1].append(found[n].path)
-            filled += found[n].size
-        return [Files(t) for t in tasks] or [Files([])]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        for name, at in sorted(cuts.items()):
+            path = found[name].path
+            for first, last, size in [(0, None, found[name].size)] if at is None else [(a, z, z - a) for a, z in zip(at, at[1:])]:
+                if filled + size > self.bytes_per_task:
+                    tasks.append([])
+                    filled = 0
+                tasks[-1].append((path, first, last))
+                filled += size
+        return [Pieces(t) for t in tasks] or [Pieces([])]
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         rows: list[tuple] = []
         held = 0
-        for row in (r for p in partition.paths for r in self.records(p)):
+        for row in (r for p in partition.pieces for r in self.records(*p)):
             rows.append(row)
             held += 200 + len(row[-1] or b"")
             if held > 8 << 20:
@@ -201,29 +239,42 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def records(self, path: str) -> Iterator[tuple]:
+    def records(self, path: str, first: int, last: int | None) -> Iterator[tuple]:
         fs, _ = file_system(self.path)
-        with fs.open_input_stream(path, compression=None) as raw:
-            source = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 16)
-            while (head := read_header(source)) is not None:
-                length = int(head.get("content-length", 0))
-                row = self.from_header(head)
-                if row is None:
-                    skip(source, length + 4)
-                    continue
-                kind, block_read = row["record_type"], 0
-                size, payload = None, None
-                if kind in ("response", "revisit"):
-                    http, block_read = read_http(source, length)
-                    size = int(http.get("content-length", length - block_read))
-                    if kind == "response" and (self.payload or self.verify):
-                        body = take(source, length - block_read)
-                        block_read = length
-                        if self.verify:
-                            row["payload_digest"], size = hashlib.sha1(body).hexdigest(), len(body)
-                        payload = body if self.payload else None
-                skip(source, length - block_read + 4)
-                yield row["page_id"], row["target_uri"], kind, row["refers_to"], size, row["payload_digest"], payload
+        if last is None:
+            with fs.open_input_stream(path, compression=None) as raw:
+                source = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 16)
+                while (head := read_header(source)) is not None:
+                    row, used = self.one(head, source)
+                    skip(source, int(head.get("content-length", 0)) - used + 4)
+                    if row is not None:
+                        yield row
+            return
+        with fs.open_input_file(path) as raw:
+            at, ahead = first, Ahead(raw, last)
+            while at < last:
+                source = Inflated(ahead, at)
+                at += source.length
+                row, _ = self.one(read_header(source), source)
+                if row is not None:
+                    yield row
+
+    def one(self, head: dict[str, str], source) -> tuple[tuple | None, int]:
+        """A record's row, None where a filter refuses it, and the bytes of its block that were read."""
+        row, length, used = self.from_header(head), int(head.get("content-length", 0)), 0
+        if row is None:
+            return None, 0
+        kind, size, payload = row["record_type"], None, None
+        if kind in ("response", "revisit"):
+            http, used = read_http(source, length)
+            size = int(http.get("content-length", length - used))
+            if kind == "response" and (self.payload or self.verify):
+                body = take(source, length - used)
+                used = length
+                if self.verify:
+                    row["payload_digest"], size = hashlib.sha1(body).hexdigest(), len(body)
+                payload = body if self.payload else None
+        return (row["page_id"], row["target_uri"], kind, row["refers_to"], size, row["payload_digest"], payload), used
 
     def from_header(self, head: dict[str, str]) -> dict | None:
         """The header's columns, or None where a pushed filter refuses the record."""
@@ -234,6 +285,58 @@ class WarcReader(DataSourceReader):
         return row
 
 
+class Ahead:
+    """Bytes of a file by place, read ``size`` at a time and sought where they lie further on."""
+
+    def __init__(self, raw, last: int, size: int = 1 << 18):
+        self.raw, self.last, self.size, self.first, self.held = raw, last, size, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """At most n bytes from a place; empty only at the end."""
+        if not self.first <= at < self.first + len(self.held):
+            self.raw.seek(at)
+            self.first, self.held = at, self.raw.read(min(self.size, self.last - at))
+        return self.held[at - self.first : at - self.first + n]
+
+
+class Inflated:
+    """One member of an archive, inflated no further than it is read."""
+
+    def __init__(self, source: Ahead, at: int):
+        head = source.get(at, HEAD_BYTES)
+        if len(head) < HEAD_BYTES:
+            head += source.get(at + len(head), HEAD_BYTES - len(head))
+        length = member_length(head)
+        if length is None:
+            raise ValueError("a member of the archive doesn't tell its length")
+        self.source, self.length, self.at, self.end = source, length, at + HEAD_BYTES, at + length
+        self.inflate, self.fed, self.held = zlib.decompressobj(-zlib.MAX_WBITS), b"", b""
+
+    def _more(self, n: int) -> bool:
+        """Inflates about n bytes; False at the end."""
+        if self.inflate.eof:
+            return False
+        if not self.fed:
+            self.fed = self.source.get(self.at, min(self.end - self.at, 1 << 16))
+            self.at += len(self.fed)
+        if not self.fed:
+            raise EOFError("the archive ends within a record")
+        self.held += self.inflate.decompress(self.fed, n)
+        self.fed = self.inflate.unconsumed_tail
+        return True
+
+    def readline(self) -> bytes:
+        while (at := self.held.find(b"\n")) < 0 and self._more(1024):
+            pass
+        return self.read(at + 1 if at >= 0 else len(self.held))
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < n and self._more(max(n - len(self.held), 1)):
+            pass
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+
 def read_header(source) -> dict[str, str] | None:
     line = source.readline()
     while line in (b"\r\n", b"\n"):
@@ -302,24 +405,28 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES, salts: int = SALTS) -> DataFrame:
+def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES, shared_rows: int = SHARED_ROWS) -> DataFrame:
     """The rows to write: equal payloads of enough bytes revisit the one with the largest page_id.
 
-    A digest may be that of a third of all pages, so its one response is looked
-    up by digest and salt; pages are never gathered by digest.
+    A digest may be that of a third of all pages. Digests of more than ``shared_rows``
+    pages, or of one in ``BROADCAST_DIGESTS`` where that is more, can't be many and
+    are broadcast; all others are joined, and no other page is dealt by its digest.
     """
     content = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), content.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least_bytes
-    shared = rows.where(large).groupBy(F.col("digest").alias("of")).agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").drop("n")
-    shared = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    part = F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")
-    marked = rows.join(shared, large & (rows["digest"] == shared["of"]) & (part == shared["part"]), "left")
-    revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return marked.select(
-        "page_id", "url", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to"), "digest", "payload"
-    )
+    shared = rows.where(large).groupBy(F.col("digest").alias("of")).agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1")
+    shared = cut_lineage(shared)
+    many = max(shared_rows, (shared.agg(F.sum("n")).first()[0] or 0) // BROADCAST_DIGESTS)
+    hot = F.broadcast(shared.where(F.col("n") > many).select(F.col("of").alias("hot"), F.col("first").alias("hot_first")))
+    few = shared.where(F.col("n") <= many).select("of", "first")
+    marked = rows.join(hot, large & (rows["digest"] == hot["hot"]), "left")
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("digest")))
+    marked = marked.withColumn("key", F.when(large & F.col("hot").isNull(), F.col("digest")).otherwise(alone)).join(few, F.col("key") == F.col("of"), "left")
+    first = F.coalesce("hot_first", "first")
+    revisits = first.isNotNull() & ~F.col("page_id").eqNullSafe(first)
+    return marked.select("page_id", "url", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, first).alias("refers_to"), "digest", "payload")
 
 
 def write_archives(pages: DataFrame, path: str, level: int = 1) -> None:
@@ -333,10 +440,12 @@ def read_archives(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("res
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes every page as a WARC record and reads the archives back."""
+    """Writes every page as a WARC record and reads the archives back; they are deleted once the result is checkpointed."""
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path, verify="true").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = cut_lineage(read_archives(spark, path, verify="true").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    delete_folder(spark, path)
+    return found
 
 
 ORACLE = """
