@@ -19,8 +19,11 @@ all windows of a batch take a few dozen vectorised passes.
 
 Cases: null texts are empty; an empty text has no features, equals other empty
 texts (likeness 1) and is unlike all others (0). Texts without any feature, too
-short or of low entropy throughout, have one, the whole text. Rows of equal id
-are in order of text; a null id comes first. A single row is its own next.
+short or of low entropy throughout, have one, the whole text. Texts are read
+whole, whatever their length. Rows of equal id are in order of their texts'
+hashes, then of their texts; a null id comes first. Repeated rows follow each
+other. A single row is its own next; an empty table gives no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -234,39 +237,65 @@ def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.stack([ranks_from(c, s) for c, s in zip(counts, SCALES)])
 
 
-def beside_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, helper, doc_id, text) in which every row is followed by its next.
-
-    Ids are cut in ranges at ids that occur. The first row of a range also goes,
-    as a helper, to the range before; that of the first range to the last.
+@dataclass(frozen=True)
+class Cuts:
+    """Keys (id present, id, hash of the text) that occur, in order, each the first of a range."""
+
+    known: np.ndarray
+    ids: np.ndarray
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, keys: list[tuple[bool, int | None, int]]) -> Cuts:
+        keys = sorted({(k, i or 0, h) for k, i, h in keys})
+        known, ids, hashes = zip(*keys) if keys else ((), (), ())
+        return cls(np.array(known, bool), np.array(ids, np.int64), np.array(hashes, np.int64))
+
+    def place(self, known: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and whether the row is a first one of it."""
+        nulls = int((~self.known).sum())
+        mine = self.ids[nulls:]
+        low = np.where(known, nulls + np.searchsorted(mine, ids), 0)
+        high = np.where(known, nulls + np.searchsorted(mine, ids, side="right"), nulls)
+        at = low - 1
+        for a in np.unique(low[high > low]):  # cuts of one id
+            rows = np.flatnonzero((low == a) & (high > low))
+            at[rows] += np.searchsorted(self.hashes[a : high[rows[0]]], hashes[rows], side="right")
+        return at, (at >= low) & (self.hashes[np.maximum(at, 0)] == hashes)
+
+
+def beside_next(docs: DataFrame, each: int = 16) -> DataFrame:
+    """Rows (bucket, helper, doc_id, hash, text) in which every row is followed by its next.
+
+    Rows are dealt in ranges of id and text, which are cut at keys that occur:
+    every so many of those that a hash picks, about ``each`` for a range. Rows of
+    one id, or without one, are cut like others. The first row of a range also
+    goes, as a helper, to the range before; that of the first range to the last.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")
     parts = partitions(spark)
-    cuts = [k / parts for k in range(1, parts)] or [0.5]
-    low, nulls, found = rows.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", cuts, max(10_000, 20 * parts))).first()
-    starts = np.array(sorted({*(found or []), *([low] if low is not None and not nulls else [])}), np.int64)
-    lead = 1 if nulls else 0  # null ids are a range of their own before the others
-    if nulls and low is not None:
-        starts = np.unique(np.append(starts, low))
-    total = max(1, len(starts) + lead)
+    n = rows.count()
+    picked = rows.select(key.alias("k")).where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(max(1, n // (each * parts)))) == 0).distinct()
+    found = sorted((k["known"], k["doc_id"] or 0, k["hash"]) for (k,) in picked.collect())
+    first = rows.agg(F.min(key).alias("k")).first()["k"]
+    cuts = Cuts.of([*found[each::each], *([tuple(first)] if first else [])])
+    total = max(1, len(cuts.ids))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            value = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(starts, value, side="right") - 1 + lead
-            at[null] = 0
-            opens = (at >= lead) & ~null & (starts[np.clip(at - lead, 0, None)] == value) if len(starts) else np.zeros(len(at), bool)
-            extra = np.flatnonzero(opens | null)
+            ids, hashes = b.column(0), b.column(1).to_numpy()
+            at, opens = cuts.place(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), hashes)
+            extra = np.flatnonzero(opens)
             take = pa.array(np.concatenate([np.arange(len(at)), extra]))
             bucket = np.concatenate([at, (at[extra] - 1) % total]).astype(np.int32)
             helper = np.arange(len(bucket)) >= len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(helper), ids.take(take), b.column(1).take(take)], names=["bucket", "helper", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(helper), *(c.take(take) for c in b.columns)], names=["bucket", "helper", "doc_id", "hash", "text"])
 
-    dealt = rows.mapInArrow(deal, "bucket int, helper boolean, doc_id bigint, text string")
-    return dealt.repartitionById(total, F.col("bucket")).sortWithinPartitions("bucket", "helper", "doc_id", "text")
+    dealt = rows.mapInArrow(deal, "bucket int, helper boolean, doc_id bigint, hash bigint, text string")
+    return dealt.repartitionById(total, F.col("bucket")).sortWithinPartitions("bucket", "helper", "doc_id", "hash", "text").drop("hash")
 
 
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -1,14 +1,17 @@
+import base64
 import hashlib
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orelode.llm import digest
+from orelode.llm.textcore import mix, text_hash
 from tests.llm.conftest import odd_documents, prose
 
 
@@ -63,10 +66,29 @@ def test_short_texts():
     assert a.likeness(at, e, at).mean() > 0.3 > 3 * a.likeness(at, a, (at + 1) % 40).mean()
 
 
+def in_order(rows):
+    """By id, null first, then by the signed hash of the text."""
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63) % 2**64))
+
+
+@pytest.mark.parametrize("each", [1, 16])
+def test_hot_ids_are_cut(spark, each):
+    """Most rows have no id or one id: each row is followed by its next, and no range holds them all."""
+    rows = [(None, f"n{k}") for k in range(150)] + [(7, f"s{k}") for k in range(150)] + [(k, f"o{k}") for k in range(20)] + [(7, "s3")] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = defaultdict(list)
+    for r in digest.beside_next(df, each).collect():
+        got[r["bucket"]].append(r)
+    follows = Counter((a["doc_id"], a["text"], b["text"]) for g in got.values() for a, b in zip(g, g[1:]) if not a["helper"])
+    ordered = in_order(rows)
+    assert follows == Counter((a[0], a[1], b[1]) for a, b in zip(ordered, [*ordered[1:], ordered[0]]))
+    assert len(got) >= 4 and max(map(len, got.values())) < 0.6 * len(rows)
+
+
 def test_query(spark, tables):
     rows = [(k, prose("en", 5 + 9 * k, k), "en", "s") for k in range(40)] + odd_documents()
     got = digest.op2_fingerprint(spark, tables(documents=rows)).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    ordered = in_order(rows)
     texts = [t or "" for _, t, _, _ in ordered]
     want = []
     for i, (r, t) in enumerate(zip(ordered, texts)):
@@ -82,6 +104,71 @@ def test_query(spark, tables):
         assert r["doc_id"] is None or prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
 
 
+def plain_levels(data, scale):
+    """Entropy of every window, by counting its bytes."""
+    top = int(scale.clogc[scale.window])
+    return [(top - sum(int(scale.clogc[c]) for c in Counter(data[i : i + scale.window]).values())) * digest.LEVELS // top for i in range(len(data) - scale.window + 1)]
+
+
+def plain_digest(data, ranks):
+    """Number of features, and the chain of Bloom filters as sets of bits."""
+    hashes = []
+    for k, scale in enumerate(digest.SCALES):
+        if len(data) < scale.window or (k and len(data) >= digest.SHORT):
+            continue
+        keys = [(ranks[k][q], i) if ranks[k][q] >= 0 else None for i, q in enumerate(plain_levels(data, scale))]
+        turns = [keys[i : i + scale.popular] for i in range(max(1, len(keys) - scale.popular + 1))]
+        points = Counter(min(x for x in t if x)[1] for t in turns if any(t))
+        for i in sorted(i for i, n in points.items() if n >= min(scale.points, len(turns))):
+            h = np.zeros(1, np.uint64)
+            for w in range(scale.window // 8):
+                h = mix(h + np.frombuffer(data[i + 8 * w : i + 8 * w + 8], "<u8") + np.uint64(scale.window + w))
+            hashes.append(int(h[0]))
+    if data and not hashes:
+        hashes = [int(mix(np.array([text_hash(data)], np.uint64))[0])]
+    size = digest.FILTER_FEATURES
+    chain = [{h >> (11 * k) & (digest.FILTER_BITS - 1) for h in hashes[a : a + size] for k in range(digest.PROBES)} for a in range(0, len(hashes), size)]
+    return len(hashes), chain
+
+
+def plain_likeness(a, b):
+    if not a[0] or not b[0]:
+        return float(a[0] == b[0])
+    if a[0] > b[0] and max(len(a[1]), len(b[1])) > 1:
+        a, b = b, a
+
+    def one(x, y):
+        chance = len(x) * len(y) / digest.FILTER_BITS
+        return min(1, max(0, (len(x & y) - chance) / (min(len(x), len(y)) - chance)))
+
+    size = digest.FILTER_FEATURES
+    parts = [min(size, a[0] - size * k) for k in range(len(a[1]))]
+    return sum(n * max(one(x, y) for y in b[1]) for n, x in zip(parts, a[1])) / a[0]
+
+
+def test_fingerprints_by_brute_force(spark, tables):
+    """Ranks from all windows, features, filters and likeness by plain loops."""
+    rows = [(k, prose("en", n, k), "en", "s") for k, n in enumerate([3, 8, 20, 60, 90, 400, 700, 2500])] + [(20, "aaaa" * 30, None, None), (21, "", None, None), (22, None, None, None), (23, "zz", None, None)]
+    texts = [(t or "").encode() for _, t, _, _ in rows]
+    ranks = []
+    for scale in digest.SCALES:
+        n = Counter(q for t in texts for q in plain_levels(t, scale))
+        order = sorted(range(digest.LEVELS + 1), key=lambda q: (n[q], q))
+        rank = {q: i for i, q in enumerate(order)}
+        ranks.append([rank[q] if q >= scale.least else -1 for q in range(digest.LEVELS + 1)])
+    own = [plain_digest(t, ranks) for t in texts]
+    got = {r["doc_id"]: r for r in digest.op2_fingerprint(spark, tables(documents=rows)).collect()}
+    for k, (i, *_) in enumerate(rows):
+        after = (k + 1) % len(rows)
+        half = len(texts[k]) // 2
+        edited = plain_digest(texts[k][: len(texts[k]) - half] + texts[after][:half], ranks)
+        for name, (n, chain) in (("fingerprint", own[k]), ("edited_fingerprint", edited)):
+            bits = b"".join(sum(1 << b for b in f).to_bytes(digest.FILTER_BITS // 8, "little") for f in chain)
+            assert got[i][name] == f"{n}:{base64.b64encode(bits).decode()}"
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(own[k], edited))
+        assert got[i]["near_next"] == pytest.approx(plain_likeness(own[k], own[after]))
+
+
 def test_one_and_none(spark, tables):
     one = digest.fingerprint_documents(spark.createDataFrame([(5, "abcd" * 40)], "doc_id bigint, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == hashlib.sha256(b"abcd" * 40).hexdigest()
