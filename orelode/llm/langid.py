@@ -10,13 +10,14 @@ Small distance between the two best codewords flags a text as ambiguous.
 
 Training reads a documented bounded sample: about ``max_docs`` labelled rows in
 all, equally many for each language, picked by a hash of the row. N-gram counts
-of the sample are summed on the executors; the driver gets one array for each
-task and language.
+of the sample are summed on the executors; the driver gets those that occur.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. Without
-any labelled row every text is ``und``. A single learned language is predicted
-for every text with letters. Repeated rows get equal results. Texts are
-processed whole; letters outside A-Z count as their UTF-8 bytes.
+any labelled row, and so in an empty table, every text is ``und``. A single
+learned language is predicted for every text with letters. Of codewords of equal
+loss the first language by name is taken. Repeated rows get equal results. Texts
+are processed whole, whatever their length; letters outside A-Z count as their
+UTF-8 bytes. Other columns, whatever their names, are kept by keep_identified.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ GRAMS = (2, 3, 4)
 UND = "und"
 #: Overlapping n-grams repeat each other's evidence; margins are scaled by this.
 TEMPERATURE = 0.25
+#: What every n-gram counts in every language beside the sample.
+SMOOTH = 0.02
 _MULT = np.uint32(0x9E3779B1)
 
 _is_letter_byte = np.zeros(256, bool)
@@ -81,13 +84,23 @@ def codewords(n: int) -> np.ndarray:
         cols = [[1 if (c >> i) & 1 else -1 for i in range(n)] for c in range(1, 2 ** (n - 1))]
         return np.array(cols, np.int8).T
     rng, width, best = np.random.default_rng(7), max(15, math.ceil(10 * math.log2(n))), None
-    for _ in range(200):
+    for _ in range(max(1, min(200, 2 * 10**10 // (n * n * width)))):
         m = rng.choice(np.array([-1, 1], np.int8), (n, width))
-        apart = (m[:, None, :] != m[None, :, :]).sum(axis=2) + width * np.eye(n, dtype=int)
-        useful = np.abs(m.sum(axis=0)).max() < n
-        if useful and (best is None or apart.min() > best[0]):
-            best = (apart.min(), m)
-    return best[1]
+        x, alike = m.astype(np.float32), -width
+        for a in range(0, n, 1024):
+            same = x[a : a + 1024] @ x.T
+            same[np.arange(len(same)), np.arange(a, a + len(same))] = -width
+            alike = max(alike, same.max())
+        useful = np.abs(m.sum(axis=0, dtype=np.int64)).max() < n
+        if useful and (best is None or alike < best[0]):
+            best = (alike, m)
+    return best[1] if best else codewords_by_number(n)
+
+
+def codewords_by_number(n: int) -> np.ndarray:
+    """Each row the bits of its number, three times over."""
+    bits = np.arange(n)[:, None] >> np.arange(max(1, (n - 1).bit_length())) & 1
+    return np.tile((2 * bits - 1).astype(np.int8), 3)
 
 
 @dataclass
@@ -148,37 +161,43 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
     if not count:
         return LanguageModel()
     langs, each = sorted(count), max(1, max_docs // len(count))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in count.items() for x in (k, min(1.0, each / v))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
-    index = {k: i for i, k in enumerate(langs)}
+    lines = train.sparkSession.createDataFrame([(k, i, min(1.0, each / count[k])) for i, k in enumerate(langs)], "lang string, l int, share double")
+    picked = rows.join(F.broadcast(lines), "lang").where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << BUCKET_BITS), np.float64)
         for batch in batches:
-            labels = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
+            label = batch.column(1).to_numpy().astype(np.int64)
             for i, j in runs(utf8_column(batch.column(0))[1]):
                 buf, offs = _fold(batch.column(0).slice(i, j - i))
+                codes, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
                 for n in GRAMS:
-                    buckets = gram_buckets(buf, n)
-                    for k, (a, b) in enumerate(zip(*_within(offs, n))):
-                        if b > a:  # a text's n-grams weigh as their share's root, so that long texts don't rule
-                            total[labels[i + k]] += np.bincount(buckets[a:b], minlength=1 << BUCKET_BITS) / math.sqrt(b - a)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(range(len(langs)), pa.int32()), "counts": pa.array([x.astype("<f4").tobytes() for x in total], pa.binary())})
-
-    parts = picked.repartition(8).mapInArrow(count_grams, "lang int, counts binary").toArrow()
-    total = np.zeros((len(langs), 1 << BUCKET_BITS))
-    for k, raw in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
-        total[k] += np.frombuffer(raw, "<f4")
-    share_of = (total + 0.02) / (total + 0.02).sum(axis=1, keepdims=True)
+                    first, last = _within(offs, n)
+                    m = last - first
+                    doc = np.repeat(np.arange(j - i), m)
+                    at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(m) - m, m)
+                    codes.append(label[i + doc] << BUCKET_BITS | gram_buckets(buf, n)[at])
+                    weights.append(1 / np.sqrt(m)[doc])  # a text's n-grams weigh as their share's root, so that long texts don't rule
+                code, which = np.unique(np.concatenate(codes), return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"code": code, "n": np.bincount(which, np.concatenate(weights), len(code))})
+
+    found = picked.select("text", "l").repartition(8).mapInArrow(count_grams, "code bigint, n double").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    grams, n = found.column("code").to_numpy(), found.column("n").to_numpy()
+    label, bucket = grams >> BUCKET_BITS, grams & ((1 << BUCKET_BITS) - 1)
+    whole = np.bincount(label, n, len(langs)) + SMOOTH * (1 << BUCKET_BITS)
     code = codewords(len(langs))
-    weights = np.zeros((1 << BUCKET_BITS, code.shape[1]), np.float32)
-    apart = np.ones(code.shape[1])
-    for b in range(code.shape[1]):
-        on, off = share_of[code[:, b] > 0], share_of[code[:, b] < 0]
-        if len(on) and len(off):
-            p, q = on.mean(axis=0), off.mean(axis=0)
-            weights[:, b] = np.log(p) - np.log(q)
-            apart[b] = 0.5 * ((p - q) * np.log(p / q)).sum()  # symmetric divergence: how well the bit is told
+    sides = [(code == side) / np.maximum((code == side).sum(axis=0), 1) / whole[:, None] for side in (1, -1)]  # a language's part in the mean of its side
+    order = np.argsort(bucket, kind="stable")
+    weights, apart = np.zeros((1 << BUCKET_BITS, code.shape[1]), np.float32), np.zeros(code.shape[1])
+    for a in range(0, 1 << BUCKET_BITS, 1 << 12):
+        part = order[slice(*np.searchsorted(bucket[order], [a, a + (1 << 12)]))]
+        p, q = (np.full((1 << 12, code.shape[1]), SMOOTH) * side.sum(axis=0) for side in sides)
+        for mean, side in ((p, sides[0]), (q, sides[1])):
+            np.add.at(mean, bucket[part] - a, n[part, None] * side[label[part]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where((p > 0) & (q > 0), np.log(p / q), 0.0)
+        weights[a : a + (1 << 12)] = ratio
+        apart += 0.5 * ((p - q) * ratio).sum(axis=0)  # symmetric divergence: how well the bit is told
+    apart = np.where((code == code[0]).all(axis=0), 1.0, apart)
     return LanguageModel(langs, code, apart / apart.sum() * len(apart), weights)
 
 
@@ -217,5 +236,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.34)
     Rejected are texts without a letter and those whose best codeword is no
     likelier than ``least``.
     """
-    marked = docs.select("*", predict(F.col("text").cast("string"), model).alias("__lang"))
-    return marked.where((F.col("__lang.lang") != UND) & (F.col("__lang.score") >= least)).drop("__lang")
+    name = "__lang"
+    while name in docs.columns:
+        name = f"_{name}"
+    marked = docs.withColumn(name, predict(F.col("text").cast("string"), model))
+    return marked.where((F.col(f"{name}.lang") != UND) & (F.col(f"{name}.score") >= least)).drop(name)

@@ -1,4 +1,10 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orelode.llm import langid
@@ -40,7 +46,71 @@ def test_one_language(spark, tables):
     assert {r["lang_pred"] for r in langid.op1_langid(spark, tables(documents=rows)).collect()} == {"en"}
 
 
-@pytest.mark.parametrize("n", [2, 3, 4, 6, 12, 40])
+def plain_grams(text):
+    """Hashed n-grams of lower-cased letters between single spaces."""
+    data = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode())
+    data = data.lstrip(b" ")
+    out = []
+    for n in langid.GRAMS:
+        grams = []
+        for i in range(len(data) - n + 1):
+            code = n
+            for b in data[i : i + n]:
+                code = (code * 257 + b) & 0xFFFFFFFF
+            grams.append((code * int(langid._MULT) & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS))
+        out.append(grams)
+    return out
+
+
+def test_scores_by_brute_force(spark, tables):
+    """Counts, bit weights, margins and loss-weighted decoding by plain loops."""
+    langs = ["de", "en", "fr", "xx", "yy", "zz"]  # over five: a seeded code
+    rows = [(i, prose(["en", "fr", "de"][i % 3], 12 + i % 5, i) + (" qyx" * (i % 6 - 2) if i % 6 > 2 else ""), langs[i % 6], "s") for i in range(60)]
+    got = {r["doc_id"]: r for r in langid.op1_langid(spark, tables(documents=rows)).collect()}
+    counts = {k: Counter() for k in langs}
+    for i, t, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for grams in plain_grams(t):
+                for g in grams:
+                    counts[lang][g] += 1 / math.sqrt(len(grams))
+    size = 1 << langid.BUCKET_BITS
+    share = np.full((6, size), langid.SMOOTH)
+    for k, lang in enumerate(langs):
+        for g, n in counts[lang].items():
+            share[k, g] += n
+    share /= share.sum(axis=1, keepdims=True)
+    code = langid.codewords(6)
+    on, off = (np.stack([share[code[:, b] == side].mean(axis=0) for b in range(code.shape[1])]) for side in (1, -1))
+    weights = np.log(on / off)
+    apart = 0.5 * ((on - off) * weights).sum(axis=1)
+    apart *= len(apart) / apart.sum()
+    for i, t, *_ in rows:
+        margin = sum(weights[:, g] for grams in plain_grams(t) for g in grams) * langid.TEMPERATURE
+        loss = [(apart * np.log1p(np.exp(-np.clip(margin * word, -50, 50)))).sum() for word in code]
+        best = int(np.argmin(loss))
+        order = sorted(loss)
+        if order[1] - order[0] > 1e-3:
+            assert got[i]["lang_pred"] == langs[best]
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(loss[best] - x) for x in loss), abs=1e-3)
+
+
+def test_hundreds_of_labels(spark):
+    word = lambda k: "".join(chr(97 + (k // 26**i * 7 + 3 * i) % 26) for i in range(3)) * 2
+    rows = [(f"{word(k)} " * 9, f"l{k:03d}") for k in range(300) for _ in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), max_docs=4000)
+    assert len(model.langs) == 300 and model.weights.shape == (1 << langid.BUCKET_BITS, langid.codewords(300).shape[1])
+    found, *_ = model.predict(pa.array([f"{word(k)} " * 9 for k in range(300)]))
+    assert np.mean([f == f"l{k:03d}" for k, f in enumerate(found)]) >= 0.95
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t, *_ in corpus(30)], "doc_id bigint, text string, __lang string, lang string")
+    model = langid.fit(spark.createDataFrame(corpus(60), "doc_id bigint, text string, lang string, source string"))
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 30 and kept.first()["__lang"] == "a"
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 12, 40, 1500])
 def test_codewords_differ(n):
     code = langid.codewords(n)
     assert len({tuple(r) for r in code}) == n
