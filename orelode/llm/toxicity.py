@@ -5,8 +5,9 @@ they come from a seed list and from the labelled training rows, where stems that
 occur nearly only in toxic texts are found. Pattern voters fire on shouting,
 runs of exclamation marks, masked letters and drawn-out letters. A generative
 label model estimates by EM how often each voter fires on toxic and on clean
-texts, finds voters that still fire together within a class, and discounts each
-such correlated group so that it counts about once. The posteriors it gives are
+texts and how far voters still fire together within a class; a voter's word is
+discounted by its correlations, so that a group counts about once, and both are
+estimated in turn. The posteriors it gives are
 the labels of a logistic classifier over the votes, kept near the label model's
 own log ratios where there are few examples. The classifier scores every text.
 
@@ -15,9 +16,11 @@ Training reads a documented bounded sample: at most about ``max_toxic`` toxic an
 of an executor. Scoring reads whole texts.
 
 Cases: a null or empty text has no votes and gets the score of such texts.
-Without labelled rows of both classes only the seed lexicon and the patterns
-vote. Labels that are null are not used. Repeated rows get equal scores; if a
-document is labelled twice, each label is an example.
+Without labelled rows of both classes, as in empty tables, only the seed lexicon
+and the patterns vote. Labels that are null are not used. Repeated rows get equal
+scores; if a document is labelled twice, each label is an example. A score of
+exactly 0.5 is predicted toxic. Texts are read whole, whatever their length.
+Other columns, whatever their names, are kept by keep_civil.
 """
 
 from __future__ import annotations
@@ -177,18 +180,6 @@ def _unique_pairs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key[first], doc[first]
 
 
-def drop_nested(fires: np.ndarray) -> np.ndarray:
-    """Voters to keep: of voters that fire on nearly the same texts, the first three stay."""
-    x = fires.astype(np.float32)
-    support = np.maximum(x.sum(axis=0), 1)
-    nested = np.zeros(len(support), np.int64)
-    for a in range(0, len(support), 512):  # not all pairs of voters at once
-        part = slice(a, a + 512)
-        same = x[:, part].T @ x / np.maximum(support[part, None], support[None, :]) > 0.95
-        nested[part] = np.tril(same, a - 1).sum(axis=1)
-    return (nested < 3).nonzero()[0]
-
-
 def label_model(fires: np.ndarray, start: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """Posteriors, the voters' log ratios after discounts, and the correlated groups.
 
@@ -205,8 +196,8 @@ def label_model(fires: np.ndarray, start: np.ndarray, gold: np.ndarray, prior: f
         on = (x * post[:, None]).sum(axis=0) + 0.5
         off = (x * (1 - post[:, None])).sum(axis=0) + 0.05
         ratio = np.log(on / (post.sum() + 1)) - np.log(off / ((1 - post).sum() + 1))
-        if step == rounds // 2:  # correlations that the class doesn't explain
-            left = x - np.outer(post, on / (post.sum() + 1)) - np.outer(1 - post, off / ((1 - post).sum() + 1))
+        if step >= rounds // 2 and not step % 2:  # correlations that the class doesn't explain, in turn with the accuracies
+            left = (x - np.outer(post, on / (post.sum() + 1)) - np.outer(1 - post, off / ((1 - post).sum() + 1))).astype(np.float32)
             scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
             corr = (left.T @ left) / np.outer(scale, scale)
             weight = 1 / np.maximum(1, np.where(corr > 0.5, corr, 0).sum(axis=1))
@@ -243,8 +234,6 @@ def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
         fires[doc + i, voter] = True
     if not both:
         return ToxicityModel(keys, np.append(np.full(len(keys), 3.0), np.zeros(PATTERNS)), -2.0)
-    kept = np.union1d(drop_nested(fires[:, : len(keys)]), np.searchsorted(keys, seeds))
-    keys, fires = keys[kept], np.hstack([fires[:, kept], fires[:, -PATTERNS:]])
     start = np.where(fires[:, :-PATTERNS].any(axis=1), 0.95, 0.05)
     post, ratio, groups = label_model(fires, start, toxic, prior=float(np.clip(toxic.mean(), 0.05, 0.5)))
     silent = ~fires.any(axis=0)
@@ -301,4 +290,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
     """The documents scored under ``limit``, with all their columns."""
-    return docs.select("*", score(F.col("text").cast("string"), model).alias("__toxicity")).where(F.col("__toxicity") < limit).drop("__toxicity")
+    name = "__toxicity"
+    while name in docs.columns:
+        name = f"_{name}"
+    return docs.withColumn(name, score(F.col("text").cast("string"), model)).where(F.col(name) < limit).drop(name)

@@ -1,9 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from orelode.llm import toxicity
+from orelode.llm.textcore import mix
 from tests.llm.conftest import odd_documents, prose
 
 SLURS = ["idiot", "grubach", "zorkely"]
@@ -64,9 +67,35 @@ def test_large_lexicon_keeps_rare_words():
     assert (scores >= 0.5).all()
 
 
-def test_nested_voters_in_blocks():
-    fires = np.random.default_rng(4).random((60, 700)) < 0.3
-    fires = np.hstack([fires, fires, fires, fires[:, :9], fires[:, :5]])
-    n = fires.T.astype(int) @ fires
-    same = n / np.maximum(np.diag(n)[:, None], np.diag(n)) > 0.95
-    assert toxicity.drop_nested(fires).tolist() == np.flatnonzero(np.tril(same, -1).sum(axis=1) < 3).tolist()
+def test_scores_by_brute_force(spark, tables):
+    """The query's scores are the weights of the voters that fire, found word by word and letter by letter."""
+    rows, labels = corpus(200)
+    shouting = [(900, "SHUT UP YOU GRUBACHX NOW PLEASE!!! ok", "en", "s"), (901, "sooo f*ck it a!!!b!!", "en", "s"), (902, "É IDIOT\nidiot, Zorkelya", "en", "s")]
+    at = tables(documents=rows + shouting + odd_documents(), labels=labels)
+    docs = spark.read.parquet(at + "/documents.parquet")
+    model = toxicity.learn_from(docs, spark.read.parquet(at + "/labels.parquet"))
+    place = {int(k): i for i, k in enumerate(model.keys)}
+
+    def plain(text):
+        fired = set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode()):
+            fired.add(place.get(toxicity.text_hash(word)))
+            for k in toxicity.STEMS:
+                if len(word) > k:
+                    fired.add(place.get(int(mix(np.array([toxicity.text_hash(word[:k])], np.uint64) ^ toxicity._STEM_SALT)[0])))
+        raw = text or ""
+        upper, lower = (sum(a <= c <= z for c in raw) for a, z in ("AZ", "az"))
+        signs = [upper > 0.6 * max(upper + lower, 12), sum(raw[i : i + 2] == "!!" for i in range(len(raw))) > 2, re.search(r"[a-z]\*", raw), re.search(r"([a-z])\1\1", raw)]
+        fired |= {len(model.keys) + k for k, sign in enumerate(signs) if sign}
+        return 1 / (1 + np.exp(-np.clip(model.bias + sum(model.weights[v] for v in fired - {None}), -30, 30)))
+
+    texts = {r[0]: r[1] for r in rows + shouting + odd_documents() if r[0] is not None}
+    for r in toxicity.op8_toxicity(spark, at).collect():
+        if r["doc_id"] is not None:
+            assert r["score"] == pytest.approx(plain(texts[r["doc_id"]])), texts[r["doc_id"]][:80]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 0.0, "a"), (2, "fine", 1.0, "b")], "doc_id bigint, text string, __toxicity double, score string")
+    kept = toxicity.keep_civil(docs, toxicity.train(pa.array([], pa.large_string()), np.zeros(0, bool)))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "fine", 1.0, "b")]
