@@ -9,6 +9,7 @@ QUERIES = {
     "op2_fingerprint": digest.op2_fingerprint,
     "op3_urlfilter": urlfilter.op3_urlfilter,
     "op4_mixing": mixing.op4_mixing,
+    "mixing_targets": mixing.mixing_targets,
     "op5_bpe": bpe.op5_bpe,
     "op6_ngramlm": ngramlm.op6_ngramlm,
     "op7_warc": warc.op7_warc,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_urlfilter": urlfilter.ORACLE,
+    "mixing_targets": mixing.TARGETS_ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_embeddings": embeddings.ORACLE,
 }

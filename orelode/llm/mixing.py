@@ -259,3 +259,24 @@ def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and target of every source."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(word_count(F.col("text").cast("string"))).alias("s"))
+    found = source_targets(cut_lineage(lines))
+    return found.select("source", F.col("s").alias("source_size"), F.round("target", 6).alias("target"))
+
+
+#: The level that caps the targets, by window sums over the sources.
+TARGETS_ORACLE = r"""
+with d as (select source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+l as (select source, sum(size)::bigint as s from d group by source),
+r as (select *, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight from l),
+q as (select *, 2.0 * s / weight as ratio from r),
+w as (select *, (1.5 * sum(s) over () - coalesce(sum(2.0 * s) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0))
+    / (sum(weight) over () - coalesce(sum(weight) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0)) as level from q),
+f as (select max(level) filter (level <= ratio) as level from w)
+select source, s as source_size, round(least(2.0 * s, weight * coalesce(level, 1e300)), 6) as target from q, f
+"""

@@ -33,6 +33,18 @@ def test_targets(spark):
         assert {r["source"]: r["target"] for r in got.collect()} == pytest.approx(dict(zip(order, want)))
 
 
+def test_targets_against_sql(spark, tables):
+    import duckdb
+
+    rows = corpus() + odd_documents() + [(20_000 + k, "w " * (k % 90), "en", f"t{k % 17}") for k in range(300)] + [(30_000, "x " * 90_000, "en", "u")]
+    at = tables(documents=rows)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(mixing.TARGETS_ORACLE).fetchall()}
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.mixing_targets(spark, at).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(got) == len({r[3] for r in rows})
+
+
 def chosen(docs, rest):
     """Numbers of the drawn among (size, u): certain ones, then by Pareto rank while they fit, and one that closes the gap best."""
     fit = [(k, s) for k, (s, _) in enumerate(docs) if 0 < s <= rest]
