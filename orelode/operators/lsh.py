@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.functions.numeric import linear_hash
+from orelode.functions.pairs import pairs_within
+from orelode.operators.components import ensure_checkpoint_dir
+from orelode.operators.similarity import among_members
 
 HASHES, ROWS, SEED = 40, 2, 42
 
@@ -35,9 +38,26 @@ def bands(signed: DataFrame, n: int = HASHES, rows: int = ROWS) -> DataFrame:
 
 
 def candidates(banded: DataFrame) -> DataFrame:
-    """(id1, id2) that share a band's key."""
-    a, b = banded.withColumnRenamed("id", "id1"), banded.withColumnRenamed("id", "id2")
-    return a.join(b, ["band", "key"]).where("id1 < id2").select("id1", "id2").distinct()
+    """(id1, id2) that share a band's key; rows of one hash are compared again by their keys."""
+    rows = banded.select("id", F.struct("band", "key").alias("k"), F.xxhash64("band", "key").alias("x"))
+    return pairs_within(rows, "x", "id", ["k"]).where("k1 = k2").select("id1", "id2").distinct()
+
+
+def signature_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, h0 ..), (rep, id)): one row for each different signature, named by its least id, and which ids have it."""
+    ensure_checkpoint_dir(signed.sparkSession)
+    values = [c for c in signed.columns if c != "id"]
+    named = signed.withColumn("name", F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in values]), 256)).checkpoint()
+    of = named.groupBy("name").agg(F.min("id").alias("id"), F.min_by(F.struct(*values), "id").alias("s")).checkpoint()
+    members = named.select("id", "name").join(of.select("name", F.col("id").alias("rep")), "name").select("rep", "id")
+    return of.select("id", "s.*"), members
+
+
+def candidate_pairs(signed: DataFrame) -> DataFrame:
+    """(id1, id2) of signatures that share a band: the pairs of different signatures, spread over who has them."""
+    unlike, members = signature_classes(signed)
+    pairs = candidates(bands(unlike)).withColumn("v", F.lit(1))
+    return among_members(pairs, members, "1").select("id1", "id2")
 
 
 def quality(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.numeric import ratio
+from orelode.functions.ordered import ranked
+from orelode.functions.pairs import pairs_within
+from orelode.operators.components import ensure_checkpoint_dir
 
 
 def pearson(ratings: DataFrame, side: str, shared: str, value: str = "rating") -> DataFrame:
-    """(id1, id2, n, sim) for id1 < id2 with anything in common; means over the common part, 0 without variance."""
-    a = ratings.select(F.col(side).alias("id1"), F.col(shared).alias("k"), F.col(value).alias("x"))
-    b = ratings.select(F.col(side).alias("id2"), F.col(shared).alias("k"), F.col(value).alias("y"))
-    pairs = a.join(b, "k").where("id1 < id2").groupBy("id1", "id2")
+    """(id1, id2, n, sim) for id1 < id2 with anything in common; means over the common part, 0 without variance.
+
+    All sums merge, so pairs are combined where they are made, and a hot key's
+    are made in many tasks.
+    """
+    rows = ratings.select(F.col(side).alias("id"), F.col(shared).alias("k"), F.col(value).alias("v"))
+    pairs = pairs_within(rows, "k", "id", ["v"]).select("id1", "id2", F.col("v1").alias("x"), F.col("v2").alias("y")).groupBy("id1", "id2")
     spread = F.stddev_pop("x") * F.stddev_pop("y")
     flat = (F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))
     return pairs.agg(F.count("*").alias("n"), F.when(flat, 0.0).otherwise(ratio(F.covar_pop("x", "y"), spread)).alias("sim"))
@@ -38,45 +44,87 @@ def nearest(pairs: DataFrame, k: int, universe: int, digits: int = 6) -> DataFra
     return both.select("id", "other", "sim", "r", place.alias("place")).where((F.col("place") <= k) & (F.col("r") != 0)).select("id", "other", "sim")
 
 
-def jaccard_pairs_exact(sets: DataFrame, least: float = 0.5, key: str = "id", item: str = "token") -> DataFrame:
-    """(id1, id2, jaccard) of all pairs with Jaccard similarity of at least ``least``.
+def rarity_sets(rows: DataFrame) -> DataFrame:
+    """(id, s) of distinct (id, t): each set's items as numbers in ascending order, rare items first."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    often = rows.groupBy("t").agg(F.count("*").alias("df"))
+    numbers = ranked(often, [F.col("df"), F.col("t")], "x").select("t", F.col("x").alias("x"))
+    return rows.join(numbers, "t").groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("s"))
+
+
+def equal_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rep, s), (rep, id)): one row for each different set, named by its least id, and which ids have it."""
+    named = sets.select("id", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256).alias("name"), "s")
+    of = named.groupBy("name").agg(F.min("id").alias("rep"), F.min_by("s", "id").alias("s")).checkpoint()
+    members = named.select("id", "name").join(of.select("name", "rep"), "name").select("rep", "id").checkpoint()
+    return of.select("rep", "s"), members
+
+
+def among_members(pairs: DataFrame, members: DataFrame, one: str) -> DataFrame:
+    """(id1, id2, value) from (id1, id2, value) of representatives: all members of both, and the members of one set with value ``one``.
+
+    This is as large as the answer; ask for pairs of representatives and the members where groups of copies are large.
+    """
+    value = next(c for c in pairs.columns if c not in ("id1", "id2"))
+    large = members.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep")
+    copies = members.join(large, "rep", "left_semi").checkpoint()
+    within = pairs_within(copies, "rep", "id").select("id1", "id2", F.expr(one).alias(value))
+    a, b = copies.select(F.col("rep").alias("id1"), F.col("id").alias("a")), copies.select(F.col("rep").alias("id2"), F.col("id").alias("b"))
+    ends = F.coalesce("a", "id1"), F.coalesce("b", "id2")
+    across = pairs.join(a, "id1", "left").join(b, "id2", "left").select(F.least(*ends).alias("id1"), F.greatest(*ends).alias("id2"), value)
+    return across.unionByName(within)
+
+
+def jaccard_classes_exact(sets: DataFrame, least: float = 0.5, key: str = "id", item: str = "token") -> tuple[DataFrame, DataFrame]:
+    """((id1, id2, jaccard), (rep, id)): all pairs of different sets with a similarity of at least ``least``, and who has each set.
 
     Prefix filter: with items in order of rarity, two sets that reach the threshold
     share an item among the first n - ceil(least * n) + 1 of each, so only rare
-    items are joined. Their first common item must also leave enough items behind
-    it in both for the overlap that the threshold needs. The result is exact.
+    items are joined, as numbers, and equal sets as one. What two prefixes share
+    is counted: every other common item lies behind the prefix whose last item
+    comes first, so the count and what lies there must reach the overlap that the
+    threshold needs. Only pairs that pass are compared in full. The result is exact.
     """
-    rows = sets.select(F.col(key).alias("id"), F.col(item).alias("t")).distinct()
-    often = rows.groupBy("t").agg(F.count("*").alias("df"))
-    marked = rows.join(often, "t")
-    order = Window.partitionBy("id").orderBy("df", "t")
-    ranked = marked.withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.round(F.lit(least) * F.col("n"), 6)) + 1).select("id", "t", "n", "at")
-    a = prefix.select(F.col("id").alias("id1"), "t", F.col("n").alias("n1"), F.col("at").alias("at1"))
-    b = prefix.select(F.col("id").alias("id2"), "t", F.col("n").alias("n2"), F.col("at").alias("at2"))
-    fits = (F.col("n1") >= F.lit(least) * F.col("n2")) & (F.col("n2") >= F.lit(least) * F.col("n1"))
-    behind = 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    fits &= behind >= F.ceil(F.round(F.lit(least / (1 + least)) * (F.col("n1") + F.col("n2")), 6))
-    candidates = a.join(b, "t").where((F.col("id1") < F.col("id2")) & fits).select("id1", "id2").distinct()
-    return verify_jaccard(candidates, rows, least)
+    ensure_checkpoint_dir(sets.sparkSession)
+    rows = sets.select(F.col(key).alias("id"), F.col(item).alias("t")).distinct().checkpoint()
+    unlike, members = equal_sets(rarity_sets(rows))
+    n = F.size("s")
+    length = (n - F.ceil(F.round(F.lit(least) * n, 6)) + 1).cast("int")
+    prefix = F.slice("s", 1, length)
+    placed = unlike.select("rep", F.struct(n.alias("n"), (n - length).alias("behind"), F.element_at("s", length).alias("last")).alias("v"), F.explode(prefix).alias("x"))
+    met = pairs_within(placed, "x", "rep", ["v"]).select("id1", "id2", F.col("v1").alias("a"), F.col("v2").alias("b"))
+    near = met.where((F.col("a.n") >= F.lit(least) * F.col("b.n")) & (F.col("b.n") >= F.lit(least) * F.col("a.n")))
+    behind = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.behind")).otherwise(F.col("b.behind"))
+    need = F.ceil(F.round(F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")), 6))
+    counted = near.groupBy("id1", "id2").agg(F.count("*").alias("c"), F.first(need - behind).alias("most"))
+    candidates = counted.where("c >= most").select("id1", "id2")
+    first, second = (unlike.select(F.col("rep").alias(f"id{k}"), F.col("s").alias(f"s{k}")) for k in (1, 2))
+    joined = candidates.join(first, "id1").join(second, "id2")
+    return _jaccard(joined, least), members
+
+
+def _jaccard(joined: DataFrame, least: float) -> DataFrame:
+    both = F.size(F.array_intersect("s1", "s2"))
+    sized = joined.select("id1", "id2", (both / (F.size("s1") + F.size("s2") - both)).alias("jaccard"))
+    return sized.where(F.col("jaccard") >= least)
+
+
+def jaccard_pairs_exact(sets: DataFrame, least: float = 0.5, key: str = "id", item: str = "token") -> DataFrame:
+    """(id1, id2, jaccard) of all pairs of ids with Jaccard similarity of at least ``least``."""
+    return among_members(*jaccard_classes_exact(sets, least, key, item), "1.0d")
 
 
 def verify_jaccard(candidates: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """Exact similarity of candidate pairs; rows: (id, t)."""
     of = rows.groupBy("id").agg(F.collect_set("t").alias("s"))
-    joined = candidates.join(of.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(of.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
-    both = F.size(F.array_intersect("s1", "s2"))
-    sized = joined.select("id1", "id2", (both / (F.size("s1") + F.size("s2") - both)).alias("jaccard"))
-    return sized.where(F.col("jaccard") >= least)
+    return _jaccard(candidates.join(of.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(of.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2"), least)
 
 
 def binary_cosine(sets: DataFrame, key: str = "item_id", item: str = "genre") -> DataFrame:
     """(id1, id2, cosine) of one-hot vectors that share anything."""
     rows = sets.select(F.col(key).alias("id"), F.col(item).alias("g")).distinct()
     sized = rows.join(rows.groupBy("id").agg(F.count("*").alias("n")), "id")
-    a = sized.select(F.col("id").alias("id1"), "g", F.col("n").alias("n1"))
-    b = sized.select(F.col("id").alias("id2"), "g", F.col("n").alias("n2"))
-    pairs = a.join(b, "g").where("id1 < id2").groupBy("id1", "id2", "n1", "n2").agg(F.count("*").alias("c"))
+    pairs = pairs_within(sized, "g", "id", ["n"]).groupBy("id1", "id2", "n1", "n2").agg(F.count("*").alias("c"))
     return pairs.select("id1", "id2", (F.col("c") / F.sqrt(F.col("n1") * F.col("n2"))).alias("cosine"))
 
 

@@ -188,7 +188,8 @@ def jaccard_exact(spark, d):
 
 
 def _signatures(spark, d):
-    tokens = views.tokens(spark, d)
+    ensure_checkpoint_dir(spark)
+    tokens = views.tokens(spark, d).checkpoint()
     modulus = tokens.select("token").distinct().count() + 1
     return lsh.signatures(tokens.select("id", lsh.token_number(F.col("token")).alias("x")), modulus)
 
@@ -200,7 +201,7 @@ def minhash_signature(spark, d):
 
 @query("lsh_candidates", f"with {o.TOKENS}, {o.signature_sql()}, {o.band_sql()}, {o.CANDIDATES} select id1, id2 from cand")
 def lsh_candidates(spark, d):
-    return lsh.candidates(lsh.bands(_signatures(spark, d)))
+    return lsh.candidate_pairs(_signatures(spark, d))
 
 
 def _lsh_pairs(spark, d):
@@ -397,8 +398,18 @@ def girvan_newman_modularity(spark, d):
     return graph.girvan_newman(_edges(spark, d))[1]
 
 
-@query("community_members")
+@query(
+    "community_members",
+    f"with {o.BASKETS}, lab as (select distinct a as node, a % 7 as label from g) select label, count(*) as size, array_to_string(list_sort(list(node)), ',') as members from lab group by label",
+)
 def community_members(spark, d):
+    labels = graph.neighbours(_edges(spark, d)).select("node", F.pmod("node", F.lit(7)).alias("label")).distinct()
+    lists = graph.community_members(labels)
+    return lists.select("label", "size", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"))
+
+
+@query("girvan_newman_members")
+def girvan_newman_members(spark, d):
     return graph.community_members(graph.girvan_newman(_edges(spark, d))[0])
 
 

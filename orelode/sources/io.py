@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.functions.text import naive_fields
+from orelode.functions.text import last_field, naive_fields
 
 RATINGS = "user_id bigint, item_id bigint, rating double, ts bigint"
 TAGS = "user_id bigint, item_id bigint, tag string, ts bigint"
 MOVIES = "item_id bigint, title string, genres string"
 KEYS = "user_id bigint, item_id bigint"
+PAIRS = "id1 bigint, id2 bigint"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +40,7 @@ def read_genres(spark: SparkSession, path: str) -> DataFrame:
     rows = read_lines(spark, path)
     first = rows.first()
     rows = rows.where(F.col("value") != first["value"]) if first else rows
-    parts = F.split("value", ",")
-    return rows.select(F.element_at(parts, 1).cast("bigint").alias("item_id"), F.split(F.element_at(parts, -1), r"\|").alias("genres"))
+    return rows.select(naive_fields(F.col("value"), "bigint")[0].alias("item_id"), F.split(last_field(F.col("value")), r"\|").alias("genres"))
 
 
 def in_memory(spark: SparkSession, rows: list, schema: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orelode.functions.numeric import amplify, truncate
 from orelode.functions.ordered import ranked
+from orelode.functions.pairs import pairs_within
 from orelode.functions.text import word_tokens
 from orelode.operators import aggregates, evaluate, graph, itemsets, lsh, recommend, similarity
 from orelode.operators.components import connected_components
@@ -49,6 +50,28 @@ def test_word_tokens(spark, line, tokens):
     assert df.select(word_tokens(F.col("v")).alias("t")).first()["t"] == tokens
 
 
+def test_readers(spark, tmp_path):
+    made = io.in_memory(spark, [(1, 2), (None, 3)], io.KEYS)
+    assert made.columns == ["user_id", "item_id"] and {tuple(r) for r in made.collect()} == {(1, 2), (None, 3)}
+    (tmp_path / "r.csv").write_text("user_id,item_id\n1,2\nx,4\n5,\n")
+    assert {tuple(r) for r in io.read_csv(spark, f"{tmp_path}/r.csv", io.KEYS, lenient=True).collect()} == {(1, 2), (None, 4), (5, None)}
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        io.read_csv(spark, f"{tmp_path}/r.csv", io.KEYS).collect()
+    (tmp_path / "m.csv").write_text('movieId,title,genres\n1,"a, b",A|B\n2,c,A\n')
+    assert {r["item_id"]: r["genres"] for r in io.read_genres(spark, f"{tmp_path}/m.csv").collect()} == {1: ["A", "B"], 2: ["A"]}
+    (tmp_path / "n.csv").write_text("")
+    assert io.read_genres(spark, f"{tmp_path}/n.csv").count() == 0 and io.read_naive(spark, f"{tmp_path}/n.csv", io.KEYS).count() == 0
+
+
+def test_one_part_and_refusal_to_overwrite(spark, tmp_path):
+    rows = spark.range(50).repartition(7)
+    io.write_csv(rows, f"{tmp_path}/one", single=True)
+    io.write_csv(rows, f"{tmp_path}/many", header=False)
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1 < len(list((tmp_path / "many").glob("part-*")))
+    with pytest.raises(Exception, match="exist"):
+        io.write_csv(rows, f"{tmp_path}/one")
+
+
 def test_word_count(spark):
     line = "Hi, how do you count words? I think the word count solution is the solution to make: add this to the test, there are many, the problem."
     got = {r["word"]: r["n"] for r in aggregates.word_count(spark.createDataFrame([(line,)], "value string")).collect()}
@@ -182,6 +205,43 @@ def test_band_keys_are_sets(spark):
     assert {(r["id1"], r["id2"]) for r in lsh.candidates(lsh.bands(rows, n=4, rows=2)).collect()} == {(1, 2)}
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_pairs_within_hot_keys(spark, block):
+    """One key holds most rows: every pair once, whatever the blocks, as brute force has it."""
+    rng = random.Random(block)
+    rows = [(k, i, rng.randint(0, 9)) for k, n in ((1, 60), (2, 3), (3, 1), (4, 9)) for i in rng.sample(range(100), n)] + [(None, 1, 1), (None, 2, 2), (2, None, 5)]
+    got = pairs_within(spark.createDataFrame(rows, "k int, id int, v int"), "k", "id", ["v"], block).select("k", "id1", "id2", "v1", "v2").collect()
+    want = [(k, a, b, v, w) for k, a, v in rows for j, b, w in rows if k is not None and k == j and a is not None and b is not None and a < b]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_one_item_in_every_basket(spark, monkeypatch):
+    """Joins on a shared item give the same whether a hot item is cut in blocks or not."""
+    rng = random.Random(1)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(50) for i in (0, *rng.sample(range(1, 12), 4))]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+
+    def all_three():
+        named = df.withColumnRenamed("item_id", "item")
+        return [sorted(tuple(round(x, 9) for x in r) for r in f.collect()) for f in (similarity.pearson(df, "user_id", "item_id"), similarity.binary_cosine(df, "user_id", "item_id"), graph.cooccurrence_edges(named, 3))]
+
+    whole = all_three()
+    assert len(whole[0]) == len(whole[1]) == 50 * 49 // 2
+    monkeypatch.setattr(pairs_within, "__defaults__", ((), 8))
+    assert all_three() == whole
+
+
+def test_copies_are_one_class(spark):
+    """Groups of equal sets are joined as one; their pairs come from membership."""
+    sets = {k: set("abcdef") for k in range(30)} | {100 + k: set("abcdeg") for k in range(5)} | {200: set("xyz"), 201: set("xyzw")}
+    rows = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id bigint, token string")
+    pairs, members = similarity.jaccard_classes_exact(rows, 0.5)
+    assert {(r["id1"], r["id2"]) for r in pairs.collect()} == {(0, 100), (200, 201)}
+    assert {r["id"]: r["rep"] for r in members.collect()} == {i: 0 if i < 100 else min(i, 100) if i < 200 else i for i in sets}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    assert as_map(similarity.jaccard_pairs_exact(rows, 0.5), "id1", "id2", "jaccard") == want
+
+
 def test_lsh_quality(spark):
     found = spark.createDataFrame([(1, 2), (1, 3)], "id1 int, id2 int")
     truth = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "id1 int, id2 int")
@@ -224,6 +284,19 @@ def test_girvan_newman_and_louvain(spark):
     assert [r["members"] for r in graph.community_members(labels).orderBy("label").collect()] == [[1, 2, 3], [4, 5, 6, 7]]
 
 
+def test_louvain_over_all_tasks(spark):
+    """Moves made at once reach what moves one by one reach: planted groups, and no single move raises the modularity."""
+    rng = random.Random(5)
+    edges = sorted({(a, b) for a in range(24) for b in range(a + 1, 24) if rng.random() < (0.8 if a // 8 == b // 8 else 0.05)} | {(100, 101), (101, 102)})
+    df = spark.createDataFrame(edges, EDGE).coalesce(1)
+    label = {r["node"]: r["label"] for r in graph.louvain(df, 3).collect()}
+    assert set(label) == {n for e in edges for n in e} and all(label[c] == c == min(n for n in label if label[n] == c) for c in label.values())
+    assert _q(edges, label) >= _q(edges, {n: n // 8 for e in edges for n in e}) - 0.02 and label[100] == label[102] == 100
+    level = {r["node"]: r["c"] for r in graph.moved_level(df.withColumn("w", F.lit(1.0)), float(len(edges))).collect()}
+    q = _q(edges, level)
+    assert all(_q(edges, level | {n: c}) <= q + 1e-9 for n in level for c in set(level.values()))
+
+
 def _q(edges, label):
     m, inside, degree = len(edges), defaultdict(int), defaultdict(int)
     for a, b in edges:

@@ -23,3 +23,13 @@ def test_windowed_mean(spark, tmp_path):
     run.stop()
     got = {(r["start"].timestamp() % 86400 // 3600, r["k"]): (r["mean"], r["n"]) for r in spark.table("means").collect()}
     assert sorted(got.values()) == [(2.0, 1), (2.0, 2), (5.0, 1)]
+
+
+def test_running_mean(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", None), (None, 4.0)], "k string, v double")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = streaming.running_mean(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "k", "v")
+    run = stream.writeStream.format("memory").queryName("run").outputMode("complete").start()
+    run.processAllAvailable()
+    run.stop()
+    assert {tuple(r) for r in spark.table("run").collect()} == {("a", 2.0, 2), ("b", 2.0, 1), (None, 4.0, 1)}
