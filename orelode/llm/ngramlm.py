@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import crc_mod, cut_lineage, partitions, shared_dir, table
+from orelode.llm.common import crc_mod, cut_lineage, delete_folder, partitions, release_memory, shared_dir, table
 from orelode.llm.eliasfano import DEQUANTISE, NgramTrie
 from orelode.llm.textcore import LOWER, mix, runs, span_hashes, text_hash, utf8_column, word_spans
 from orelode.llm.warc import file_system
@@ -467,6 +467,8 @@ def answer_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     found = asked.answers(asked.trie().through_file())
     for k, part in enumerate(parts):
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard], pa.int32()), pa.array([pack(asked.of_block(k, found))], pa.binary())], names=["part", "shard", "blob"])
+    del asked, found
+    release_memory()
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -552,10 +554,13 @@ def score_documents(docs: DataFrame, shards: int | None = None, part_tokens: int
                     if p != name:
                         if name is not None:
                             yield from per_part(fs, root, name, got)
+                            release_memory()
                         name, got = p, {}
                     got[shard] = blob
             if name is not None:
                 yield from per_part(fs, root, name, got)
+            del got
+            release_memory()
 
         dealt = rows.select("part", "shard", "blob").repartition(shards, F.xxhash64("part")).sortWithinPartitions("part", "shard")
         return dealt.mapInArrow(run, schema)
@@ -585,9 +590,7 @@ def score_documents(docs: DataFrame, shards: int | None = None, part_tokens: int
     sent = by_part(counted.where("kind = 0"), send, "shard int, part string, blob binary")
     answers = sent.repartitionById(shards, F.col("shard")).mapInArrow(answer_trigrams, "part string, shard int, blob binary")
     scored = cut_lineage(by_part(answers, finish, SCORES))
-    fs, root = file_system(folder)
-    if fs.get_file_info(root).type.name != "NotFound":
-        fs.delete_dir(root)
+    delete_folder(spark, folder)
     return scored.withColumn("train_tokens", F.lit(n).cast("bigint"))
 
 
