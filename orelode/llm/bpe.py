@@ -14,6 +14,9 @@ cut by the tokenizer's pattern and merged together.
 Cases: a null or empty text gives no ids and an empty decoded text. Special
 tokens written out in a text are recognised, as the tokenizer file declares.
 Bytes that the vocabulary lacks are left out, as the file has no unknown token.
+Of pairs of equal rank the leftmost merges first. Repeated rows are encoded each,
+with equal results. Texts are encoded whole, whatever their length. An empty
+table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

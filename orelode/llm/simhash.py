@@ -18,7 +18,9 @@ Equal fingerprints are merged before any of this, with a partial aggregation.
 Cases: null, empty and blank texts have fingerprint zero and are linked like any
 other. Texts of fewer words than a shingle are one shingle. Texts are read
 whole. Rows with a null id take part; a group's component_id is the least id
-that is not null. Repeated rows are linked. An empty table gives no rows.
+that is not null. Repeated rows are linked. A share of exactly half leaves a bit
+0. An empty table gives no rows. Extra columns, whatever their names, are kept by
+keep_one and keep_first.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ match inside a path.
 Cases: a null URL or one without ``://`` has an empty host and path, no rule and
 the default verdict. Of equally long rules that fit, the first in order wins.
 An empty rule list gives every URL the default verdict. A URL of any length is
-read whole; rows of a batch are stepped in runs of similar length.
+read whole; rows of a batch are stepped in runs of similar length. Repeated rows
+are judged each, alike. An empty table gives no rows. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
