@@ -12,8 +12,8 @@ def word_tokens(line: Column) -> Column:
     Trailing empty tokens are dropped and a leading one is kept: an empty line is
     one empty token, a line of separators alone has none.
     """
-    body = F.regexp_replace(line, r"\W+$", "")
-    return F.when(line == "", F.array(F.lit(""))).when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\W+"))
+    words = F.regexp_extract_all(line, F.lit(r"\w+"), F.lit(0))
+    return F.when(line == "", F.array(F.lit(""))).when(line.rlike(r"^\W+\w"), F.concat(F.array(F.lit("")), words)).otherwise(words)
 
 
 def naive_fields(line: Column, *types: str) -> list[Column]:

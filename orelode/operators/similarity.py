@@ -34,14 +34,14 @@ def nearest(pairs: DataFrame, k: int, universe: int, digits: int = 6) -> DataFra
     """(id, other, sim): the k most similar others of each id, ties by id.
 
     Others that share nothing have similarity 0 and take places before negative
-    ones without being listed: a negative one's rank starts behind them.
+    ones without being listed: a negative one's place is its rank among the listed
+    and as many more as aren't.
     """
     both = directed(pairs.select("id1", "id2", "sim")).withColumn("r", F.round("sim", digits))
-    negative = F.sum((F.col("r") < 0).cast("int")).over(Window.partitionBy("id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("r").desc(), "other"))
-    among = F.row_number().over(Window.partitionBy("id", F.col("r") < 0).orderBy(F.col("r").desc(), "other"))
-    place = F.when(F.col("r") < 0, F.lit(universe - 1) - negative + among).otherwise(rank)
-    return both.select("id", "other", "sim", "r", place.alias("place")).where((F.col("place") <= k) & (F.col("r") != 0)).select("id", "other", "sim")
+    listed = F.count("*").over(Window.partitionBy("id"))
+    place = rank + F.when(F.col("r") < 0, F.lit(universe - 1) - listed).otherwise(0)
+    return both.withColumn("place", place).where((F.col("place") <= k) & (F.col("r") != 0)).select("id", "other", "sim")
 
 
 def rarity_sets(rows: DataFrame) -> DataFrame:

@@ -57,5 +57,5 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, token): the distinct lower-cased words of a document."""
     d = table(spark, sf_dir, "documents")
-    words = F.explode(F.split(F.lower("text"), r"\W+"))
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+")))
     return d.select(F.col("doc_id").alias("id"), words.alias("token")).where("token <> ''").distinct()
