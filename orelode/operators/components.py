@@ -13,6 +13,7 @@ an empty edge list gives an empty result.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at and jsc.getCheckpointDir().isDefined():
         at = jsc.getCheckpointDir().get()
-    at = at or f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+    if not at:
+        at = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+        if not sc.master.startswith("local"):
+            warnings.warn(f"spark.checkpoint.dir is unset; {at} must be a folder that driver and executors share", stacklevel=2)
     if not jsc.getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at
