@@ -242,17 +242,17 @@ def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sized, repeated = sized_documents(docs, seed)
     lines, n = plan_mix(cut_lineage(sized.select("source", "size", "u")))
     lines = cut_lineage(lines)
-    names = {c: f"__mix{len(docs.columns)}_{c}" for c in (*lines.columns, *KEY, "n", "copies")}
+    names = {c: f"__mix{len(docs.columns)}_{c}" for c in (*lines.columns, *KEY, "n", "copies", "size")}
     while any(x in docs.columns for x in names.values()):
         names = {c: f"_{x}" for c, x in names.items()}
     text = F.col("text").cast("string")
-    marked = docs.withColumns({names["doc_id"]: F.col("doc_id"), names["source"]: F.col("source").cast("string"), names["hash"]: F.xxhash64(text)})
+    marked = docs.withColumns({names["doc_id"]: F.col("doc_id"), names["source"]: F.col("source").cast("string"), names["hash"]: F.xxhash64(text), names["size"]: word_count(text)})
     keys = [names[c] for c in KEY]
     marked = numbered(marked, repeated.toDF(*keys), keys, names["n"])
     prefix = names["whole"].removesuffix("whole")
     lines = lines.withColumnRenamed("source", "of").select([F.col(c).alias(f"{prefix}{c}") for c in ("of", *LINE)])
     joined = marked.join(per_source(lines, n), marked[names["source"]].eqNullSafe(lines[f"{prefix}of"]))
-    many = copies_of(uniform(*[F.col(c) for c in (*keys, names["n"])], seed=seed), word_count(text), prefix)
+    many = copies_of(uniform(*[F.col(c) for c in (*keys, names["n"])], seed=seed), F.col(names["size"]), prefix)
     return joined.withColumn(names["copies"], F.explode(F.array_repeat(F.lit(1), many.cast("int")))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
