@@ -264,11 +264,11 @@ class Cuts:
         return at, (at >= low) & (self.hashes[np.maximum(at, 0)] == hashes)
 
 
-def beside_next(docs: DataFrame, each: int = 16) -> DataFrame:
+def beside_next(docs: DataFrame, each: int = 64) -> DataFrame:
     """Rows (bucket, helper, doc_id, hash, text) in which every row is followed by its next.
 
-    Rows are dealt in ranges of id and text, which are cut at keys that occur:
-    every so many of those that a hash picks, about ``each`` for a range. Rows of
+    Rows are dealt in ranges of id and text, which are cut at keys that occur, at
+    even steps through those that a hash picks, about ``each`` for a range. Rows of
     one id, or without one, are cut like others. The first row of a range also
     goes, as a helper, to the range before; that of the first range to the last.
     """
@@ -281,7 +281,7 @@ def beside_next(docs: DataFrame, each: int = 16) -> DataFrame:
     picked = rows.select(key.alias("k")).where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(max(1, n // (each * parts)))) == 0).distinct()
     found = sorted((k["known"], k["doc_id"] or 0, k["hash"]) for (k,) in picked.collect())
     first = rows.agg(F.min(key).alias("k")).first()["k"]
-    cuts = Cuts.of([*found[each::each], *([tuple(first)] if first else [])])
+    cuts = Cuts.of([*(found[k * len(found) // parts] for k in range(1, parts) if found), *([tuple(first)] if first else [])])
     total = max(1, len(cuts.ids))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
