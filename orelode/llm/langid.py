@@ -209,7 +209,7 @@ def predict(text: Column, model: LanguageModel) -> Column:
         for texts in batches:
             lang, score, unsure = model.predict(texts)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["lang", "score", "ambiguous"])
-        release_memory()
+            release_memory()
 
     return decode(text)
 

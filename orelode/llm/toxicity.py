@@ -270,7 +270,7 @@ def score(text: Column, model: ToxicityModel) -> Column:
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(model.score(texts.cast(pa.large_string())))
-        release_memory()
+            release_memory()
 
     return rate(text)
 
