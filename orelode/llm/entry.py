@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, digest, embeddings, langid, mixing, ngramlm, simhash, toxicity, urlfilter, warc
+from orelode.llm import bpe, digest, embeddings, exactdedup, langid, mixing, ngramlm, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op12_exactdedup": exactdedup.op12_exactdedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "mixing_targets": mixing.TARGETS_ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_embeddings": embeddings.ORACLE,
+    "op12_exactdedup": exactdedup.ORACLE,
 }
