@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, digest, embeddings, exactdedup, langid, mixing, ngramlm, simhash, toxicity, urlfilter, warc
+from orelode.llm import bpe, convrepair, digest, embeddings, exactdedup, langid, mixing, ngramlm, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_embeddings": embeddings.op10_embeddings,
     "op12_exactdedup": exactdedup.op12_exactdedup,
+    "op13_convrepair": convrepair.op13_convrepair,
 }
 
 ORACLES: dict[str, str] = {
