@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orelode.llm import bpe, convrepair, digest, embeddings, exactdedup, langid, mixing, ngramlm, simhash, toxicity, urlfilter, warc
+from orelode.llm import bpe, convrepair, digest, embeddings, exactdedup, langid, mixing, ngramlm, simhash, timeparts, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_timeparts": timeparts.op11_timeparts,
     "op12_exactdedup": exactdedup.op12_exactdedup,
     "op13_convrepair": convrepair.op13_convrepair,
 }
