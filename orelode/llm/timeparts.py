@@ -226,17 +226,21 @@ class TimeParts:
     def paths(self) -> dict[tuple[str, int], str]:
         """The folder's data files by leaf and part."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return {}
-        listed, out = fs.listFiles(folder, True), {}
-        while listed.hasNext():
-            path = listed.next().getPath()
-            if path.getName().endswith(".parquet"):
-                part, leaf = path.getParent().getName(), path.getParent().getParent().getName()
-                out[leaf.split("=", 1)[1].replace(".", "/"), int(part.split("=")[1])] = path.toString()
+        out = {}
+        for path in self.spark.read.schema(self.table.schema).parquet(self.folder).inputFiles():
+            leaf, part = (x.split("=", 1)[1] for x in path.split("/")[-3:-1])
+            out[leaf.replace(".", "/"), int(part)] = path
         return out
 
+    def delete(self, paths: list[str]) -> None:
+        """Deletes files of the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for at in paths:
+            fs.delete(path(at), False)
+
     def recurring(self, before: Files, after: Files, many: DataFrame | None) -> set[tuple[str, int]]:
         """Leaf and part of the starting files whose rows are those of a final file."""
         was = dict(zip(before.of.names, before.of.counts))
@@ -272,9 +276,7 @@ class TimeParts:
         if stale:
             cold = cold.unionByName(self.timed(self.spark.read.schema(self.table.schema).parquet(*stale)))
         self.write(parted(cold, many, after, self.place), after, [k for k, name in enumerate(after.names()) if name not in stayed])
-        for path in stale:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, False)
+        self.delete(stale)
         return stayed, self.paths()
 
     def stored(self, *columns: Column) -> DataFrame:
