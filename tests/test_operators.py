@@ -14,7 +14,7 @@ from orelode.functions.numeric import amplify, truncate
 from orelode.functions.ordered import ranked
 from orelode.functions.pairs import pairs_within
 from orelode.functions.text import word_tokens
-from orelode.operators import aggregates, evaluate, graph, itemsets, lsh, recommend, similarity
+from orelode.operators import aggregates, evaluate, forest, graph, itemsets, lsh, recommend, similarity
 from orelode.operators.components import connected_components
 from orelode.sources import io
 
@@ -314,6 +314,39 @@ def _parts(nodes, edges):
     return label
 
 
+def merge_events(rows: pd.DataFrame, m: float) -> list[tuple[int, float]]:
+    """(rank, change of modularity by the split) of one component's edges, from joining them in reverse rank."""
+    group: dict[int, int] = {}
+    members: dict[int, list[int]] = {}
+    degree: dict[int, int] = defaultdict(int)
+    between: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    for s, d in zip(rows["src"], rows["dst"]):
+        for x, y in ((s, d), (d, s)):
+            group.setdefault(x, x)
+            members.setdefault(x, [x])
+            degree[x] += 1
+            between[x][y] += 1
+    events = []
+    for s, d, r in rows.sort_values("rank", ascending=False)[["src", "dst", "rank"]].itertuples(index=False):
+        a, b = group[s], group[d]
+        if a == b:
+            continue
+        if len(between[a]) + len(members[a]) < len(between[b]) + len(members[b]):
+            a, b = b, a
+        events.append((int(r), -(between[a][b] / m - 2 * degree[a] * degree[b] / (2 * m) ** 2)))
+        for x in members.pop(b):
+            group[x] = a
+            members[a].append(x)
+        degree[a] += degree.pop(b)
+        del between[a][b]
+        for c, n in between.pop(b).items():
+            if c != a:
+                between[a][c] += n
+                between[c][a] += n
+                del between[c][b]
+    return events
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_reverse_merging_equals_removal(seed):
     rng = random.Random(seed)
@@ -322,7 +355,7 @@ def test_reverse_merging_equals_removal(seed):
     nodes = sorted({x for e in edges for x in e})
     whole = _parts(nodes, edges)
     rows = pd.DataFrame([(a, b, order.index((a, b)) + 1, whole[a]) for a, b in edges], columns=["src", "dst", "rank", "component"])
-    events = sorted(e for _, g in rows.groupby("component") for e in graph.merge_events(g, float(len(edges))))
+    events = sorted(e for _, g in rows.groupby("component") for e in merge_events(g, float(len(edges))))
     q, at, merged = _q(edges, whole), whole, {}
     for r, change in events:
         q += change
@@ -335,6 +368,46 @@ def test_reverse_merging_equals_removal(seed):
     assert not merged
 
 
+def _ranked(edges, seed):
+    order = random.Random(seed).sample(edges, len(edges))
+    return [(a, b, order.index((a, b)) + 1) for a, b in edges]
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 4), (2, 16), (3, 1024)])
+def test_merge_tree_equals_merging_in_order(spark, seed, block):
+    """Sums by intervals of the forest's order are those of one pass over each component."""
+    rng = random.Random(seed)
+    edges = sorted({tuple(sorted(rng.sample(range(1, 30), 2))) for _ in range(60)} | {(100, 101), (101, 102), (1 << 60, (1 << 60) + 1)})
+    rows = _ranked(edges, seed)
+    whole = _parts({x for e in edges for x in e}, edges)
+    frame = pd.DataFrame([(*r, whole[r[0]]) for r in rows], columns=["src", "dst", "rank", "component"])
+    want = {r: q for _, g in frame.groupby("component") for r, q in merge_events(g, float(len(edges)))}
+    df = spark.createDataFrame(rows, "src bigint, dst bigint, rank bigint")
+    m = len(edges)
+    got = {r["rank"]: -(r["links"] / m - 2 * r["da"] * r["db"] / (2 * m) ** 2) for r in forest.merges(df, graph.node_degree(df).withColumnRenamed("degree", "d"), block).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[r], want[r], abs_tol=1e-12) for r in want)
+    assert {tuple(r) for r in forest.spanning_forest(df).collect()} == {r for r in rows if r[2] in want}
+
+
+@pytest.mark.parametrize("edges", [[(k, k + 1) for k in range(20)], [(0, k) for k in range(1, 21)]])
+def test_one_component_is_dealt_over_tasks(spark, edges):
+    """A path and a star, whose merge trees may be as deep as they have edges."""
+    rows = [(a, b, k + 1) for k, (a, b) in enumerate(edges)]
+    df = spark.createDataFrame(rows, "src bigint, dst bigint, rank bigint")
+    _, at = forest.intervals(df, graph.node_degree(df).withColumnRenamed("degree", "d"), 4)
+    merges = [r["n"] for r in at.where("kind = 0").groupBy("at").agg(F.count("*").alias("n")).collect()]
+    assert len(merges) >= 4 and max(merges) <= 4 and sum(merges) == 20
+    assert max(r["n"] for r in at.where("kind = 2").groupBy("at").agg(F.count("*").alias("n")).collect()) <= 8
+    labels, q = graph.girvan_newman(df.select("src", "dst"), df.select("src", "dst", F.col("rank").cast("double").alias("betweenness")), 4)
+    whole, best = graph.girvan_newman(df.select("src", "dst"), df.select("src", "dst", F.col("rank").cast("double").alias("betweenness")))
+    assert q.collect() == best.collect() and sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_no_edges_no_forest(spark):
+    df = spark.createDataFrame([], "src bigint, dst bigint, rank bigint")
+    assert forest.spanning_forest(df).count() == 0 and forest.merges(df, spark.createDataFrame([], "node bigint, d bigint")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(7, 7), (1000, 1001), (1001, 1002), (1002, 1003), (1003, 1004)]
