@@ -1,30 +1,83 @@
-"""Pairs of rows that share a key, with keys of any number of rows."""
+"""Pairs of rows that share a key, with keys of any number of rows.
+
+Rows are checkpointed once, narrow, and both sides of a join read them there. A
+key of more than ``block`` rows is cut in blocks by a hash of the id, and every
+two blocks meet under a key of their own, so no task gets a whole hot key, and
+each pair is made once. Rows with a null key or id have no pairs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orelode.operators.components import ensure_checkpoint_dir
+
 #: Rows of a key that are joined with each other in one task.
 BLOCK = 2048
 
 
+def _narrow(rows: DataFrame, key: str, id_: str, values: Sequence[str]) -> DataFrame:
+    """(__k, __i, __0, __1, ...) of the rows that have a key and an id."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    named = rows.select(F.col(key).alias("__k"), F.col(id_).alias("__i"), *[F.col(v).alias(f"__{n}") for n, v in enumerate(values)])
+    return named.where("__k is not null and __i is not null").checkpoint()
+
+
+def _hot(rows: DataFrame, block: int) -> DataFrame:
+    """(__k, __blocks) of keys with more than ``block`` rows."""
+    return rows.groupBy("__k").agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks")).where("__blocks > 1")
+
+
+def _side(rows: DataFrame, name: str, *also: Column) -> DataFrame:
+    values = [c for c in rows.columns if c[2:].isdigit()]
+    return rows.select("__k", *also, F.col("__i").alias(f"__{name}"), *[F.col(v).alias(f"__{name}{v}") for v in values])
+
+
 def pairs_within(rows: DataFrame, key: str, id_: str, values: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
-    """(key, id1, id2, {value}1, {value}2) for every two rows of one key with id1 < id2.
-
-    A key of more than ``block`` rows is cut in blocks by a hash of the id, and
-    every two blocks meet under a key of their own: no task gets a whole hot key,
-    and each pair is made once. Rows with a null key or id have no pairs.
-    """
-    many = F.ceil(F.col("__n") / block).cast("int")
-    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > block).select("__hot", many.alias("__blocks"))
-    dealt = rows.join(hot, rows[key] == hot["__hot"], "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
-    dealt = dealt.withColumn("__own", F.when(F.col("__blocks") > 1, F.pmod(F.xxhash64(id_), F.col("__blocks"))).otherwise(0).cast("int"))
-    low = dealt.select(F.col(key), F.col("__own").alias("__low"), F.explode(F.sequence(F.col("__own"), F.col("__blocks") - 1)).alias("__high"), F.col(id_).alias("__a"), *[F.col(v).alias(f"__a_{v}") for v in values])
-    high = dealt.select(F.col(key), F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("__low"), F.col("__own").alias("__high"), F.col(id_).alias("__b"), *[F.col(v).alias(f"__b_{v}") for v in values])
-    met = low.join(high, [key, "__low", "__high"]).where("__a < __b or (__low < __high and __a > __b)")
+    """(key, id1, id2, {value}1, {value}2) for every two rows of one key with id1 < id2."""
+    narrow = _narrow(rows, key, id_, values)
+    hot = _hot(narrow, block).checkpoint()
+    if hot.isEmpty():
+        met = _side(narrow, "a").join(_side(narrow, "b"), "__k").where("__a < __b")
+        return met.select(F.col("__k").alias(key), F.col("__a").alias("id1"), F.col("__b").alias("id2"), *[F.col(f"__{s}__{n}").alias(f"{v}{k}") for n, v in enumerate(values) for k, s in ((1, "a"), (2, "b"))])
+    dealt = narrow.join(hot, "__k", "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    dealt = dealt.withColumn("__own", F.when(F.col("__blocks") > 1, F.pmod(F.xxhash64("__i"), F.col("__blocks"))).otherwise(0).cast("int")).checkpoint()
+    low = _side(dealt, "a", F.col("__own").alias("__low"), F.explode(F.sequence(F.col("__own"), F.col("__blocks") - 1)).alias("__high"))
+    high = _side(dealt, "b", F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("__low"), F.col("__own").alias("__high"))
+    met = low.join(high, ["__k", "__low", "__high"]).where("__a < __b or (__low < __high and __a > __b)")
     straight = F.col("__a") < F.col("__b")
-    both = [F.when(straight, F.col(f"__{x}_{v}")).otherwise(F.col(f"__{y}_{v}")).alias(f"{v}{k}") for v in values for k, x, y in ((1, "a", "b"), (2, "b", "a"))]
-    return met.select(key, F.least("__a", "__b").alias("id1"), F.greatest("__a", "__b").alias("id2"), *both)
+    both = [F.when(straight, F.col(f"__{x}__{n}")).otherwise(F.col(f"__{y}__{n}")).alias(f"{v}{k}") for n, v in enumerate(values) for k, x, y in ((1, "a", "b"), (2, "b", "a"))]
+    return met.select(F.col("__k").alias(key), F.least("__a", "__b").alias("id1"), F.greatest("__a", "__b").alias("id2"), *both)
+
+
+def pairs_between(left: DataFrame, right: DataFrame, key: str, id_: str, values: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """(key, id1, id2, {value}1, {value}2) for every row on the left and every one on the right with its key; ids of the two are apart."""
+    a, b = _narrow(left, key, id_, values), _narrow(right, key, id_, values)
+    hot = _hot(a, block).toDF("__k", "__left").join(_hot(b, block).toDF("__k", "__right"), "__k", "full").checkpoint()
+    if hot.isEmpty():
+        met = _side(a, "a").join(_side(b, "b"), "__k")
+    else:
+        def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+            of = rows.join(hot, "__k", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("__left", "__right")})
+            return of.withColumns({"__own": F.pmod(F.xxhash64("__i"), F.col(own)).cast("int"), "__other": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+
+        one, two = dealt(a, "__left", "__right"), dealt(b, "__right", "__left")
+        met = _side(one, "a", F.col("__own").alias("__low"), F.col("__other").alias("__high")).join(_side(two, "b", F.col("__other").alias("__low"), F.col("__own").alias("__high")), ["__k", "__low", "__high"])
+    straight = F.col("__a") < F.col("__b")
+    both = [F.when(straight, F.col(f"__{x}__{n}")).otherwise(F.col(f"__{y}__{n}")).alias(f"{v}{k}") for n, v in enumerate(values) for k, x, y in ((1, "a", "b"), (2, "b", "a"))]
+    return met.select(F.col("__k").alias(key), F.least("__a", "__b").alias("id1"), F.greatest("__a", "__b").alias("id2"), *both)
+
+
+def pairs_with(rows: DataFrame, asked: DataFrame | None, key: str, id_: str, values: Sequence[str] = ()) -> DataFrame:
+    """As ``pairs_within``, for the pairs with at least one of the ids of ``asked`` (id): no other is made."""
+    if asked is None:
+        return pairs_within(rows, key, id_, values)
+    ensure_checkpoint_dir(rows.sparkSession)
+    wanted = asked.select(F.col(asked.columns[0]).alias("__asked")).distinct().withColumn("__is", F.lit(True))
+    marked = rows.select(key, id_, *values).join(wanted, F.col(id_) == F.col("__asked"), "left").withColumn("__is", F.coalesce("__is", F.lit(False))).drop("__asked").checkpoint()
+    these, others = marked.where("__is").drop("__is"), marked.where("not __is").drop("__is")
+    pairs = pairs_within(these, key, id_, values)
+    return pairs if others.isEmpty() else pairs.unionByName(pairs_between(these, others, key, id_, values))

@@ -40,11 +40,11 @@ def predict_user_cf(train: DataFrame, test: DataFrame, k: int = 250, case_amplif
     users = train.select("user_id").distinct().count()
     if genres is not None and min(k, users - 1) <= 0:
         return predict_content(train, test, genres)
-    pairs = pearson(train, "user_id", "item_id")
+    pairs = pearson(train, "user_id", "item_id", asked=asked)
     if significance_weights:
         ensure_checkpoint_dir(train.sparkSession)
         pairs = pairs.checkpoint()
-    near = nearest(pairs, k, users)
+    near = nearest(pairs, k, users, asked=asked)
     if significance_weights:
         shared = directed(pairs.select("id1", "id2", "n"))
         near = near.join(shared, ["id", "other"]).withColumn("sim", F.col("sim") * significance(F.col("n"))).drop("n")
@@ -70,7 +70,8 @@ def _weighted(train: DataFrame, asked: DataFrame, weights: DataFrame) -> DataFra
 
 def predict_item_cf(train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
     """Weighted by Pearson similarity among the k items nearest to the asked one."""
-    near = nearest(pearson(train, "item_id", "user_id"), k, train.select("item_id").distinct().count())
+    items = test.select("item_id")
+    near = nearest(pearson(train, "item_id", "user_id", asked=items), k, train.select("item_id").distinct().count(), asked=items)
     return _weighted(train, test.select("user_id", "item_id"), near.withColumnRenamed("sim", "w"))
 
 
@@ -82,17 +83,19 @@ def predict_item_jaccard(train: DataFrame, test: DataFrame, pairs: DataFrame) ->
 def predict_content(train: DataFrame, test: DataFrame, genres: DataFrame) -> DataFrame:
     """Weighted by the cosine of the items' genres.
 
-    The asked item's genres are joined with those of the items that the user
-    rated, so only pairs that are needed are compared.
+    A weight is a sum over common genres, and the asked item's own length cancels:
+    so sums of rating / length and 1 / length by user and genre, less what the
+    asked item adds itself, give the weighted mean. They are combined where they
+    are read, and no asked item meets a rated one.
     """
     rows = genres.select("item_id", "genre").distinct()
-    sized = rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+    sized = rows.join(rows.groupBy("item_id").agg((1 / F.sqrt(F.count("*"))).alias("w")), "item_id")
     asked = test.select("user_id", "item_id")
-    mine = asked.join(sized, "item_id").withColumnRenamed("n", "n1")
-    rated = train.join(sized, "item_id").select("user_id", "genre", F.col("item_id").alias("other"), "rating", F.col("n").alias("n2"))
-    shared = mine.join(rated, ["user_id", "genre"]).where("other <> item_id").groupBy("user_id", "item_id", "other", "rating", "n1", "n2").agg(F.count("*").alias("c"))
-    weighed = shared.withColumn("w", F.col("c") / F.sqrt(F.col("n1") * F.col("n2")))
-    votes = weighed.groupBy("user_id", "item_id").agg((F.sum(F.col("rating") * F.col("w")) / F.sum("w")).alias("p"))
+    liked = train.join(sized, "item_id").groupBy("user_id", "genre").agg(F.sum(F.col("rating") * F.col("w")).alias("top"), F.sum("w").alias("all"), F.count("*").alias("n"))
+    own = train.groupBy("user_id", "item_id").agg(F.sum("rating").alias("own"), F.count("*").alias("times"))
+    mine = asked.distinct().join(sized, "item_id").join(own, ["user_id", "item_id"], "left").withColumns({"own": F.coalesce("own", F.lit(0.0)), "times": F.coalesce("times", F.lit(0))})
+    less = {"top": F.col("top") - F.col("own") * F.col("w"), "all": F.col("all") - F.col("times") * F.col("w"), "n": F.col("n") - F.col("times")}
+    votes = mine.join(liked, ["user_id", "genre"]).withColumns(less).where("n > 0").groupBy("user_id", "item_id").agg((F.sum("top") / F.sum("all")).alias("p"))
     joined = asked.join(user_mean(train), "user_id").join(votes, ["user_id", "item_id"], "left")
     return joined.select("user_id", "item_id", F.coalesce("p", "mean").alias("prediction"))
 

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from orelode.functions.numeric import ratio
 from orelode.functions.ordered import ranked
-from orelode.functions.pairs import pairs_within
+from orelode.functions.pairs import pairs_with, pairs_within
 from orelode.operators.components import ensure_checkpoint_dir
 
 
-def pearson(ratings: DataFrame, side: str, shared: str, value: str = "rating") -> DataFrame:
+def pearson(ratings: DataFrame, side: str, shared: str, value: str = "rating", asked: DataFrame | None = None) -> DataFrame:
     """(id1, id2, n, sim) for id1 < id2 with anything in common; means over the common part, 0 without variance.
 
     All sums merge, so pairs are combined where they are made, and a hot key's
-    are made in many tasks.
+    are made in many tasks. With ``asked`` (id), only pairs with one of these ids
+    are made.
     """
     rows = ratings.select(F.col(side).alias("id"), F.col(shared).alias("k"), F.col(value).alias("v"))
-    pairs = pairs_within(rows, "k", "id", ["v"]).select("id1", "id2", F.col("v1").alias("x"), F.col("v2").alias("y")).groupBy("id1", "id2")
+    pairs = pairs_with(rows, asked, "k", "id", ["v"]).select("id1", "id2", F.col("v1").alias("x"), F.col("v2").alias("y")).groupBy("id1", "id2")
     spread = F.stddev_pop("x") * F.stddev_pop("y")
     flat = (F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))
     return pairs.agg(F.count("*").alias("n"), F.when(flat, 0.0).otherwise(ratio(F.covar_pop("x", "y"), spread)).alias("sim"))
@@ -30,18 +31,23 @@ def directed(pairs: DataFrame, a: str = "id1", b: str = "id2") -> DataFrame:
     return pairs.select(F.col(a).alias("id"), F.col(b).alias("other"), *rest).unionByName(pairs.select(F.col(b).alias("id"), F.col(a).alias("other"), *rest))
 
 
-def nearest(pairs: DataFrame, k: int, universe: int, digits: int = 6) -> DataFrame:
-    """(id, other, sim): the k most similar others of each id, ties by id.
+def nearest(pairs: DataFrame, k: int, universe: int, digits: int = 6, asked: DataFrame | None = None) -> DataFrame:
+    """(id, other, sim): the k most similar others of each id, or of those of ``asked`` (id), ties by id.
 
     Others that share nothing have similarity 0 and take places before negative
-    ones without being listed: a negative one's place is its rank among the listed
-    and as many more as aren't.
+    ones without being listed. Positive ones are cut to k before they are dealt by
+    id; negative ones are fetched only for ids with fewer than k others that are
+    positive, zero or not listed.
     """
-    both = directed(pairs.select("id1", "id2", "sim")).withColumn("r", F.round("sim", digits))
+    ensure_checkpoint_dir(pairs.sparkSession)
+    both = directed(pairs.select("id1", "id2", "sim").checkpoint()).withColumn("r", F.round("sim", digits))
+    if asked is not None:
+        both = both.join(asked.select(F.col(asked.columns[0]).alias("id")).distinct(), "id", "left_semi")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("r").desc(), "other"))
-    listed = F.count("*").over(Window.partitionBy("id"))
-    place = rank + F.when(F.col("r") < 0, F.lit(universe - 1) - listed).otherwise(0)
-    return both.withColumn("place", place).where((F.col("place") <= k) & (F.col("r") != 0)).select("id", "other", "sim")
+    first = both.where("r > 0").withColumn("rank", rank).where(F.col("rank") <= k)
+    left = both.groupBy("id").agg((F.count_if(F.col("r") < 0) - (universe - 1) + k).alias("left")).where("left > 0")
+    last = both.where("r < 0").join(left, "id").withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("rank") <= F.col("left")))
+    return first.select("id", "other", "sim").unionByName(last.select("id", "other", "sim"))
 
 
 def rarity_sets(rows: DataFrame) -> DataFrame:

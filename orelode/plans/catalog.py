@@ -34,7 +34,9 @@ def _six(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return recommend.split(views.ratings(spark, d), views.test_keys(spark, d))
+    ensure_checkpoint_dir(spark)
+    ratings = views.ratings(spark, d).checkpoint()  # read once, whatever is asked of it
+    return recommend.split(ratings, ratings.where(views.is_test()))
 
 
 def _scratch(spark: SparkSession) -> str:

@@ -269,6 +269,29 @@ def test_betweenness(spark, edges, want, textbook):
     assert {k: round(v, 4) for k, v in as_map(graph.edge_betweenness(df, textbook=True), "src", "dst", "betweenness").items()} == textbook
 
 
+@pytest.mark.parametrize("textbook", [False, True])
+def test_betweenness_in_batches(spark, textbook):
+    """More than 64 roots: words of bits and batches of roots give what all roots at once give, and levels are those of a search from each."""
+    rng = random.Random(4)
+    edges = sorted({tuple(sorted(rng.sample(range(70), 2))) for _ in range(110)} | {(500, 501)})
+    df = spark.createDataFrame(edges, EDGE)
+    whole, batched = (as_map(graph.edge_betweenness(df, textbook, tree_rows=n), "src", "dst", "betweenness") for n in (1 << 24, 1))
+    assert whole.keys() == batched.keys() == set(edges) and all(math.isclose(whole[e], batched[e], rel_tol=1e-9) for e in whole)
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for root in near:
+        level, front = {root: 0}, [root]
+        while front:
+            front = [y for x in front for y in near[x] if y not in level and level.setdefault(y, level[x] + 1)]
+        want |= {(root, n): d for n, d in level.items()}
+    assert as_map(graph.bfs_levels(df), "root", "node", "level") == want
+    if textbook:  # paths from each node to each other pass over as many edges as they are long
+        assert math.isclose(sum(whole.values()), sum(want.values()) / 2, rel_tol=1e-9)
+
+
 def test_girvan_newman_and_louvain(spark):
     df = spark.createDataFrame(NINE, EDGE)
     labels, q = graph.girvan_newman(df)
@@ -284,17 +307,103 @@ def test_girvan_newman_and_louvain(spark):
     assert [r["members"] for r in graph.community_members(labels).orderBy("label").collect()] == [[1, 2, 3], [4, 5, 6, 7]]
 
 
-def test_louvain_over_all_tasks(spark):
-    """Moves made at once reach what moves one by one reach: planted groups, and no single move raises the modularity."""
+def louvain_moves(edges: list[tuple[int, int, float]], total: float) -> dict[int, int]:
+    """Community of each node by local moves and aggregation, nodes in order; ``total`` is the whole graph's weight, an edge from a node to itself what it holds inside."""
+    label = {x: x for e in edges for x in e[:2]}
+    near: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    loops: dict[int, float] = defaultdict(float)
+    for a, b, w in edges:
+        if a == b:
+            loops[a] += w
+        else:
+            near[a][b] += w
+            near[b][a] += w
+    while True:
+        nodes = sorted(set(label.values()))
+        own = {x: x for x in nodes}
+        weight = {x: sum(near[x].values()) + 2 * loops[x] for x in nodes}
+        inside = dict(weight)
+        moved, changed = False, True
+        while changed:  # every move raises the modularity
+            changed = False
+            for x in nodes:
+                links: dict[int, float] = defaultdict(float)
+                for y, w in near[x].items():
+                    links[own[y]] += w
+                old = own[x]
+                inside[old] -= weight[x]
+                best, gain = old, links[old] - inside[old] * weight[x] / (2 * total)
+                for c in sorted(links):
+                    g = links[c] - inside[c] * weight[x] / (2 * total)
+                    if g > gain + 1e-12:
+                        best, gain = c, g
+                inside[best] += weight[x]
+                if best != old:
+                    own[x], changed, moved = best, True, True
+        if not moved:
+            return label
+        least: dict[int, int] = {}
+        for x in nodes:
+            least.setdefault(own[x], x)
+        own = {x: least[c] for x, c in own.items()}
+        label = {n: own[c] for n, c in label.items()}
+        merged: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        kept: dict[int, float] = defaultdict(float)
+        for x in nodes:
+            kept[own[x]] += loops[x]
+            for y, w in near[x].items():
+                if own[x] == own[y]:
+                    kept[own[x]] += w / 2
+                else:
+                    merged[own[x]][own[y]] += w
+        near, loops = merged, kept
+
+
+def _five_graphs():
+    """Planted groups, a ring of cliques, a grid, a hub, and random edges, apart from each other."""
     rng = random.Random(5)
-    edges = sorted({(a, b) for a in range(24) for b in range(a + 1, 24) if rng.random() < (0.8 if a // 8 == b // 8 else 0.05)} | {(100, 101), (101, 102)})
-    df = spark.createDataFrame(edges, EDGE).coalesce(1)
-    label = {r["node"]: r["label"] for r in graph.louvain(df, 3).collect()}
-    assert set(label) == {n for e in edges for n in e} and all(label[c] == c == min(n for n in label if label[n] == c) for c in label.values())
-    assert _q(edges, label) >= _q(edges, {n: n // 8 for e in edges for n in e}) - 0.02 and label[100] == label[102] == 100
-    level = {r["node"]: r["c"] for r in graph.moved_level(df.withColumn("w", F.lit(1.0)), float(len(edges))).collect()}
-    q = _q(edges, level)
-    assert all(_q(edges, level | {n: c}) <= q + 1e-9 for n in level for c in set(level.values()))
+    yield sorted({(a, b) for a in range(24) for b in range(a + 1, 24) if rng.random() < (0.8 if a // 8 == b // 8 else 0.05)})
+    yield [(4 * c + i, 4 * c + j) for c in range(6) for i in range(4) for j in range(i + 1, 4)] + [tuple(sorted((4 * c, 4 * ((c + 1) % 6) + 1))) for c in range(6)]
+    yield [(4 * r + c, 4 * r + c + 1) for r in range(4) for c in range(3)] + [(4 * r + c, 4 * r + c + 4) for r in range(3) for c in range(4)]
+    yield [(0, k) for k in range(1, 20)] + [(k, k + 1) for k in range(1, 19, 3)]
+    yield sorted({tuple(sorted(rng.sample(range(16), 2))) for _ in range(40)})
+
+
+def test_louvain_is_no_worse_than_one_move_after_the_other(spark):
+    """Five graphs in one run: each one's share of the modularity is no less than by sequential moves, and no community is in parts."""
+    fixtures = [[(1000 * k + a, 1000 * k + b) for a, b in edges] for k, edges in enumerate(_five_graphs())]
+    edges = [e for f in fixtures for e in f]
+    label = {r["node"]: r["label"] for r in graph.louvain(spark.createDataFrame(edges, EDGE)).collect()}
+    assert set(label) == {n for e in edges for n in e} and all(label[c] == c == min(n for n in label if label[n] == c) for c in set(label.values()))
+    one_by_one = louvain_moves([(a, b, 1.0) for a, b in edges], float(len(edges)))
+    assert _q(edges, label) >= _q(edges, one_by_one) - 1e-9
+    inside = [(a, b) for a, b in edges if label[a] == label[b]]
+    parts = _parts(list(label), inside)
+    for _ in range(20):
+        parts = {n: parts[parts[n]] for n in parts}
+    assert parts == label
+
+
+def test_louvain_is_the_same_for_any_partitions(spark):
+    """The least communities of a graph, and moves that leave no better single move, whatever the number of tasks."""
+    edges = next(_five_graphs())
+    df = spark.createDataFrame(edges, EDGE).withColumn("w", F.lit(1.0))
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for parts, tasks in ((1, 2), (7, 9)):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        labels, q = graph.moved_level(df.repartition(parts), float(len(edges)))
+        found.append({r["node"]: r["c"] for r in labels.collect()})
+        assert math.isclose(q, _q(edges, found[-1]), abs_tol=1e-12)
+    spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+    assert found[0] == found[1]
+    assert all(_q(edges, found[0] | {n: c}) <= q + 1e-9 for n in found[0] for c in set(found[0].values()))
+
+
+def test_disconnected_communities_are_split(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6)], EDGE)
+    labels = spark.createDataFrame([(1, 1), (2, 9), (3, 1), (4, 1), (5, 1), (6, 1)], "node bigint, c bigint")
+    assert as_map(graph.connected_groups(df, labels), "node", "c") == {(1,): 1, (2,): 2, (3,): 3, (4,): 3, (5,): 5, (6,): 5}
 
 
 def _q(edges, label):
