@@ -1,10 +1,20 @@
-"""Frequent itemsets and association rules."""
+"""Frequent itemsets and association rules, by FP-growth or in two passes over shares of the baskets."""
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelode.operators.components import ensure_checkpoint_dir
+
+#: Baskets of a share, and the least count that an itemset has to reach in one, so that chance gives few candidates.
+SHARE = 20_000
+LEAST = 50
+
 
 def _fit(baskets: DataFrame, support: float, confidence: float = 0.1):
     from pyspark.ml.fpm import FPGrowth
@@ -19,6 +29,61 @@ def frequent_itemsets(baskets: DataFrame, support: float, longest: int | None =
     return sets.where(F.size("items") <= longest) if longest else sets
 
 
+def local_itemsets(baskets: list[list], least: int, longest: int | None = None) -> list[tuple]:
+    """Itemsets in order that at least ``least`` of the baskets have, level by level: two that differ in their last item make a longer one."""
+    having: dict = defaultdict(int)
+    for at, items in enumerate(baskets):
+        for item in set(items):
+            having[item] |= 1 << at
+    level = {(i,): b for i, b in sorted(having.items()) if b.bit_count() >= least}
+    found = list(level)
+    while level and (longest is None or len(found[-1]) < longest):
+        heads: dict = defaultdict(list)
+        for items in level:
+            heads[items[:-1]].append(items)
+        longer = {}
+        for same in heads.values():
+            for k, a in enumerate(same):
+                for b in same[k + 1 :]:
+                    both = level[a] & level[b]
+                    if both.bit_count() >= least and all((*a[:j], *a[j + 1 :], b[-1]) in level for j in range(len(a) - 1)):
+                        longer[(*a, b[-1])] = both
+        level = longer
+        found += level
+    return found
+
+
+def frequent_itemsets_by_share(baskets: DataFrame, support: float, longest: int | None = None, share: int = SHARE) -> DataFrame:
+    """(items, freq) of (basket, item), as ``frequent_itemsets``, in two passes without a tree of all baskets.
+
+    Baskets are dealt over shares of about equal size. An itemset that is frequent
+    among all is so in at least one share, so what Apriori finds in the shares, each
+    at its part of the support, has all that are frequent. The second pass counts
+    these candidates exactly: a candidate meets the baskets that have its rarest
+    item, and counts where it has all others.
+    """
+    ensure_checkpoint_dir(baskets.sparkSession)
+    rows = baskets.select("basket", "item").where("item is not null").distinct().checkpoint()
+    grouped = rows.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).checkpoint()
+    n = baskets.select("basket").distinct().count()
+    least = max(1, math.ceil(support * n - 1e-9))
+    shares = max(1, n // max(share, math.ceil(LEAST / support)))
+    kind = rows.schema["item"].dataType.simpleString()
+
+    def candidates(part: pd.DataFrame) -> pd.DataFrame:
+        own = max(1, math.ceil(support * len(part) - 1e-9))
+        return pd.DataFrame({"items": [list(i) for i in local_itemsets(part["items"].tolist(), own, longest)]})
+
+    dealt = grouped.withColumn("share", F.pmod(F.xxhash64("basket"), F.lit(shares)))
+    found = dealt.groupBy("share").applyInPandas(candidates, f"items array<{kind}>").distinct().withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    often = rows.groupBy("item").agg(F.count("*").alias("often"))
+    rarest = found.select("id", F.explode("items").alias("item")).join(often, "item").groupBy("id").agg(F.min_by("item", F.struct("often", "item")).alias("item"))
+    asked = found.join(rarest, "id")
+    met = asked.join(rows, "item").join(grouped.withColumnRenamed("items", "all"), "basket").where(F.size(F.array_except("items", "all")) == 0)
+    counts = met.groupBy("id").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+    return found.join(counts, "id").select("items", "freq")
+
+
 def association_rules(baskets: DataFrame, support: float, confidence: float) -> DataFrame:
     """(antecedent, consequent, confidence, lift, support)."""
     rules = _fit(baskets, support, confidence).associationRules

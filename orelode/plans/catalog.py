@@ -428,16 +428,22 @@ def truncated(spark, d):
 # itemsets
 
 
-@query(
-    "freq_itemsets",
-    f"""with {o.ITEMSETS}, least_ as (select 0.005 * n as k from n)
-    select a as items, freq from s1, least_ where freq >= k union all select a || ',' || b, freq from s2, least_ where freq >= k union all select a || ',' || b || ',' || c, freq from s3, least_ where freq >= k""",
-)
+FREQUENT = f"""with {o.ITEMSETS}, least_ as (select 0.005 * n as k from n)
+    select a as items, freq from s1, least_ where freq >= k union all select a || ',' || b, freq from s2, least_ where freq >= k union all select a || ',' || b || ',' || c, freq from s3, least_ where freq >= k"""
+
+
+@query("freq_itemsets", FREQUENT)
 def freq_itemsets(spark, d):
     sets = itemsets.frequent_itemsets(views.order_brands(spark, d), 0.005)
     return sets.select(F.concat_ws(",", "items").alias("items"), "freq")
 
 
+@query("freq_itemsets_by_share", FREQUENT)
+def freq_itemsets_by_share(spark, d):
+    sets = itemsets.frequent_itemsets_by_share(views.order_brands(spark, d), 0.005)
+    return sets.select(F.concat_ws(",", "items").alias("items"), "freq")
+
+
 @query(
     "assoc_rules",
     f"""with {o.ITEMSETS}, r as (select a, b, freq from s2 union all select b, a, freq from s2)
