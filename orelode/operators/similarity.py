@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.numeric import ratio
@@ -50,20 +50,31 @@ def nearest(pairs: DataFrame, k: int, universe: int, digits: int = 6, asked: Dat
     return first.select("id", "other", "sim").unionByName(last.select("id", "other", "sim"))
 
 
+#: Words of 64 bits in the parity bitmap of a set.
+WORDS = 32
+
+
 def rarity_sets(rows: DataFrame) -> DataFrame:
-    """(id, s) of distinct (id, t): each set's items as numbers in ascending order, rare items first."""
+    """(id, s, bits) of distinct (id, t): each set's items as numbers in ascending order, rare items first, and their parities by number modulo the bitmap's length."""
     ensure_checkpoint_dir(rows.sparkSession)
     often = rows.groupBy("t").agg(F.count("*").alias("df"))
     numbers = ranked(often, [F.col("df"), F.col("t")], "x").select("t", F.col("x").alias("x"))
-    return rows.join(numbers, "t").groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("s"))
+    flag = F.expr("shiftleft(1L, cast(x % 64 as int))")
+    bits = F.array(*[F.coalesce(F.bit_xor(F.when(F.floor(F.col("x") / 64) % WORDS == w, flag)), F.lit(0).cast("bigint")) for w in range(WORDS)])
+    return rows.join(numbers, "t").groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("s"), bits.alias("bits"))
+
+
+def unlike_items(a: str, b: str) -> Column:
+    """At most the number of items that one of two sets has and the other doesn't: bits in which their bitmaps differ."""
+    return sum((F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(1, WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
 def equal_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((rep, s), (rep, id)): one row for each different set, named by its least id, and which ids have it."""
-    named = sets.select("id", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256).alias("name"), "s")
-    of = named.groupBy("name").agg(F.min("id").alias("rep"), F.min_by("s", "id").alias("s")).checkpoint()
+    """((rep, s, bits), (rep, id)): one row for each different set, named by its least id, and which ids have it."""
+    named = sets.select("id", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256).alias("name"), F.struct("s", "bits").alias("set"))
+    of = named.groupBy("name").agg(F.min("id").alias("rep"), F.min_by("set", "id").alias("set")).checkpoint()
     members = named.select("id", "name").join(of.select("name", "rep"), "name").select("rep", "id").checkpoint()
-    return of.select("rep", "s"), members
+    return of.select("rep", "set.s", "set.bits"), members
 
 
 def among_members(pairs: DataFrame, members: DataFrame, one: str) -> DataFrame:
@@ -89,7 +100,9 @@ def jaccard_classes_exact(sets: DataFrame, least: float = 0.5, key: str = "id",
     items are joined, as numbers, and equal sets as one. What two prefixes share
     is counted: every other common item lies behind the prefix whose last item
     comes first, so the count and what lies there must reach the overlap that the
-    threshold needs. Only pairs that pass are compared in full. The result is exact.
+    threshold needs. Of pairs that pass, short bitmaps are fetched: what differs in
+    these differs in the sets, which bounds the overlap from above. Only what is
+    left after that is compared in full. The result is exact.
     """
     ensure_checkpoint_dir(sets.sparkSession)
     rows = sets.select(F.col(key).alias("id"), F.col(item).alias("t")).distinct().checkpoint()
@@ -102,10 +115,12 @@ def jaccard_classes_exact(sets: DataFrame, least: float = 0.5, key: str = "id",
     near = met.where((F.col("a.n") >= F.lit(least) * F.col("b.n")) & (F.col("b.n") >= F.lit(least) * F.col("a.n")))
     behind = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.behind")).otherwise(F.col("b.behind"))
     need = F.ceil(F.round(F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")), 6))
-    counted = near.groupBy("id1", "id2").agg(F.count("*").alias("c"), F.first(need - behind).alias("most"))
-    candidates = counted.where("c >= most").select("id1", "id2")
+    total = F.col("a.n") + F.col("b.n")
+    counted = near.groupBy("id1", "id2").agg(F.count("*").alias("c"), F.first(need - behind).alias("most"), F.first(total - 2 * need).alias("apart")).where("c >= most")
+    maps = unlike.select("rep", "bits")
+    likely = counted.join(maps.toDF("id1", "bits1"), "id1").join(maps.toDF("id2", "bits2"), "id2").where(unlike_items("bits1", "bits2") <= F.col("apart")).select("id1", "id2")
     first, second = (unlike.select(F.col("rep").alias(f"id{k}"), F.col("s").alias(f"s{k}")) for k in (1, 2))
-    joined = candidates.join(first, "id1").join(second, "id2")
+    joined = likely.join(first, "id1").join(second, "id2")
     return _jaccard(joined, least), members
 
 
