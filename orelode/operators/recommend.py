@@ -100,21 +100,28 @@ def predict_content(train: DataFrame, test: DataFrame, genres: DataFrame) -> Dat
     return joined.select("user_id", "item_id", F.coalesce("p", "mean").alias("prediction"))
 
 
-def predict_als(train: DataFrame, test: DataFrame, rank: int = 5, rounds: int = 10, penalty: float = 0.1, seed: int = 42) -> DataFrame:
-    """Alternating least squares; ids that weren't seen in training give no row.
+def _placed_ids(train: DataFrame) -> dict[str, DataFrame]:
+    """Ranks of the ids, which may be any 64-bit numbers."""
+    return {c: ranked(train.select(c).distinct(), [F.col(c)], "at").select(c, F.col("at").cast("int").alias(f"{c}_at")) for c in ("user_id", "item_id")}
 
-    Ids may be any 64-bit numbers: factorisation works on their ranks.
-    """
-    from pyspark.ml.recommendation import ALS
 
-    ids = {c: ranked(train.select(c).distinct(), [F.col(c)], "at").select(c, F.col("at").cast("int").alias(f"{c}_at")) for c in ("user_id", "item_id")}
+def _at_ranks(df: DataFrame, ids: dict[str, DataFrame]) -> DataFrame:
+    return df.join(ids["user_id"], "user_id").join(ids["item_id"], "item_id")
+
 
-    def placed(df: DataFrame) -> DataFrame:
-        return df.join(ids["user_id"], "user_id").join(ids["item_id"], "item_id")
+def fit_als(train: DataFrame, rank: int = 5, rounds: int = 10, penalty: float = 0.1, seed: int = 42):
+    """(model, ids): alternating least squares over the ranks of the ids, and the ranks."""
+    from pyspark.ml.recommendation import ALS
 
+    ids = _placed_ids(train)
     als = ALS(rank=rank, maxIter=rounds, regParam=penalty, seed=seed, userCol="user_id_at", itemCol="item_id_at", ratingCol="rating", coldStartStrategy="drop")
-    model = als.fit(placed(train.select("user_id", "item_id", F.col("rating").cast("float").alias("rating"))))
-    out = model.transform(placed(test.select("user_id", "item_id")))
+    return als.fit(_at_ranks(train.select("user_id", "item_id", F.col("rating").cast("float").alias("rating")), ids)), ids
+
+
+def predict_als(train: DataFrame, test: DataFrame, rank: int = 5, rounds: int = 10, penalty: float = 0.1, seed: int = 42) -> DataFrame:
+    """Alternating least squares; ids that weren't seen in training give no row."""
+    model, ids = fit_als(train, rank, rounds, penalty, seed)
+    out = model.transform(_at_ranks(test.select("user_id", "item_id"), ids))
     return out.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("item_id").cast("bigint").alias("item_id"), F.col("prediction").cast("double").alias("prediction"))
 
 

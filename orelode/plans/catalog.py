@@ -43,6 +43,14 @@ def _scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
+def _then_deleted(read: DataFrame, path: str) -> DataFrame:
+    """What was read from a scratch folder, which goes."""
+    rows, spark = read.checkpoint(), read.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return rows
+
+
 # keyed aggregation
 
 
@@ -134,7 +142,7 @@ def naive_csv(spark, d):
 def csv_roundtrip(spark, d):
     path = _scratch(spark)
     io.write_csv(views.ratings(spark, d).select("user_id", "item_id", "rating"), path)
-    return io.read_csv(spark, path, "user_id bigint, item_id bigint, rating double")
+    return _then_deleted(io.read_csv(spark, path, "user_id bigint, item_id bigint, rating double"), path)
 
 
 @query("text_roundtrip", "select p_partkey as item_id, p_type as genre from part")
@@ -142,7 +150,27 @@ def text_roundtrip(spark, d):
     path = _scratch(spark)
     io.write_text(views.table(spark, d, "part"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_type"), path)
     rows = io.read_lines(spark, path)
-    return rows.select(F.split("value", ",")[0].cast("bigint").alias("item_id"), F.element_at(F.split("value", ","), -1).alias("genre"))
+    return _then_deleted(rows.select(F.split("value", ",")[0].cast("bigint").alias("item_id"), F.element_at(F.split("value", ","), -1).alias("genre")), path)
+
+
+@query(
+    "single_part_roundtrip",
+    f"with {o.RATINGS}, tags as (select p_partkey as item_id, unnest(string_split(p_name, ' ')) as tag from part) select tag, round(round(avg(rating), 9), 6) as rating_avg, 1::bigint as parts from tags join ratings using (item_id) group by tag",
+)
+def single_part_roundtrip(spark, d):
+    """The report by tag as one CSV part: a row for each tag, summed up before it is written."""
+    path = _scratch(spark)
+    io.write_csv(avg_rating_by_tag(spark, d), path, single=True)
+    read = io.read_csv(spark, path, "tag string, rating_avg double")
+    parts = len(read.inputFiles())
+    return _then_deleted(read.withColumn("parts", F.lit(parts).cast("bigint")), path)
+
+
+@query("top_items", f"with {o.RATINGS} select item_id, sum(rating * 10)::bigint as total from ratings group by item_id order by total desc, item_id limit 20")
+def top_items(spark, d):
+    """The 20 items of the largest sums of ratings: each task keeps 20."""
+    sums = views.ratings(spark, d).groupBy("item_id").agg(F.round(F.sum(F.col("rating") * 10)).cast("bigint").alias("total"))
+    return sums.orderBy(F.col("total").desc(), "item_id").limit(20)
 
 
 # similarity

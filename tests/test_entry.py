@@ -13,7 +13,7 @@ import pytest
 
 REPO = Path(__file__).resolve().parent.parent
 TINY = "/root/testdata/sf0.001"
-QUICK = ["avg_rating_by_tag", "split_counts", "bag_subtract", "user_mean", "inverse_user_frequency", "freq_itemsets", "assoc_rules", "genre_cosine", "naive_fields", "predict_content", "error_histogram", "connected_components"]
+QUICK = ["avg_rating_by_tag", "split_counts", "bag_subtract", "user_mean", "inverse_user_frequency", "freq_itemsets", "assoc_rules", "genre_cosine", "naive_fields", "predict_content", "error_histogram", "connected_components", "single_part_roundtrip", "top_items", "freq_itemsets_by_share", "csv_roundtrip"]
 
 
 def _has(name: str) -> bool:
@@ -28,7 +28,7 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    for n in range(1, 11) if _has("orelode.llm") else []:
+    for n in range(1, 14) if _has("orelode.llm") else []:
         assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1
 
 

@@ -6,13 +6,14 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from orelode.functions.numeric import amplify, truncate
 from orelode.functions.ordered import ranked
-from orelode.functions.pairs import pairs_within
+from orelode.functions.pairs import pairs_between, pairs_within
 from orelode.functions.text import word_tokens
 from orelode.operators import aggregates, evaluate, forest, graph, itemsets, lsh, recommend, similarity
 from orelode.operators.components import connected_components
@@ -242,6 +243,59 @@ def test_copies_are_one_class(spark):
     assert as_map(similarity.jaccard_pairs_exact(rows, 0.5), "id1", "id2", "jaccard") == want
 
 
+def test_als_factors_solve_their_normal_equations(spark):
+    """A user's factors are the ridge regression of their ratings on the items' factors, weighted by their number of ratings, and a prediction is the product."""
+    rng = np.random.default_rng(3)
+    rows = [((1 << 40) + u, (1 << 50) + i, float(r)) for u in range(12) for i in range(9) if (r := rng.integers(0, 6))]
+    train = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+    model, ids = recommend.fit_als(train, rank=3, rounds=6, penalty=0.1)
+    users, items = ({r["id"]: np.array(r["features"]) for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+    at = {c: {r[c]: r[f"{c}_at"] for r in ids[c].collect()} for c in ids}
+    for user, k in at["user_id"].items():
+        own = [(items[at["item_id"][i]], r) for u, i, r in rows if u == user]
+        v, r = np.array([x for x, _ in own]), np.array([y for _, y in own])
+        assert np.allclose(np.linalg.solve(v.T @ v + 0.1 * len(r) * np.eye(3), v.T @ r), users[k], atol=1e-3)
+    for r in recommend.predict_als(train, train, rank=3, rounds=6, penalty=0.1).collect():
+        assert math.isclose(r["prediction"], users[at["user_id"][r["user_id"]]] @ items[at["item_id"][r["item_id"]]], abs_tol=1e-4)
+
+
+@pytest.mark.parametrize("asked", [None, [3], [1, 2, 3, 4, 99]])
+def test_only_pairs_that_are_asked(spark, monkeypatch, asked):
+    """Every pair with an asked id and no other, hot keys or not; nearest others of the asked ids are those of all."""
+    rng = random.Random(6)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(30) for i in (0, *rng.sample(range(1, 9), 4))]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+    ids = None if asked is None else spark.createDataFrame([(a,) for a in asked], "user_id bigint")
+    whole = {tuple(r)[:2]: tuple(round(x, 9) for x in tuple(r)[2:]) for r in similarity.pearson(df, "user_id", "item_id").collect()}
+    near = similarity.nearest(similarity.pearson(df, "user_id", "item_id"), 4, 30)
+    want = sorted((r["id"], r["other"], round(r["sim"], 9)) for r in near.collect() if asked is None or r["id"] in asked)
+    for block in (2048, 6):
+        monkeypatch.setattr(pairs_within, "__defaults__", ((), block))
+        monkeypatch.setattr(pairs_between, "__defaults__", ((), block))
+        pairs = similarity.pearson(df, "user_id", "item_id", asked=ids)
+        assert {tuple(r)[:2]: tuple(round(x, 9) for x in tuple(r)[2:]) for r in pairs.collect()} == {k: v for k, v in whole.items() if asked is None or set(k) & set(asked)}
+        assert sorted((r["id"], r["other"], round(r["sim"], 9)) for r in similarity.nearest(pairs, 4, 30, asked=ids).collect()) == want
+
+
+def test_nearest_is_cut_before_the_shuffle(spark, ratings):
+    near = similarity.nearest(similarity.pearson(ratings, "user_id", "item_id"), 2, 4)
+    assert "WindowGroupLimit" in near._jdf.queryExecution().toString()
+
+
+def test_content_leaves_out_the_asked_item(spark, ratings, genres):
+    """The asked item's own rating has no part, whether or not it was trained on: against the sum over rated items one by one."""
+    rows = [(u, i, float(r)) for u, items in RATINGS.items() for i, r in items.items()]
+    asked = [(u, i) for u in RATINGS for i in (1, 2, 3, 4)]
+    want = {}
+    for u, i in asked:
+        mine = [(r, len(set(GENRES[i]) & set(GENRES[j])) / math.sqrt(len(GENRES[i]) * len(GENRES[j]))) for v, j, r in rows if v == u and j != i]
+        top = [(r, w) for r, w in mine if w]
+        own = [r for v, _, r in rows if v == u]
+        want[u, i] = sum(r * w for r, w in top) / sum(w for _, w in top) if top else sum(own) / len(own)
+    got = as_map(recommend.predict_content(ratings, keys(spark, *asked), genres), "user_id", "item_id", "prediction")
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_lsh_quality(spark):
     found = spark.createDataFrame([(1, 2), (1, 3)], "id1 int, id2 int")
     truth = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "id1 int, id2 int")
