@@ -217,6 +217,21 @@ def jaccard_exact(spark, d):
     return _six(similarity.jaccard_pairs_exact(views.tokens(spark, d), 0.5), "jaccard")
 
 
+CLASSES = f"{o.TOKENS}, named as (select id, string_agg(token, ' ' order by token) as name from tokens group by id), reps as (select id, min(id) over (partition by name) as rep from named)"
+
+
+@query("jaccard_classes", f"with {CLASSES}, {o.EXACT} select id1, id2, round(round(jaccard, 9), 6) as jaccard from exact where id1 in (select rep from reps) and id2 in (select rep from reps)")
+def jaccard_classes(spark, d):
+    """Pairs of different sets, each named by its least id."""
+    return _six(similarity.jaccard_classes_exact(views.tokens(spark, d), 0.5)[0], "jaccard")
+
+
+@query("jaccard_members", f"with {CLASSES} select rep, id from reps")
+def jaccard_members(spark, d):
+    """Who has each set."""
+    return similarity.jaccard_classes_exact(views.tokens(spark, d), 0.5)[1]
+
+
 def _signatures(spark, d):
     ensure_checkpoint_dir(spark)
     tokens = views.tokens(spark, d).checkpoint()
