@@ -138,40 +138,73 @@ def find_voters(texts: pa.Array, toxic: np.ndarray, least: int = 3, precision: f
     differ, or of as many more as keep the expected number of words that are found
     by chance under one half. All keys of that support and precision are taken.
     """
-    keys, docs, groups = [], [], []
-    for i, j in runs(utf8_column(texts)[1]):
-        folded = _fold(texts.slice(i, j - i))
-        pair = _unique_pairs(*word_keys(*folded))
-        keys.append(pair[0])
-        docs.append(pair[1] + i)
-        groups.append(copy_groups(*folded))
-    key, doc, group = np.concatenate(keys), np.concatenate(docs), np.concatenate(groups)
-
-    def support(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k, g = key[on], group[doc[on]]
-        found = np.unique(k)
-        counts = [np.bincount(np.searchsorted(found, _unique_pairs(k, g[:, s])[0]), minlength=len(found)) for s in range(g.shape[1])]
+    total, base = Tally(), toxic.mean()
+
+    def pairs_of(part: pa.Array, among: np.ndarray | None = None):
+        """Keys, texts and the texts' copy groups; of clean texts only keys that may be found, as theirs are most."""
+        keys, docs, groups, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.uint64)], 0
+        for i, j in runs(utf8_column(part)[1]):
+            folded = _fold(part.slice(i, j - i))
+            key, doc = _unique_pairs(*word_keys(*folded))
+            total.add(key)
+            if among is not None:
+                kept = np.isin(key, among)
+                key, doc = key[kept], doc[kept]
+            keys.append(key)
+            docs.append(doc + first)
+            groups.append(copy_groups(*folded))
+            first += j - i
+        return np.concatenate(keys), np.concatenate(docs), np.concatenate(groups)
+
+    def support(key: np.ndarray, doc: np.ndarray, group: np.ndarray, texts_of: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that so many texts hold, and in how many texts that differ."""
+        found, n = np.unique(key, return_counts=True)
+        found = found[n >= texts_of]
+        held = np.isin(key, found)
+        key, doc = key[held], doc[held]
+        counts = [np.bincount(np.searchsorted(found, _unique_pairs(key, group[doc, s])[0]), minlength=len(found)) for s in range(group.shape[1])]
         return found, np.median(counts, axis=0)
 
-    on = toxic[doc]
-    found, count = support(on)
-    base = toxic.mean()
-    total = np.unique(key, return_counts=True)[1]
-    while (total >= least).sum() * base**least > 0.5:
+    found, count = support(*pairs_of(texts.filter(pa.array(toxic))), least)
+    found, count = found[count >= least], count[count >= least]
+    others, often = support(*pairs_of(texts.filter(pa.array(~toxic)), found), 1)
+    texts_with = total.counts()
+    while (texts_with >= least).sum() * base**least > 0.5:
         least += 1
-    good = count >= least
-    found, count = found[good], count[good]
-    if not len(found):
-        return found
-    others, often = support(~on & np.isin(key, found))
     clean = np.zeros(len(found))
     clean[np.searchsorted(found, others)] = often
+    good = count >= least
+    found, count, clean = found[good], count[good], clean[good]
     ratio = max(1.0, toxic.sum() / max(1, (~toxic).sum()))
     good = count / (count + clean * ratio + 0.25) >= precision
     found, count = found[good], count[good]
     return found[np.argsort(-count, kind="stable")]
 
 
+class Tally:
+    """How often each key was added; additions wait until they are as many as the keys."""
+
+    def __init__(self):
+        self.keys, self.n, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        self.size += len(keys)
+        if self.size > max(len(self.keys), 1 << 20):
+            self.counts()
+
+    def counts(self) -> np.ndarray:
+        """The count of each distinct key, in order of keys."""
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        keys = np.union1d(self.keys, new)
+        total = np.zeros(len(keys), np.int64)
+        total[np.searchsorted(keys, self.keys)] = self.n
+        total[np.searchsorted(keys, new)] += n
+        self.keys, self.n = keys, total
+        return total
+
+
 def _unique_pairs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
