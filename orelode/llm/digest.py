@@ -3,23 +3,26 @@
 Every window of 32 bytes has an entropy. Windows are ranked by how rare their
 entropy is in the corpus: a histogram over all windows of all documents gives
 the order, rarest first; windows of very low entropy are left out. In each run
-of 32 successive windows the leftmost of lowest rank scores a point, and windows
-with enough points are a document's features. Texts under ``SHORT`` bytes also
-have features of 8 bytes, found alike, as few of the large ones fit in them.
-Features are hashed and inserted, in order of place, in a chain of Bloom filters
-of 2048 bits, five bits a feature, 160 features a filter.
-
-Two digests are compared filter by filter: the overlap of two filters' bits,
-less the overlap expected by chance, over the most that it could be; each filter
-of the chain with fewer features counts with its best partner.
+of 32 successive windows the leftmost of lowest rank scores a point. Points of
+equal windows of a document add up, so that texts of short period have features
+too, and windows with enough points are its features, each once. Texts with fewer
+than ``FEW`` of them also have fine features of 8 bytes, found alike. Features are
+hashed and inserted, in order of first place, in a chain of Bloom filters of 2048
+bits, five bits a feature, 160 features a filter; each kind has a chain of its own.
+
+Two chains of a kind are compared filter by filter: the overlap of two filters'
+bits, less the overlap expected by chance, over the most that it could be; each
+filter of the chain with fewer features counts with its best partner. Kinds that
+both texts have weigh as the fewer of the two texts' features of them.
 
 Entropies slide in integers: the number of equal bytes before and behind every
 byte, within a window, gives the change of the sum of c log c by one step, so
 all windows of a batch take a few dozen vectorised passes.
 
 Cases: null texts are empty; an empty text has no features, equals other empty
-texts (likeness 1) and is unlike all others (0). Texts without any feature, too
-short or of low entropy throughout, have one, the whole text. Texts are read
+texts (likeness 1) and is unlike all others (0). Texts without any feature, of low
+entropy throughout, take every winner of 8 bytes whatever its entropy; those under
+8 bytes have one feature, the whole text. Texts are read
 whole, whatever their length. Rows of equal id are in order of their texts'
 hashes, then of their texts; a null id comes first. Repeated rows follow each
 other. A single row is its own next; an empty table gives no rows. Other columns
@@ -46,8 +49,8 @@ FILTER_BITS = 2048
 FILTER_FEATURES = 160
 PROBES = 5
 LEVELS = 1000
-#: Texts of fewer bytes also have fine features.
-SHORT = 512
+#: Texts with fewer coarse features also have fine ones.
+FEW = 16
 RUN = 1 << 18
 _U = np.uint64
 _NEVER = np.int64(1) << 62
@@ -70,6 +73,8 @@ class Scale:
 
 COARSE, FINE = Scale(32, 32, 8, 200), Scale(8, 8, 2, 300)
 SCALES = (COARSE, FINE)
+#: For texts that have no feature otherwise; ranks are those of FINE, low levels included.
+LOOSE = Scale(8, 8, 1, 0)
 
 
 def entropy_levels(buf: np.ndarray, scale: Scale = COARSE) -> np.ndarray:
@@ -118,7 +123,7 @@ def ranks_from(counts: np.ndarray, scale: Scale = COARSE) -> np.ndarray:
 
 
 def features(buf: np.ndarray, offs: np.ndarray, rank: np.ndarray, scale: Scale = COARSE) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of every feature, in order of place."""
+    """Text number and hash of every feature, in order of first place."""
     n, length = len(buf), np.diff(offs)
     if n < scale.window or (length < scale.window).all():
         return np.zeros(0, np.int64), np.zeros(0, _U)
@@ -142,46 +147,49 @@ def features(buf: np.ndarray, offs: np.ndarray, rank: np.ndarray, scale: Scale =
         won = np.concatenate([won, np.minimum.reduceat(np.append(key, _NEVER), bounds)[::2]])
     place, points = np.unique(won[won != _NEVER] & ((1 << 40) - 1), return_counts=True)
     doc = np.searchsorted(offs, place, side="right") - 1
-    chosen = points >= np.minimum(scale.points, np.maximum(turns[doc], 1))
-    place, doc = place[chosen], doc[chosen]
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, scale.window)[place]).view("<u8")
     hashes = np.zeros(len(place), _U)
     for k in range(words.shape[1]):
         hashes = mix(hashes + words[:, k] + _U(scale.window + k))
-    return doc, hashes
+    if not len(place):
+        return doc, hashes
+    order = np.lexsort((hashes, doc))  # equal windows of a text stay in order of place
+    first = np.flatnonzero(np.append(True, (doc[order][1:] != doc[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])))
+    points, order = np.add.reduceat(points[order], first), order[first]
+    order = np.sort(order[points >= np.minimum(scale.points, np.maximum(turns[doc[order]], 1))])
+    return doc[order], hashes[order]
 
 
-def all_features(buf: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of both scales, and the whole of texts that have none, by text."""
+def _features_of(texts: np.ndarray, buf: np.ndarray, offs: np.ndarray, rank: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
+    """Features of those texts that a mask picks."""
     length = np.diff(offs)
-    docs, hashes = ([x] for x in features(buf, offs, ranks[0], COARSE))
-    short = np.flatnonzero(length < SHORT)
-    if len(short):
-        part = buf[np.repeat(length < SHORT, length)]
-        d, h = features(part, np.concatenate([[0], np.cumsum(length[short])]), ranks[1], FINE)
-        docs.append(short[d])
-        hashes.append(h)
-    bare = np.setdiff1d(np.flatnonzero(length > 0), np.concatenate(docs))
-    if len(bare):
-        docs.append(bare)
-        hashes.append(mix(SpanHasher(buf).of(offs[bare], offs[bare + 1])))
-    doc = np.concatenate(docs)
+    at = np.flatnonzero(texts)
+    doc, hashes = features(buf[np.repeat(texts, length)], np.concatenate([[0], np.cumsum(length[at])]), rank, scale)
+    return at[doc], hashes
+
+
+def all_features(buf: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Coarse and fine features, each in order of texts."""
+    length = np.diff(offs)
+    coarse = features(buf, offs, ranks[0], COARSE)
+    n = np.bincount(coarse[0], minlength=len(length))
+    fine = [_features_of(n < FEW, buf, offs, ranks[1], FINE)]
+    bare = (length > 0) & (n + np.bincount(fine[0][0], minlength=len(length)) == 0)
+    fine.append(_features_of(bare, buf, offs, ranks[2], LOOSE))
+    bare[fine[1][0]] = False
+    rest = np.flatnonzero(bare)
+    if len(rest):
+        fine.append((rest, mix(SpanHasher(buf).of(offs[rest], offs[rest + 1]))))
+    doc, hashes = (np.concatenate(x) for x in zip(*fine))
     order = np.argsort(doc, kind="stable")
-    return doc[order], np.concatenate(hashes)[order]
+    return [coarse, (doc[order], hashes[order])]
 
 
-class Digests:
-    """Digests of a batch of texts: chains of Bloom filters, end to end."""
+class Chains:
+    """Chains of Bloom filters of one kind of features, end to end."""
 
-    def __init__(self, texts: pa.Array, ranks: np.ndarray):
-        buf, offs = utf8_column(texts)
-        docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-        for i, j in runs(offs, RUN):
-            d, h = all_features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ranks)
-            docs.append(d + i)
-            hashes.append(h)
-        doc, h = np.concatenate(docs), np.concatenate(hashes)
-        self.n = np.bincount(doc, minlength=len(texts))
+    def __init__(self, doc: np.ndarray, h: np.ndarray, texts: int):
+        self.n = np.bincount(doc, minlength=texts)
         first = np.concatenate([[0], np.cumsum(self.n)])
         self.filters = -(-self.n // FILTER_FEATURES)
         self.at = np.concatenate([[0], np.cumsum(self.filters)])
@@ -195,11 +203,10 @@ class Digests:
     def text(self, i: int) -> str:
         return f"{self.n[i]}:" + base64.b64encode(self.words[self.at[i] : self.at[i + 1]].tobytes()).decode()
 
-    def likeness(self, rows: np.ndarray, other: Digests, others: np.ndarray) -> np.ndarray:
-        """Likeness of pairs of digests, 0 to 1."""
+    def likeness(self, rows: np.ndarray, other: Chains, others: np.ndarray) -> np.ndarray:
+        """Likeness of pairs of chains, 0 to 1; 0 where one has no features."""
         out = np.zeros(len(rows))
         fa, fb = self.filters[rows], other.filters[others]
-        out[(fa == 0) & (fb == 0)] = 1.0
         one = np.flatnonzero((fa == 1) & (fb == 1))
         a, b = self.at[rows[one]], other.at[others[one]]
         both = np.bitwise_count(self.words[a] & other.words[b]).sum(axis=1)
@@ -216,13 +223,40 @@ class Digests:
         return out
 
 
+class Digests:
+    """Digests of a batch of texts: a chain of filters for each kind of features."""
+
+    def __init__(self, texts: pa.Array, ranks: np.ndarray):
+        buf, offs = utf8_column(texts)
+        found = [([np.zeros(0, np.int64)], [np.zeros(0, _U)]) for _ in SCALES]
+        for i, j in runs(offs, RUN):
+            for (docs, hashes), (d, h) in zip(found, all_features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ranks)):
+                docs.append(d + i)
+                hashes.append(h)
+        self.kinds = [Chains(np.concatenate(docs), np.concatenate(hashes), len(texts)) for docs, hashes in found]
+
+    def text(self, i: int) -> str:
+        return "/".join(kind.text(i) for kind in self.kinds)
+
+    def likeness(self, rows: np.ndarray, other: Digests, others: np.ndarray) -> np.ndarray:
+        """Likeness of pairs of digests, 0 to 1."""
+        weights = [np.minimum(a.n[rows], b.n[others]) for a, b in zip(self.kinds, other.kinds)]
+        total = sum(w * a.likeness(rows, b, others) for w, a, b in zip(weights, self.kinds, other.kinds))
+        empty = sum(a.n[rows] + b.n[others] for a, b in zip(self.kinds, other.kinds)) == 0
+        return np.where(empty, 1.0, total / np.maximum(sum(weights), 1))
+
+
 def _normalised(both, ones_a, ones_b):
     chance = ones_a * ones_b / FILTER_BITS
     return np.clip((both - chance) / (np.minimum(ones_a, ones_b) - chance), 0, 1)
 
 
+def all_ranks(counts: np.ndarray) -> np.ndarray:
+    return np.stack([*(ranks_from(c, s) for c, s in zip(counts, SCALES)), ranks_from(counts[1], LOOSE)])
+
+
 def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Ranks of both scales from the entropy histograms of all documents."""
+    """Ranks of both scales, and of the loose one, from the entropy histograms of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(SCALES), LEVELS + 1), np.int64)
@@ -234,7 +268,7 @@ def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
     got = docs.select(F.col(text).cast("string")).mapInArrow(count, "scale int, level int, n bigint").groupBy("scale", "level").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(SCALES), LEVELS + 1), np.int64)
     counts[got.column("scale").to_numpy(), got.column("level").to_numpy()] = got.column("n").to_numpy()
-    return np.stack([ranks_from(c, s) for c, s in zip(counts, SCALES)])
+    return all_ranks(counts)
 
 
 @dataclass(frozen=True)

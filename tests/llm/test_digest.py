@@ -31,8 +31,13 @@ def plain_features(data, rank, scale):
     levels = digest.entropy_levels(np.frombuffer(data, np.uint8), scale)
     keys = [(rank[q], i) if rank[q] >= 0 else None for i, q in enumerate(levels)]
     turns = [keys[i : i + scale.popular] for i in range(max(1, len(keys) - scale.popular + 1))]
-    points = Counter(min(k for k in t if k)[1] for t in turns if any(t))
-    return sorted(i for i, n in points.items() if n >= min(scale.points, len(turns)))
+    points, first = Counter(), {}
+    for t in turns:
+        if any(t):
+            i = min(k for k in t if k)[1]
+            points[data[i : i + scale.window]] += 1
+            first.setdefault(data[i : i + scale.window], i)
+    return sorted(first[w] for w, n in points.items() if n >= min(scale.points, len(turns)))
 
 
 @pytest.mark.parametrize("scale", digest.SCALES)
@@ -45,12 +50,12 @@ def test_features_by_place(scale):
         assert (docs == k).sum() == (len(plain_features(t, rank, scale)) if len(t) >= scale.window else 0)
         alone = digest.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]), rank, scale)[1]
         assert alone.tolist() == hashes[docs == k].tolist()
-    both = digest.all_features(buf, offs, np.stack([rank, rank]))[0]
-    assert set(both) == {k for k, t in enumerate(texts) if t}
+    coarse, fine = digest.all_features(buf, offs, np.stack([rank, rank, rank]))
+    assert set(coarse[0]) | set(fine[0]) == {k for k, t in enumerate(texts) if t}
 
 
 def test_likeness():
-    rank = np.stack([digest.ranks_from(np.arange(digest.LEVELS + 1), s) for s in digest.SCALES])
+    rank = digest.all_ranks(np.stack([np.arange(digest.LEVELS + 1)] * 2))
     a, b = prose("en", 3000, 1), prose("de", 3000, 2)
     d = digest.Digests(pa.array([a, a, b, a[: len(a) // 2] + b[: len(b) // 2], "", None]), rank)
     at = lambda x, y: d.likeness(np.array([x]), d, np.array([y]))[0]
@@ -59,13 +64,33 @@ def test_likeness():
 
 
 def test_short_texts():
-    rank = np.stack([digest.ranks_from(np.arange(digest.LEVELS + 1), s) for s in digest.SCALES])
+    rank = digest.all_ranks(np.stack([np.arange(digest.LEVELS + 1)] * 2))
     texts = [prose("en", 15, k) for k in range(40)]
     edited = [t[: len(t) - len(t) // 2] + texts[(k + 1) % 40][: len(t) // 2] for k, t in enumerate(texts)]
     a, e, at = digest.Digests(pa.array(texts), rank), digest.Digests(pa.array(edited), rank), np.arange(40)
     assert a.likeness(at, e, at).mean() > 0.3 > 3 * a.likeness(at, a, (at + 1) % 40).mean()
 
 
+def test_no_length_changes_likeness():
+    """A byte more lowers likeness no further around 512 bytes, or around FEW coarse features, than at 300 bytes; texts of short period are alike too."""
+    texts = [prose(lang, 300, k) for k in range(12) for lang in ("en", "de")] + [w * 300 for w in ("abc ", "tick tock ", "a", "no")]
+    buf = pa.array(texts)
+    rank = digest.all_ranks(digest.histograms(buf))
+
+    def least(lengths):
+        d = digest.Digests(pa.array([t[:n] for t in texts for n in lengths]), rank)
+        at = np.arange(len(texts) * len(lengths) - 1)
+        at = at[(at + 1) % len(lengths) > 0]
+        return d.likeness(at, d, at + 1).min()
+
+    usual = least(range(296, 306))
+    assert usual > 0.8 and least(range(500, 525)) >= usual - 0.02
+    assert min(least(range(n, n + 100)) for n in range(400, 1200, 100)) >= usual - 0.1
+    edited = digest.Digests(pa.array([t[:600] + texts[0][:600] for t in texts[-4:-2]]), rank)
+    whole = digest.Digests(pa.array(texts[-4:-2]), rank)
+    assert (whole.likeness(np.arange(2), edited, np.arange(2)) > 0.5).all()
+
+
 def in_order(rows):
     """By id, null first, then by the signed hash of the text."""
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63) % 2**64))
@@ -110,30 +135,45 @@ def plain_levels(data, scale):
     return [(top - sum(int(scale.clogc[c]) for c in Counter(data[i : i + scale.window]).values())) * digest.LEVELS // top for i in range(len(data) - scale.window + 1)]
 
 
-def plain_digest(data, ranks):
-    """Number of features, and the chain of Bloom filters as sets of bits."""
+def plain_features_of(data, rank, scale):
+    """Hashes of the features of one text, window by window."""
+    if len(data) < scale.window:
+        return []
+    keys = [(rank[q], i) if rank[q] >= 0 else None for i, q in enumerate(plain_levels(data, scale))]
+    turns = [keys[i : i + scale.popular] for i in range(max(1, len(keys) - scale.popular + 1))]
+    points = Counter()
+    for t in turns:
+        if any(t):
+            i = min(x for x in t if x)[1]
+            points[data[i : i + scale.window]] += 1
     hashes = []
-    for k, scale in enumerate(digest.SCALES):
-        if len(data) < scale.window or (k and len(data) >= digest.SHORT):
-            continue
-        keys = [(ranks[k][q], i) if ranks[k][q] >= 0 else None for i, q in enumerate(plain_levels(data, scale))]
-        turns = [keys[i : i + scale.popular] for i in range(max(1, len(keys) - scale.popular + 1))]
-        points = Counter(min(x for x in t if x)[1] for t in turns if any(t))
-        for i in sorted(i for i, n in points.items() if n >= min(scale.points, len(turns))):
-            h = np.zeros(1, np.uint64)
-            for w in range(scale.window // 8):
-                h = mix(h + np.frombuffer(data[i + 8 * w : i + 8 * w + 8], "<u8") + np.uint64(scale.window + w))
-            hashes.append(int(h[0]))
-    if data and not hashes:
-        hashes = [int(mix(np.array([text_hash(data)], np.uint64))[0])]
+    for piece in (w for w, n in points.items() if n >= min(scale.points, len(turns))):
+        h = np.zeros(1, np.uint64)
+        for w in range(scale.window // 8):
+            h = mix(h + np.frombuffer(piece[8 * w : 8 * w + 8], "<u8") + np.uint64(scale.window + w))
+        hashes.append(int(h[0]))
+    return hashes
+
+
+def plain_digest(data, ranks):
+    """For coarse and fine features: their number, and the chain of Bloom filters as sets of bits."""
+    coarse = plain_features_of(data, ranks[0], digest.COARSE)
+    fine = plain_features_of(data, ranks[1], digest.FINE) if len(coarse) < digest.FEW else []
+    if data and not coarse and not fine:
+        fine = plain_features_of(data, ranks[2], digest.LOOSE) or [int(mix(np.array([text_hash(data)], np.uint64))[0])]
     size = digest.FILTER_FEATURES
-    chain = [{h >> (11 * k) & (digest.FILTER_BITS - 1) for h in hashes[a : a + size] for k in range(digest.PROBES)} for a in range(0, len(hashes), size)]
-    return len(hashes), chain
+    chain = lambda hashes: [{h >> (11 * k) & (digest.FILTER_BITS - 1) for h in hashes[a : a + size] for k in range(digest.PROBES)} for a in range(0, len(hashes), size)]
+    return [(len(h), chain(h)) for h in (coarse, fine)]
 
 
 def plain_likeness(a, b):
-    if not a[0] or not b[0]:
-        return float(a[0] == b[0])
+    if not any(n for n, _ in a) and not any(n for n, _ in b):
+        return 1.0
+    weights = [min(x[0], y[0]) for x, y in zip(a, b)]
+    return sum(w * plain_chains(x, y) for w, x, y in zip(weights, a, b) if w) / max(1, sum(weights))
+
+
+def plain_chains(a, b):
     if a[0] > b[0] and max(len(a[1]), len(b[1])) > 1:
         a, b = b, a
 
@@ -148,10 +188,10 @@ def plain_likeness(a, b):
 
 def test_fingerprints_by_brute_force(spark, tables):
     """Ranks from all windows, features, filters and likeness by plain loops."""
-    rows = [(k, prose("en", n, k), "en", "s") for k, n in enumerate([3, 8, 20, 60, 90, 400, 700, 2500])] + [(20, "aaaa" * 30, None, None), (21, "", None, None), (22, None, None, None), (23, "zz", None, None)]
+    rows = [(k, prose("en", n, k), "en", "s") for k, n in enumerate([3, 8, 20, 60, 90, 400, 700, 2500])] + [(20, "aaaa" * 30, None, None), (21, "", None, None), (22, None, None, None), (23, "zz", None, None), (24, "over and " * 90, None, None)]
     texts = [(t or "").encode() for _, t, _, _ in rows]
     ranks = []
-    for scale in digest.SCALES:
+    for scale in (*digest.SCALES, digest.LOOSE):
         n = Counter(q for t in texts for q in plain_levels(t, scale))
         order = sorted(range(digest.LEVELS + 1), key=lambda q: (n[q], q))
         rank = {q: i for i, q in enumerate(order)}
@@ -162,9 +202,9 @@ def test_fingerprints_by_brute_force(spark, tables):
         after = (k + 1) % len(rows)
         half = len(texts[k]) // 2
         edited = plain_digest(texts[k][: len(texts[k]) - half] + texts[after][:half], ranks)
-        for name, (n, chain) in (("fingerprint", own[k]), ("edited_fingerprint", edited)):
-            bits = b"".join(sum(1 << b for b in f).to_bytes(digest.FILTER_BITS // 8, "little") for f in chain)
-            assert got[i][name] == f"{n}:{base64.b64encode(bits).decode()}"
+        for name, kinds in (("fingerprint", own[k]), ("edited_fingerprint", edited)):
+            bits = [(n, b"".join(sum(1 << b for b in f).to_bytes(digest.FILTER_BITS // 8, "little") for f in chain)) for n, chain in kinds]
+            assert got[i][name] == "/".join(f"{n}:{base64.b64encode(b).decode()}" for n, b in bits)
         assert got[i]["near_edited"] == pytest.approx(plain_likeness(own[k], edited))
         assert got[i]["near_next"] == pytest.approx(plain_likeness(own[k], own[after]))
 
