@@ -628,3 +628,30 @@ def test_files(spark, ratings, tmp_path):
     (tmp_path / "bad.csv").write_text("u,i\nx,1\n")
     with pytest.raises(Exception, match="MALFORMED|CAST|parse"):
         io.read_csv(spark, f"{tmp_path}/bad.csv", io.KEYS).collect()
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_pairs_around(spark, block):
+    """Every row with every other of its key, hot keys or not, one direction or both, asked or all; repeated rows count."""
+    from orelode.functions.pairs import pairs_around
+
+    rows = [(k, i, 100 * k + i) for k in range(3) for i in range(3 * k + 2)] + [(2, 1, 7), (None, 1, 0), (1, None, 0)]
+    df = spark.createDataFrame(rows, "k int, id int, v int")
+    live = [r for r in rows if r[0] is not None and r[1] is not None]
+    want = sorted((a[1], b[1], a[2], b[2]) for a in live for b in live if a[0] == b[0] and a[1] != b[1])
+    assert sorted(map(tuple, pairs_around(df, "k", "id", ["v"], block=block).collect())) == want
+    assert sorted(map(tuple, pairs_around(df, "k", "id", ["v"], half=True, block=block).collect())) == [w for w in want if w[0] < w[1]]
+    ids = spark.createDataFrame([(1,), (4,)], "id int")
+    assert sorted(map(tuple, pairs_around(df, "k", "id", ["v"], asked=ids, block=block).collect())) == [w for w in want if w[0] in (1, 4)]
+    assert pairs_around(df.limit(0), "k", "id", ["v"]).count() == 0
+
+
+def test_pairs_are_not_shuffled(spark, ratings):
+    """Sums of pairs, and the nearest of them, need no exchange by two ids; the nearest are those of the listed pairs."""
+    pairs = similarity.pearson(ratings, "user_id", "item_id")
+    near = similarity.pearson_nearest(ratings, "user_id", "item_id", 2, 4)
+    for df in (pairs, near):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "id2" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    want = similarity.nearest(pairs, 2, 4)
+    assert sorted((r["id"], r["other"], round(r["sim"], 9)) for r in near.where("sim <> 0").collect()) == sorted((r["id"], r["other"], round(r["sim"], 9)) for r in want.where("sim <> 0").collect())
