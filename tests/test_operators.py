@@ -655,3 +655,12 @@ def test_pairs_are_not_shuffled(spark, ratings):
         assert "id2" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
     want = similarity.nearest(pairs, 2, 4)
     assert sorted((r["id"], r["other"], round(r["sim"], 9)) for r in near.where("sim <> 0").collect()) == sorted((r["id"], r["other"], round(r["sim"], 9)) for r in want.where("sim <> 0").collect())
+
+
+def test_jaccard_in_buckets(spark):
+    """Pairs that share a bucket and reach the threshold, copies too; no other pair and no whole set is dealt by two ids."""
+    have = {1: "abcdef", 2: "abcdeg", 3: "abcdef", 4: "uvwxyz", 5: "abcdefg", 6: "uvwxy"}
+    rows = spark.createDataFrame([(i, t) for i, s in have.items() for t in s], "id int, t string")
+    shared = spark.createDataFrame([(i, k) for i, ks in {1: "pq", 2: "p", 3: "pq", 4: "r", 5: "q", 6: "s"}.items() for k in ks], "id int, k string")
+    got = {(r["id1"], r["id2"]): round(r["jaccard"], 6) for r in similarity.jaccard_in_buckets(rows, shared, 0.5, 2).collect()}
+    assert got == {(1, 3): 1.0, (1, 2): 0.714286, (2, 3): 0.714286, (1, 5): 0.857143, (3, 5): 0.857143}
