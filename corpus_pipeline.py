@@ -16,9 +16,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orelode.llm import bpe, langid, mixing, neardup, toxicity
-from orelode.llm.common import delete_folder, shared_dir, table
+from orelode.llm import bpe, langid, mixing, neardup, simhash, toxicity
+from orelode.llm.common import cut_lineage, delete_folder, shared_dir, table
+from orelode.operators.components import connected_components
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,13 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, exact Jaccard 0.8 or more."""
-    return neardup.keep_one(docs)
+    """Keeps one document of each group that operator 9's fingerprints or an exact Jaccard similarity of 0.8 or more, which those miss, join: links of both count."""
+    alike, near = simhash.components(docs), cut_lineage(neardup.components(docs))
+    sets = near.select("text_hash", F.xxhash64(F.lit("jaccard"), "component").alias("src")).distinct()
+    prints = alike.select("text_hash", F.xxhash64(F.lit("simhash"), "component").alias("dst")).distinct()
+    groups = connected_components(sets.join(prints, "text_hash").select("src", "dst")).toDF("src", "component")
+    found = near.select("id", "text_hash", F.xxhash64(F.lit("jaccard"), "component").alias("src")).join(groups, "src").select("id", "text_hash", "component")
+    return simhash.keep_first(docs, cut_lineage(found))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

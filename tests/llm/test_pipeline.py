@@ -24,3 +24,13 @@ def test_stages(spark, tables):
 
 def test_empty(spark, tables):
     assert corpus_pipeline.run(spark, tables(documents=[], labels=[])).count() == 0
+
+
+def test_near_duplicates_by_fingerprint(spark, tables):
+    """Equal fingerprints join texts of different shingle sets; a near copy of either is in the group too."""
+    tails = [" ".join(f"{x}{k}" for k in range(20)) for x in "ab"]
+    first, second = ("one two three " * 50 + t for t in tails)
+    rows = [(1, first, "en", "s0"), (2, second, "en", "s0"), (3, second + " end", "en", "s0"), (4, prose("en", 60, 1), "en", "s0")]
+    at = tables(documents=rows, labels=[])
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(at + "/documents.parquet"), at)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 4}
