@@ -658,7 +658,7 @@ def test_pairs_are_not_shuffled(spark, ratings):
 
 
 def test_jaccard_in_buckets(spark):
-    """Pairs that share a bucket and reach the threshold, copies too; no other pair and no whole set is dealt by two ids."""
+    """Pairs that share a bucket and reach the threshold, copies too, and no other."""
     have = {1: "abcdef", 2: "abcdeg", 3: "abcdef", 4: "uvwxyz", 5: "abcdefg", 6: "uvwxy"}
     rows = spark.createDataFrame([(i, t) for i, s in have.items() for t in s], "id int, t string")
     shared = spark.createDataFrame([(i, k) for i, ks in {1: "pq", 2: "p", 3: "pq", 4: "r", 5: "q", 6: "s"}.items() for k in ks], "id int, k string")
