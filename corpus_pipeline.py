@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.llm import bpe, langid, mixing, neardup, simhash, toxicity
@@ -33,14 +33,21 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_civil(docs, toxicity.learn_from(docs, table(spark, sf_dir, "labels")))
 
 
+def _node(kind: str, name: str) -> Column:
+    """A set's or a fingerprint's node among those of both kinds."""
+    return F.xxhash64(F.lit(kind), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that operator 9's fingerprints or an exact Jaccard similarity of 0.8 or more, which those miss, join: links of both count."""
-    alike, near = simhash.components(docs), cut_lineage(neardup.components(docs))
-    sets = near.select("text_hash", F.xxhash64(F.lit("jaccard"), "component").alias("src")).distinct()
-    prints = alike.select("text_hash", F.xxhash64(F.lit("simhash"), "component").alias("dst")).distinct()
-    groups = connected_components(sets.join(prints, "text_hash").select("src", "dst")).toDF("src", "component")
-    found = near.select("id", "text_hash", F.xxhash64(F.lit("jaccard"), "component").alias("src")).join(groups, "src").select("id", "text_hash", "component")
-    return simhash.keep_first(docs, cut_lineage(found))
+    prints, (sets, similar) = simhash.marked(docs), neardup.links(docs)
+    alike = simhash.near_links(cut_lineage(prints.select("fp").distinct()))
+    both = cut_lineage(sets.join(prints.select("text_hash", "fp").distinct(), "text_hash").select("id", "text_hash", _node("jaccard", "set").alias("src"), _node("simhash", "fp").alias("dst")))
+    edges = both.select("src", "dst")
+    for kind, found in (("jaccard", similar), ("simhash", alike)):
+        edges = edges.unionByName(found.select(_node(kind, "src").alias("src"), _node(kind, "dst").alias("dst")))
+    groups = connected_components(edges).toDF("src", "component")
+    return simhash.keep_first(docs, cut_lineage(both.join(groups, "src").select("id", "text_hash", "component")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

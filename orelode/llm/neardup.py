@@ -198,8 +198,8 @@ def dealt_blocks(rest: DataFrame, block: int = BLOCK) -> DataFrame:
     return placed.select(key.alias("key"), "set", "component")
 
 
-def components(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(id, text_hash, component) of every row; rows of one component are joined by pairs of the threshold or more."""
+def links(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((id, text_hash, set) of every row, (src, dst)): links of sets, each of the threshold or more, that join all sets which such pairs join."""
     content = F.col(text).cast("string")
     sketched = cut_lineage(docs.select(F.col(key).alias("id"), F.xxhash64(content).alias("text_hash"), sketch(content).alias("s")))
     marked = sketched.select("id", "text_hash", F.col("s.set").alias("set"))
@@ -228,7 +228,12 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", block:
     bucket = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"))
     bucket = bucket.where("low < high").groupBy("who", "size").agg(F.min("key").alias("key")).select("key", "size")
     dealt = dealt_blocks(apart.join(bucket, "key"), block).join(shingles, "set")
-    edges = near.unionByName(cut_lineage(full_links(dealt)))
+    return marked, near.unionByName(cut_lineage(full_links(dealt)))
+
+
+def components(docs: DataFrame, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """(id, text_hash, component) of every row; rows of one component are joined by pairs of the threshold or more."""
+    marked, edges = links(docs, text, key, block)
     labelled = connected_components(edges).withColumnRenamed("node", "set")
     return marked.join(labelled, "set", "left").select("id", "text_hash", F.coalesce("component", "set").alias("component"))
 

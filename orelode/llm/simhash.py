@@ -313,16 +313,21 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROW
     return dealt.mapInArrow(link, "src bigint, dst bigint")
 
 
+def marked(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE) -> DataFrame:
+    """(id, text_hash, fp) of every row."""
+    content = F.col(text).cast("string")
+    return cut_lineage(docs.select(F.col(key).alias("id"), F.xxhash64(content).alias("text_hash"), simhash(content, width).alias("fp")))
+
+
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(id, text_hash, fp, component_id) of every row; component_id is the group's least id."""
-    content = F.col(text).cast("string")
-    marked = cut_lineage(docs.select(F.col(key).alias("id"), F.xxhash64(content).alias("text_hash"), simhash(content, width).alias("fp")))
-    fps = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    rows = marked(docs, text, key, width)
+    fps = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     found = connected_components(near_links(fps, distance)).withColumnRenamed("node", "fp")
     labelled = fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = labelled.select("fp", "component").join(least, "component").select("fp", "component_id", "component")
-    return marked.join(by_fp, "fp").select("id", "text_hash", "fp", "component_id", "component")
+    return rows.join(by_fp, "fp").select("id", "text_hash", "fp", "component_id", "component")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,16 @@ def test_near_duplicates_by_fingerprint(spark, tables):
     at = tables(documents=rows, labels=[])
     kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(at + "/documents.parquet"), at)
     assert {r["doc_id"] for r in kept.collect()} == {1, 4}
+
+
+def test_near_duplicates_find_components_twice(spark, tables, monkeypatch):
+    """Links of both kinds are joined at once: components are found among the sets' first links and for the groups, no more."""
+    from orelode.llm import neardup, simhash
+
+    runs, found = [], neardup.connected_components
+    for module in (corpus_pipeline, neardup, simhash):
+        monkeypatch.setattr(module, "connected_components", lambda edges: runs.append(1) or found(edges))
+    rows = [(k, prose("en", 60, k // 2) + (" end" if k % 2 else ""), "en", "s0") for k in range(10)]
+    at = tables(documents=rows, labels=[])
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(at + "/documents.parquet"), at)
+    assert {r["doc_id"] for r in kept.collect()} == {0, 2, 4, 6, 8} and len(runs) == 2
