@@ -664,3 +664,22 @@ def test_jaccard_in_buckets(spark):
     shared = spark.createDataFrame([(i, k) for i, ks in {1: "pq", 2: "p", 3: "pq", 4: "r", 5: "q", 6: "s"}.items() for k in ks], "id int, k string")
     got = {(r["id1"], r["id2"]): round(r["jaccard"], 6) for r in similarity.jaccard_in_buckets(rows, shared, 0.5, 2).collect()}
     assert got == {(1, 3): 1.0, (1, 2): 0.714286, (2, 3): 0.714286, (1, 5): 0.857143, (3, 5): 0.857143}
+
+
+@pytest.mark.parametrize("dense", [0, 200, 1 << 40])
+def test_shared_counts(spark, dense):
+    """Blocks, stripes and columns of any size, keys as columns or pair by pair: the counts of brute force, and no pair is shuffled."""
+    from orelode.functions import pairs
+
+    rng = random.Random(dense)
+    rows = [(f"u{u:02}", k) for u in range(90) for k in (*rng.sample(range(40), rng.randint(0, 12)), *([99] if u % 3 else []))]
+    df = spark.createDataFrame(rows + rows[:50] + [(None, 1), ("u01", None)], "id string, k int")
+    own = defaultdict(set)
+    for u, k in rows:
+        own[u].add(k)
+    want = sorted((a, b, len(own[a] & own[b]), len(own[a]), len(own[b])) for a in own for b in own if a < b and len(own[a] & own[b]) >= 3)
+    got = pairs.shared_counts(df, "k", "id", 3, 30, 7, 5, dense)
+    assert sorted(map(tuple, got.collect())) == want
+    assert pairs.shared_counts(df.limit(0), "k", "id").count() == 0
+    plan = graph.cooccurrence_edges(df.toDF("user_id", "item"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Join" not in plan
