@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +32,23 @@ def frequent_itemsets(baskets: DataFrame, support: float, longest: int | None =
     return sets.where(F.size("items") <= longest) if longest else sets
 
 
-def local_itemsets(baskets: list[list], least: int, longest: int | None = None) -> list[tuple]:
-    """Itemsets in order that at least ``least`` of the baskets have, level by level: two that differ in their last item make a longer one."""
-    having: dict = defaultdict(int)
+def items_at(baskets: list) -> dict:
+    """The baskets that have each item, as bits of a number."""
+    places: dict = defaultdict(list)
     for at, items in enumerate(baskets):
         for item in set(items):
-            having[item] |= 1 << at
-    level = {(i,): b for i, b in sorted(having.items()) if b.bit_count() >= least}
+            places[item].append(at)
+    out = {}
+    for item, at in places.items():
+        flags = np.zeros(len(baskets), np.uint8)
+        flags[at] = 1
+        out[item] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    return out
+
+
+def local_itemsets(baskets: list[list], least: int, longest: int | None = None) -> list[tuple]:
+    """Itemsets in order that at least ``least`` of the baskets have, level by level: two that differ in their last item make a longer one."""
+    level = {(i,): b for i, b in sorted(items_at(baskets).items()) if b.bit_count() >= least}
     found = list(level)
     while level and (longest is None or len(found[-1]) < longest):
         heads: dict = defaultdict(list)
@@ -58,30 +71,31 @@ def frequent_itemsets_by_share(baskets: DataFrame, support: float, longest: int
 
     Baskets are dealt over shares of about equal size. An itemset that is frequent
     among all is so in at least one share, so what Apriori finds in the shares, each
-    at its part of the support, has all that are frequent. The second pass counts
-    these candidates exactly: a candidate meets the baskets that have its rarest
-    item, and counts where it has all others.
+    at its part of the support, has all that are frequent. The second pass sends the
+    candidates to every share, which counts them exactly; only counts leave it.
     """
     ensure_checkpoint_dir(baskets.sparkSession)
-    rows = baskets.select("basket", "item").where("item is not null").distinct().checkpoint()
-    grouped = rows.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).checkpoint()
-    n = baskets.select("basket").distinct().count()
+    grouped = baskets.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")).checkpoint()
+    n = grouped.count()
     least = max(1, math.ceil(support * n - 1e-9))
     shares = max(1, n // max(share, math.ceil(LEAST / support)))
-    kind = rows.schema["item"].dataType.simpleString()
+    kind = baskets.schema["item"].dataType.simpleString()
 
     def candidates(part: pd.DataFrame) -> pd.DataFrame:
         own = max(1, math.ceil(support * len(part) - 1e-9))
         return pd.DataFrame({"items": [list(i) for i in local_itemsets(part["items"].tolist(), own, longest)]})
 
-    dealt = grouped.withColumn("share", F.pmod(F.xxhash64("basket"), F.lit(shares)))
+    def counts(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        having = items_at(part["items"].tolist())
+        freq = [functools.reduce(operator.and_, (having.get(i, 0) for i in items)).bit_count() for items in asked["items"]]
+        return pd.DataFrame({"id": asked["id"], "freq": freq})
+
+    dealt = grouped.select("items", F.pmod(F.xxhash64("basket"), F.lit(shares)).alias("share"))
     found = dealt.groupBy("share").applyInPandas(candidates, f"items array<{kind}>").distinct().withColumn("id", F.monotonically_increasing_id()).checkpoint()
-    often = rows.groupBy("item").agg(F.count("*").alias("often"))
-    rarest = found.select("id", F.explode("items").alias("item")).join(often, "item").groupBy("id").agg(F.min_by("item", F.struct("often", "item")).alias("item"))
-    asked = found.join(rarest, "id")
-    met = asked.join(rows, "item").join(grouped.withColumnRenamed("items", "all"), "basket").where(F.size(F.array_except("items", "all")) == 0)
-    counts = met.groupBy("id").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
-    return found.join(counts, "id").select("items", "freq")
+    asked = found.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
+    counted = dealt.groupBy("share").cogroup(asked.groupBy("share")).applyInPandas(counts, "id bigint, freq bigint")
+    freq = counted.groupBy("id").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= least)
+    return found.join(freq, "id").select("items", "freq")
 
 
 def association_rules(baskets: DataFrame, support: float, confidence: float) -> DataFrame:
