@@ -54,8 +54,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, token): the distinct lower-cased words of each row of documents."""
+    d = table(spark, sf_dir, "documents")
+    found = F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+")))
+    return d.select(F.col("doc_id").alias("id"), found.alias("token")).where("token <> ''")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, token): the distinct lower-cased words of a document."""
-    d = table(spark, sf_dir, "documents")
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+")))
-    return d.select(F.col("doc_id").alias("id"), words.alias("token")).where("token <> ''").distinct()
+    return words(spark, sf_dir).distinct()

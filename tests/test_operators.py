@@ -683,3 +683,33 @@ def test_shared_counts(spark, dense):
     assert pairs.shared_counts(df.limit(0), "k", "id").count() == 0
     plan = graph.cooccurrence_edges(df.toDF("user_id", "item"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Join" not in plan
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shares_count_their_candidates(spark):
+    """The second pass joins no candidate with baskets by item; empty baskets count among all."""
+    rows = [(b, i) for b, items in enumerate(["abc", "abd", "ab", "cd"] * 9) for i in items] + [(99, None), (1, "a")]
+    df = spark.createDataFrame(rows, "basket bigint, item string")
+    got = itemsets.frequent_itemsets_by_share(df, 18 / 37, share=1)
+    assert {(tuple(r["items"]), r["freq"]) for r in got.collect()} == {(("a",), 27), (("b",), 27), (("c",), 18), (("d",), 18), (("a", "b"), 27)}
+    assert _plan(got).count("Join") == 1  # counts to itemsets
+
+
+def test_queries_split_without_a_join(spark):
+    from orelode.plans import catalog
+
+    assert "Join" not in _plan(catalog.QUERIES["user_mean"](spark, "/root/testdata/sf0.001")).split("LogicalRDD")[0]
+    df = spark.createDataFrame([(1, 9, 1.0), (1, 1, 2.0), (None, 1, 3.0)], "user_id bigint, item_id bigint, rating double")
+    train, test = recommend.split_where(df, F.pmod(F.col("user_id") * 31 + F.col("item_id"), F.lit(10)) == 0)
+    assert [r["rating"] for r in train.collect()] == [2.0] and [r["rating"] for r in test.collect()] == [1.0]
+
+
+def test_signatures_shuffle_no_word(spark):
+    """Words are cut to a document's least values before they are dealt."""
+    from orelode.plans import catalog
+
+    plan = catalog.QUERIES["minhash_signature"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Scan ExistingRDD" not in plan
