@@ -713,3 +713,30 @@ def test_signatures_shuffle_no_word(spark):
 
     plan = catalog.QUERIES["minhash_signature"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Scan ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_half_pairs_of_asked_ids(spark, block):
+    """Pairs with an asked id once each; a list is dealt once, to its id, and meets no join on the way."""
+    from orelode.functions.pairs import pairs_around
+
+    rows = [(k, i, 100 * k + i) for k in range(3) for i in range(3 * k + 2)] + [(2, 1, 7), (None, 1, 0)]
+    df, ids = spark.createDataFrame(rows, "k int, id int, v int"), spark.createDataFrame([(1,), (4,), (4,)], "id int")
+    want = sorted((a[1], b[1], a[2], b[2]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and a[1] < b[1] and {a[1], b[1]} & {1, 4})
+    assert sorted(map(tuple, pairs_around(df, "k", "id", ["v"], half=True, asked=ids, block=block).collect())) == want
+    for half in (False, True):
+        plan = _plan(pairs_around(df, "k", "id", ["v"], half=half, asked=ids))
+        assert plan.index("Join") > plan.rindex("Generate")
+
+
+@pytest.mark.parametrize("asked", [None, [3], [0, 5, 11, 99]])
+def test_pearson_nearest_of_asked_ids(spark, asked):
+    """The nearest are those of the listed pairs, for all ids or those asked for, hot keys or not."""
+    rng = random.Random(8)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(24) for i in (0, *rng.sample(range(1, 9), 4))]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+    ids = None if asked is None else spark.createDataFrame([(a,) for a in asked], "user_id bigint")
+    pairs = similarity.pearson(df, "user_id", "item_id").withColumn("sim", F.round("sim", 9)).checkpoint()
+    want = similarity.nearest(pairs, 4, 24, asked=ids).join(similarity.directed(pairs).select("id", "other", "n"), ["id", "other"])
+    got = similarity.pearson_nearest(df, "user_id", "item_id", 4, 24, asked=ids)
+    assert sorted((r["id"], r["other"], r["n"], round(r["sim"], 9)) for r in got.collect()) == sorted((r["id"], r["other"], r["n"], r["sim"]) for r in want.where("sim <> 0").collect())
