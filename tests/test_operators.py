@@ -740,3 +740,18 @@ def test_pearson_nearest_of_asked_ids(spark, asked):
     want = similarity.nearest(pairs, 4, 24, asked=ids).join(similarity.directed(pairs).select("id", "other", "n"), ["id", "other"])
     got = similarity.pearson_nearest(df, "user_id", "item_id", 4, 24, asked=ids)
     assert sorted((r["id"], r["other"], r["n"], round(r["sim"], 9)) for r in got.collect()) == sorted((r["id"], r["other"], r["n"], r["sim"]) for r in want.where("sim <> 0").collect())
+
+
+def test_betweenness_leaves_no_batch_behind(spark):
+    """The shared folder has no table of a batch, and at most two of sums, however many batches there are."""
+    import os
+
+    from orelode.operators.components import ensure_checkpoint_dir
+
+    at = ensure_checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    df = spark.createDataFrame([(0, n) for n in range(1, 131)], EDGE)
+    rows = graph.edge_betweenness(df, textbook=True, tree_rows=1)
+    left = [f for f in os.listdir(at) if f not in before and f.startswith("rounds-")]
+    assert len(left) == 1 and len(os.listdir(f"{at}/{left[0]}")) <= 2
+    assert {(r["dst"], r["betweenness"]) for r in rows.collect()} == {(n, 130.0) for n in range(1, 131)}
