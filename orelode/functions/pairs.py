@@ -85,8 +85,8 @@ def pairs_with(rows: DataFrame, asked: DataFrame | None, key: str, id_: str, val
     return pairs if others.isEmpty() else pairs.unionByName(pairs_between(these, others, key, id_, values))
 
 
-#: Rows of pairs that a task takes, which its sums hold at once.
-TASK_PAIRS = 1 << 19
+#: Rows of pairs that a task takes, which its sums hold at once, and of how many such tasks one makes the lists.
+TASK_PAIRS, TASK_LISTS = 1 << 19, 8
 
 
 def pairs_around(rows: DataFrame, key: str, id_: str, values: Sequence[str] = (), half: bool = False, asked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -94,7 +94,8 @@ def pairs_around(rows: DataFrame, key: str, id_: str, values: Sequence[str] = ()
 
     A row travels to its id's task with the list of its key's others, so a pair costs
     no more than one id and its values there, and what is grouped by id1, or by id1
-    and id2, has no further exchange. Tasks get about ``TASK_PAIRS`` pairs. With
+    and id2, has no further exchange. Tasks get about ``TASK_PAIRS`` pairs, and those
+    that send lists have so many of them that what they send isn't spilled. With
     ``asked`` (id), id1 is one of these, or with ``half`` one of the two is; rows are
     marked for that while they are narrow, so no list is dealt but to its id.
     """
@@ -130,7 +131,7 @@ def pairs_around(rows: DataFrame, key: str, id_: str, values: Sequence[str] = ()
         crowd = crowd.withColumn("__l", company_of(F.col("__l"), F.col("__asked"))) if half and mark else crowd
         crowd = crowd.where(F.size("__l") > 0).select("__i", *names, *lists)
         narrow = narrow.join(blocks.select("__k"), "__k", "left_anti")
-    each = listed(narrow, "__k").where(F.size("__l") > 1)
+    each = listed(narrow.repartition(max(narrow.sparkSession.sparkContext.defaultParallelism, tasks // TASK_LISTS), "__k"), "__k").where(F.size("__l") > 1)
     if half and mark:
         each = each.select("__l", F.posexplode("__l").alias("__p", "__r"))
         rest = company_of(F.slice("__l", F.col("__p") + 2, F.size("__l")), F.col("__r.__asked"))
