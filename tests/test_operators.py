@@ -685,6 +685,38 @@ def test_shared_counts(spark, dense):
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Join" not in plan
 
 
+@pytest.mark.parametrize("full", [0, 8, 1 << 40])
+def test_counted_by_rows_or_products(full):
+    """Sums of rows and products of matrices count alike, also beyond what a byte holds."""
+    from orelode.functions import pairs
+
+    rng = np.random.default_rng(3)
+    a, b = (rng.random((n, 700)) < 0.6 for n in (9, 13))
+    assert (a.astype(int) @ b.T.astype(int)).max() > 200
+    got = pairs._counted(np.nonzero(a), np.nonzero(b), 700, 128, 200, full)
+    assert (got == a.astype(int) @ b.T.astype(int)).all()
+    one = np.ones((2, 300), bool)
+    assert (pairs._counted(np.nonzero(one), np.nonzero(one), 300, 128, 200, full) == 300).all()
+
+
+def test_shared_counts_send_few_blocks(spark, monkeypatch):
+    """Ids travel once for each block, whatever number of partitions the exchange has: blocks grow with what a task holds, and no pair is lost where Spark deals ranges anew."""
+    from orelode.functions import pairs
+
+    rows = [(u, (u * m + m) % 41) for u in range(600) for m in range(1, 13)]
+    df = spark.createDataFrame(rows, "id int, k int")
+    own = defaultdict(set)
+    for u, k in rows:
+        own[u].add(k)
+    want = sorted((a, b, len(own[a] & own[b])) for a in own for b in own if a < b and len(own[a] & own[b]) >= 11)
+    ranged = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *cols: ranged(self, max(n, 23) if isinstance(n, int) else n, *cols))
+    for more in ({}, {"block_keys": 1000}):
+        got = pairs.shared_counts(df, "k", "id", 11, **more)
+        assert sorted(map(tuple, got.select("id1", "id2", "shared").collect())) == want
+    assert pairs.BLOCK_KEYS >= 1 << 20 and pairs.BLOCK_IDS >= 1 << 15
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
