@@ -717,6 +717,26 @@ def test_shared_counts_send_few_blocks(spark, monkeypatch):
     assert pairs.BLOCK_KEYS >= 1 << 20 and pairs.BLOCK_IDS >= 1 << 15
 
 
+@pytest.mark.parametrize("least", [0.1, 0.5, 0.9])
+def test_prefixes_meet_in_blocks(spark, monkeypatch, least):
+    """All pairs of brute force, once each, in blocks of any size; no pair is dealt before it has passed. A null id is in no pair."""
+    monkeypatch.setattr(similarity, "PREFIX_ITEMS", 300, raising=False)
+    monkeypatch.setattr(similarity, "MEETS", 50, raising=False)
+    rng = random.Random(5)
+    base = [frozenset(rng.sample(range(60), rng.choice([1, 2, 5, 12, 13, 25]))) for _ in range(25)]
+    have = {f"d{k}": base[k % 25] ^ frozenset(rng.sample(range(60), k % 4)) for k in range(120)}
+    have = {k: s for k, s in have.items() if s}
+    rows = [(k, f"t{x}") for k, s in have.items() for x in s] + [(None, "t1"), (None, "t2")]
+    pairs, members = similarity.jaccard_classes_exact(spark.createDataFrame(rows, "id string, token string"), least)
+    named = {}
+    for k in sorted(have):
+        named.setdefault(have[k], k)
+    want = sorted((a, b, round(len(s & t) / len(s | t), 9)) for s, a in named.items() for t, b in named.items() if a < b and s & t and len(s & t) / len(s | t) >= least)
+    assert sorted((*r[:2], round(r[2], 9)) for r in pairs.collect()) == want
+    assert members.where("id is not null").count() == len(have) and members.count() == len(have) + 1
+    assert "pos_explode" not in (plan := _plan(pairs).lower()) and "posexplode" not in plan and "mapinarrow" in plan
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
