@@ -840,3 +840,43 @@ def test_tasks_of_content_and_lists_grow_with_the_rows(spark, ratings, genres, m
     monkeypatch.setattr(pairs, "TASK_LISTS", 2)
     lists = _plan(pairs.pairs_around(ratings, "item_id", "user_id"))
     assert "RepartitionByExpression [__k" in lists and "], 18" in lists  # four items of three users: 36 pairs and 1, by two
+
+
+def test_equal_baskets_are_one_class(spark, monkeypatch):
+    """Users with equal baskets are one node of the work and all nodes of the answer: counts, degrees, ranks, modularity, levels and betweenness are those of the graph of all users."""
+    from orelode.functions import pairs
+
+    monkeypatch.setattr(pairs, "LIST_IDS", 2)
+    rng = random.Random(8)
+    kinds = [tuple(rng.sample(range(14), rng.choice([2, 3, 4, 5]))) for _ in range(26)]
+    sets = {u: kinds[u % 26 if u % 26 < 20 else u % 3] for u in range(80)} | {u: (90 + u, 91 + u, 92 + u) for u in (200, 205)} | {u: (70, 71, 72) for u in (300, 301)}
+    df = spark.createDataFrame([(u, k) for u, ks in sets.items() for k in ks], "user_id bigint, item int")
+    want = sorted((a, b, n) for a in sets for b in sets if a < b and (n := len({*sets[a]} & {*sets[b]})) >= 3)
+    assert sorted(map(tuple, graph.cooccurrence_edges(df, 3).collect())) == want
+    edges, members = graph.cooccurrence_classes(df, 3)
+    assert edges.count() < len(want) / 4  # nothing is made for every two users
+    flat = spark.createDataFrame([w[:2] for w in want], EDGE)
+    assert as_map(graph.class_degrees(edges, members).join(members, "rep"), "id", "degree") == as_map(graph.node_degree(flat), "node", "degree")
+    assert sorted(map(tuple, graph.class_ranks(edges, members).collect())) == sorted(map(tuple, graph.rank_nodes(flat).collect()))
+    labels = graph.class_nodes(edges, members).select(F.col("id").alias("node"), (F.col("id") % 3).alias("label"))
+    assert math.isclose(graph.class_modularity(edges, members, labels).first()[0], graph.modularity(flat, labels).first()[0], rel_tol=1e-9)
+    lists = graph.class_neighbours(edges, members).collect()
+    assert {(r["id"], o) for r in lists for o in r["others"] if o != r["id"]} == {p for a, b, _ in want for p in ((a, b), (b, a))}
+    assert as_map(graph.bfs_levels(edges, members=members), "root", "node", "level") == as_map(graph.bfs_levels(flat), "root", "node", "level")
+    monkeypatch.setattr(graph, "SPREAD_ROWS", 5)
+    for textbook in (False, True):
+        one, all_ = (as_map(b, "src", "dst", "betweenness") for b in (graph.edge_betweenness(edges, textbook, members=members), graph.edge_betweenness(flat, textbook)))
+        assert one.keys() == all_.keys() and all(math.isclose(one[e], all_[e], rel_tol=1e-9) for e in all_)
+
+
+def test_trees_stay_packed(spark):
+    """Shortest-path edges travel packed, 64 roots in a row: a batch's tables have no row for every root and edge."""
+    from orelode.operators.components import Rounds
+
+    put, rows = Rounds.put, []
+    Rounds.put = lambda self, name, df: rows.append((out := put(self, name, df)).count()) or out
+    try:
+        found = as_map(graph.edge_betweenness(spark.createDataFrame([(a, a + 1) for a in range(60)] + [(0, 60)], EDGE), textbook=True), "src", "dst", "betweenness")
+    finally:
+        Rounds.put = put
+    assert all(math.isclose(v, 15 * 31) for v in found.values()) and max(rows) < 61 * 61
