@@ -880,3 +880,14 @@ def test_trees_stay_packed(spark):
     finally:
         Rounds.put = put
     assert all(math.isclose(v, 15 * 31) for v in found.values()) and max(rows) < 61 * 61
+
+
+def test_cosines_are_found_between_different_sets(spark):
+    """Cosines of brute force, rounded, with all ids of equal sets; the tasks that count give pairs of different sets only."""
+    sets = {k: {k % 4, 9 + k % 3, 20} for k in range(36)}
+    df = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s], "item_id bigint, genre int")
+    got = similarity.binary_cosine(df, digits=6)
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, round(len(sets[a] & sets[b]) / 3, 6)) for a in sets for b in sets if a < b)
+    from orelode.functions import pairs
+
+    assert pairs.shared_classes(df, "genre", "item_id")[0].count() == 12 * 11 // 2
