@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.functions.numeric import linear_hash
-from orelode.functions.pairs import pairs_around
+from orelode.functions.pairs import pairs_of_codes
 from orelode.operators.components import ensure_checkpoint_dir
 from orelode.operators.similarity import among_members
 
@@ -38,8 +38,8 @@ def bands(signed: DataFrame, n: int = HASHES, rows: int = ROWS) -> DataFrame:
 
 
 def candidates(banded: DataFrame) -> DataFrame:
-    """(id1, id2) that share a band's key, each found in the task of its lesser id."""
-    return pairs_around(banded.select("id", F.struct("band", "key").alias("k")), "k", "id", half=True).distinct()
+    """(id1, id2) that share a band's key, each once, found where two blocks of ids meet."""
+    return pairs_of_codes(banded.select("id", F.struct("band", "key").alias("k")), "k", "id")
 
 
 def signature_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -891,3 +891,35 @@ def test_cosines_are_found_between_different_sets(spark):
     from orelode.functions import pairs
 
     assert pairs.shared_classes(df, "genre", "item_id")[0].count() == 12 * 11 // 2
+
+
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_blocks_are_written_once(spark, block):
+    """Ids that share a code meet in blocks of any size, each pair once; a row is written once, however many blocks there are, and neither rows nor pairs are dealt after that."""
+    import glob
+    import os
+
+    from orelode.functions import pairs
+    from orelode.operators.components import ensure_checkpoint_dir
+
+    at = ensure_checkpoint_dir(spark).removeprefix("file://")
+    rng = random.Random(11)
+    rows = [(f"d{u}", (b, [rng.randrange(9)])) for u in range(300) for b in range(3)]
+    own = {f"d{u}": {(b, tuple(k)) for d, (b, k) in rows[3 * u : 3 * u + 3]} for u in range(300)}
+    before = set(os.listdir(at))
+    got = pairs.pairs_of_codes(spark.createDataFrame([*rows, *rows[:9], ("x", None), (None, rows[0][1])], "id string, k struct<band int, key array<int>>"), "k", "id", block)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in own for b in own if a < b and own[a] & own[b])
+    folder = next(f for f in os.listdir(at) if f not in before and f.startswith("blocks-"))
+    assert spark.read.parquet(f"{at}/{folder}").count() == 300 and (block > 300) == (len(glob.glob(f"{at}/{folder}/own=*")) < 8)
+    assert (pairs.distinct(np.array([3, 1, 3, 2, 1])) == [1, 2, 3]).all() and not len(pairs.distinct(np.array([], int)))
+
+
+def test_true_pairs_fetch_no_sets(spark):
+    """Similarities are found where blocks meet: no whole set is joined to a pair, by prefixes or by buckets."""
+    rows = spark.createDataFrame([(k, x) for k in range(40) for x in (*range(k % 5, k % 5 + 6), 50 + k)], "id int, token int")
+    buckets = spark.createDataFrame([(k, 0) for k in range(40)], "id int, k int")
+    for got in (similarity.jaccard_classes_exact(rows, 0.5)[0], similarity.jaccard_in_buckets(rows.toDF("id", "t"), buckets, 0.5)):
+        plan = _plan(got)
+        assert "array_intersect" not in plan and "Join" not in plan.split("MapInArrow")[0].replace("Join LeftOuter", "")
+        assert {(r["id1"], r["id2"]): r["jaccard"] for r in got.collect()} == {(a, b): n / (14 - n) for a in range(40) for b in range(a + 1, 40) if (n := 6 - abs(a % 5 - b % 5)) / (14 - n) >= 0.5}
